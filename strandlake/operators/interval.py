@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strandlake.functions import coords as co
 from strandlake.functions.annotation import feature_name, gff_attribute
-from strandlake.operators.prefix import STEP, prefix_sums
+from strandlake.operators.prefix import STEP, prefix_sums, rank_in_order
 
 LONG_BINS = 64
 COARSE = 4096
@@ -110,13 +110,8 @@ def spread_sample(
     return d.withColumn("rank", pick).where(F.col("rank") <= cap).drop("__bin", "__rn")
 
 
-def collapse_gene_cds(features: DataFrame) -> DataFrame:
-    """Genes with their CDS parts, attached rows dropped.
-
-    A CDS with a parent goes to that gene, to the gene above its parent, or else to the
-    gene with the same place, strand and source. Genes with several parts also lose their
-    other children and grandchildren. Adds n_parts and parts (text, in start order).
-    """
+def _attached_cds(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all rows with ids, rows with a parent, CDS rows with the gene they attach to or NULL)."""
     f = features.withColumns({
         "fid": gff_attribute("attributes", "ID"), "parent": gff_attribute("attributes", "Parent"),
         "kind": F.lower("type")})
@@ -127,30 +122,41 @@ def collapse_gene_cds(features: DataFrame) -> DataFrame:
     by_place = genes.groupBy(*place).agg(F.max(F.struct("attributes", "fid")).alias("g")).select(
         *place, F.col("g.fid").alias("place_gene"))
     parents = f.where("fid <> ''").groupBy("fid").agg(F.max("parent").alias("grandparent"))
-    kids = f.where("parent <> ''").join(
-        parents.select(F.col("fid").alias("parent"), "grandparent", F.lit(True).alias("known")), "parent", "left")
+    kids = f.where("parent <> ''").join(parents.withColumnRenamed("fid", "parent"), "parent", "left")
     g1 = by_id.select(F.col("fid").alias("parent"), F.col("fid").alias("gene1"))
     g2 = by_id.select(F.col("fid").alias("grandparent"), F.col("fid").alias("gene2"))
     cds = kids.where("kind = 'cds'").join(g1, "parent", "left").join(g2, "grandparent", "left").join(
         by_place, place, "left").withColumn("gene", F.coalesce("gene1", "gene2", "place_gene"))
-    # Parts are counted over all rows; the listing collects what one gene owns.
-    per_gene = cds.where("gene is not null").groupBy("gene").agg(
-        F.count("*").alias("n_parts"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("start_bp", "end_bp", "attributes"))),
-            lambda p: F.concat(p["start_bp"].cast("string"), F.lit("-"), p["end_bp"].cast("string"))), ",").alias("parts"))
-    multi = per_gene.where("n_parts > 1").select(F.col("gene").alias("m_gene"))
-    # What is not a gene stays unless attached or below a multi-part gene.
-    loose_cds = cds.where("gene is null").select(*features.columns, "parent", "grandparent")
+    return f, kids, cds
+
+
+def gene_cds_parts(features: DataFrame) -> DataFrame:
+    """The attached CDS parts as rows (gene, part_no, ..) in start order; a gene may have any number."""
+    _, _, cds = _attached_cds(features)
+    own = cds.where("gene is not null").select("gene", *features.columns)
+    return rank_in_order(own, ["gene"], "start_bp", "part_no", ties=["end_bp", "attributes"])
+
+
+def collapse_gene_cds(features: DataFrame) -> DataFrame:
+    """The rows that stay, with n_parts on genes; ``gene_cds_parts`` lists the parts.
+
+    A CDS with a parent goes to that gene, to the gene above its parent, or else to the
+    gene with the same place, strand and source. Genes with several parts also lose their
+    other children and grandchildren.
+    """
+    f, kids, cds = _attached_cds(features)
+    per_gene = cds.where("gene is not null").groupBy("gene").agg(F.count("*").alias("n_parts"))
+    multi = per_gene.where("n_parts > 1").select("gene")
+    loose = cds.where("gene is null").select(*features.columns, "parent", "grandparent")
     others = kids.where("kind not in ('gene', 'cds')").select(*features.columns, "parent", "grandparent")
-    kept = loose_cds.unionByName(others).join(
-        multi.select(F.col("m_gene").alias("parent")), "parent", "left_anti").join(
-        multi.select(F.col("m_gene").alias("grandparent")), "grandparent", "left_anti").select(*features.columns)
+    kept = loose.unionByName(others).join(
+        multi.select(F.col("gene").alias("parent")), "parent", "left_anti").join(
+        multi.select(F.col("gene").alias("grandparent")), "grandparent", "left_anti").select(*features.columns)
     rootless = f.where("kind <> 'gene' and parent = ''").select(*features.columns)
-    with_parts = genes.join(per_gene.withColumnRenamed("gene", "fid"), "fid", "left").select(
-        *features.columns, F.coalesce("n_parts", F.lit(0)).alias("n_parts"), "parts")
-    none = [F.lit(0).cast("bigint").alias("n_parts"), F.lit(None).cast("string").alias("parts")]
-    return with_parts.unionByName(kept.select("*", *none)).unionByName(rootless.select("*", *none))
+    genes = f.where("kind = 'gene'").join(per_gene.withColumnRenamed("gene", "fid"), "fid", "left").select(
+        *features.columns, F.coalesce("n_parts", F.lit(0)).alias("n_parts"))
+    none = F.lit(0).cast("bigint").alias("n_parts")
+    return genes.unionByName(kept.select("*", none)).unionByName(rootless.select("*", none))
 
 
 def search_annotations(

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandlake.session import materialize
+
 CTG_LENGTH = 100000
 
 # name -> (tables and fixtures used, SQL). {x} is a reference to a table or fixture.
@@ -206,6 +208,12 @@ def with_ctes(names: str, body: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + body
 
 
+# Kept as Parquet in the shared folder once per application, as stored genomic tables
+# would be; the value is the column the rows are spread by (the source files are one split).
+STORED = {"contigs": "chrom", "cmp_contigs": "chrom", "features": None, "alignments": None}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Fixtures:
     """Spark side of the fixtures; attribute access gives the DataFrame."""
 
@@ -221,11 +229,22 @@ class Fixtures:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in FIXTURES:
                 deps, sql = FIXTURES[name]
-                self._made[name] = self.spark.sql(_spark_text(sql), **{d: getattr(self, d) for d in deps.split()})
+                make = lambda: self.spark.sql(
+                    _spark_text(sql), **{d: getattr(self, d) for d in deps.split()})
+                self._made[name] = self._stored(name, make) if name in STORED else make()
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def _stored(self, name: str, make) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            df, by = make(), STORED[name]
+            if by:
+                df = df.repartition(self.spark.sparkContext.defaultParallelism, by)
+            _STORED[key] = materialize(df, name)
+        return _STORED[key]
+
     @cached_property
     def vcf(self) -> DataFrame:
         """Canonical variant records: format keys and one value per sample."""
@@ -243,5 +262,5 @@ class Fixtures:
 
     @cached_property
     def spread_contigs(self) -> DataFrame:
-        """Contigs spread over the cores before per-base work (the source file is one split)."""
-        return self.contigs.repartition(self.spark.sparkContext.defaultParallelism, "chrom")
+        """Contigs as stored: already spread over the cores."""
+        return self.contigs

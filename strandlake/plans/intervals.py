@@ -79,21 +79,25 @@ COLLAPSE = """with f as (select *, trim(regexp_extract(attributes, '(?:^|;)ID=([
         left join g g2 on g2.fid = k.gp
         left join pk on pk.chrom = k.chrom and pk.strand = k.strand and pk.start_bp = k.start_bp
           and pk.end_bp = k.end_bp and pk.source = k.source where k.kind = 'cds'),
-  pg as (select gene, count(*) as n_parts,
-           string_agg(start_bp || '-' || end_bp, ',' order by start_bp, end_bp, attributes) as parts
-         from c where gene is not null group by 1),
-  m as (select gene from pg where n_parts > 1)
-  select g.attributes, g.start_bp, coalesce(n_parts, 0) as n_parts, parts from g left join pg on pg.gene = g.fid
-  union all select attributes, start_bp, 0, null from c where gene is null
+  pg as (select gene, count(*) as n_parts from c where gene is not null group by 1),
+  m as (select gene from pg where n_parts > 1)"""
+
+
+@query("collapse_gene_cds", "features", COLLAPSE + """
+  select g.attributes, g.start_bp, coalesce(n_parts, 0) as n_parts from g left join pg on pg.gene = g.fid
+  union all select attributes, start_bp, 0 from c where gene is null
     and parent not in (select gene from m) and coalesce(gp, '') not in (select gene from m)
-  union all select attributes, start_bp, 0, null from k where kind not in ('gene', 'cds')
+  union all select attributes, start_bp, 0 from k where kind not in ('gene', 'cds')
     and parent not in (select gene from m) and coalesce(gp, '') not in (select gene from m)
-  union all select attributes, start_bp, 0, null from f where kind <> 'gene' and parent = ''"""
+  union all select attributes, start_bp, 0 from f where kind <> 'gene' and parent = ''""")
+def _(fx):
+    return iv.collapse_gene_cds(fx.features).select("attributes", "start_bp", "n_parts")
 
 
-@query("collapse_gene_cds", "features", COLLAPSE)
+@query("gene_cds_parts", "features", COLLAPSE + """ select gene, attributes, start_bp, row_number() over
+  (partition by gene order by start_bp, end_bp, attributes) as part_no from c where gene is not null""")
 def _(fx):
-    return iv.collapse_gene_cds(fx.features).select("attributes", "start_bp", "n_parts", "parts")
+    return iv.gene_cds_parts(fx.features).select("gene", "attributes", "start_bp", "part_no")
 
 
 @query("search_annotations", "features",

@@ -10,6 +10,7 @@ from strandlake.plans.fixtures import Fixtures, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 def query(name: str, ctes: str = "", oracle: str | None = None):
@@ -20,6 +21,7 @@ def query(name: str, ctes: str = "", oracle: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         if oracle is not None:
             ORACLES[name] = with_ctes(ctes, oracle)
         return fn

@@ -44,7 +44,7 @@ def main() -> int:
     a = ap.parse_args()
     for m in [a.module] if a.module else MODULES:
         importlib.import_module(f"strandlake.plans.{m}")
-    from strandlake.plans.registry import ORACLES, QUERIES
+    from strandlake.plans.registry import MODULE_OF, ORACLES, QUERIES
 
     sf_dir = f"/root/testdata/sf{a.sf}"
     spark = get_spark("check", f"local[{a.cores}]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g",
@@ -55,7 +55,7 @@ def main() -> int:
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     bad = 0
     for name, fn in QUERIES.items():
-        if a.names and name not in a.names:
+        if (a.names and name not in a.names) or (a.module and MODULE_OF[name] != a.module):
             continue
         t0 = time.time()
         try:
