@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandlake.functions import coords as co
 from strandlake.functions.coords import div
 from strandlake.functions.dna import (
-    is_stop_codon,
+    STOP_CODONS,
     kmer_key,
     normalize_dna,
     revcomp,
     revcomp_strict,
     translate_codon,
 )
-from strandlake.operators.prefix import rank_in_order
+from strandlake.operators.prefix import prefix_sums, rank_in_order
+from strandlake.session import materialize
 
 CHUNK = 4096
 K = 15
@@ -82,10 +83,11 @@ def reference_slices(
     return ask.drop("__ok").join(seqs, ids, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
-def gc_prefix(contigs: DataFrame, *, step: int = CHUNK, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Running GC and ACGTU counts up to each chunk start: (keys, chunk, start_bp, gc, acgt, bases)."""
-    from strandlake.operators.prefix import prefix_sums
+GC_STEP = 256
+
 
+def gc_prefix(contigs: DataFrame, *, step: int = GC_STEP, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """Running GC and ACGTU counts up to each chunk start: (keys, chunk, start_bp, gc, acgt, bases)."""
     chunks = seq_chunks(contigs, step=step, keys=keys)
     counted = chunks.withColumns({
         "__gc": _count_in(text(F.col("bases")), "GCgc"), "__acgt": _count_in(text(F.col("bases")), "ACGTUacgtu")})
@@ -106,7 +108,7 @@ def contig_tiles(lengths: DataFrame, zoom: int, *, keys: tuple[str, ...] = ("chr
                     F.least((F.col("tile") + 1) * w, F.col("length")).alias("tile_end"))
 
 
-def gc_plot(contigs: DataFrame, *, zoom: int = 0, window: int = 200, bins: int = co.PLOT_BINS, step: int = CHUNK,
+def gc_plot(contigs: DataFrame, *, zoom: int = 0, window: int = 200, bins: int = co.PLOT_BINS, step: int = GC_STEP,
             keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """D3: GC fraction in a window centred on each bin, -1 where it holds no ACGT."""
     window = min(window or 200, 1_000_000)
@@ -131,25 +133,30 @@ def gc_plot(contigs: DataFrame, *, zoom: int = 0, window: int = 200, bins: int =
         *keys, "tile", "bin", F.when(F.col("a") > 0, F.col("g") / F.col("a")).otherwise(-1.0).alias("gc"))
 
 
-def codon_positions(contigs: DataFrame, *, step: int = CHUNK, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Every codon start: (keys, length, pos, codon, rc_codon), normalised."""
-    pos = positions(seq_chunks(contigs, step=step, overlap=2, keys=keys), 3, step=step)
-    fwd = normalize_dna("word")
-    return pos.select(*keys, "length", "pos", fwd.alias("codon"), revcomp(fwd).alias("rc_codon"))
+# Stop codons and their reverse complements.
+REVERSE_STOPS = ("TTA", "CTA", "TCA")
 
 
 def stop_codon_bins(contigs: DataFrame, *, zoom: int = 0, bins: int = co.STOP_BINS,
-                    keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """(keys, tile, frame, bin) that hold a stop codon lying inside the tile."""
+                    keys: tuple[str, ...] = ("chrom",), step: int = CHUNK) -> DataFrame:
+    """(keys, tile, frame, bin) that hold a stop codon lying inside the tile.
+
+    Codon starts are filtered inside the chunk, so only stops become rows.
+    """
     w = co.tile_width(zoom)
-    c = codon_positions(contigs, keys=keys).withColumn("tile", div("pos", w).cast("int"))
+    chunks = seq_chunks(contigs, step=step, overlap=2, keys=keys)
+    chunks = chunks.withColumn("__b", F.encode(normalize_dna(text(F.col("bases"))), "UTF-8"))
+    n = F.least(F.lit(step), F.length("bases") - 2)
+    wanted = ", ".join(f"cast('{c}' as binary)" for c in (*STOP_CODONS, *REVERSE_STOPS))
+    starts = chunks.withColumn("__n", n).where("__n > 0").withColumn(
+        "__i", F.explode(F.expr(f"filter(sequence(0, __n - 1), i -> substring(__b, i + 1, 3) in ({wanted}))")))
+    c = starts.select(*keys, "length", (F.col("start_bp") + F.col("__i")).alias("pos"),
+                      text(F.expr("substring(__b, __i + 1, 3)")).isin(*STOP_CODONS).alias("forward"))
+    c = c.withColumn("tile", div("pos", w).cast("int"))
     c = c.withColumns({"__t0": F.col("tile") * w, "__t1": F.least((F.col("tile") + 1) * w, F.col("length"))})
-    inside = c.where("pos + 3 <= __t1 and (codon in ('TAA','TAG','TGA') or rc_codon in ('TAA','TAG','TGA'))")
-    frame = F.pmod("pos", F.lit(3)).cast("int")
-    frames = F.array_compact(F.array(
-        F.when(is_stop_codon("codon"), frame), F.when(is_stop_codon("rc_codon"), frame + 3)))
+    frame = F.pmod("pos", F.lit(3)).cast("int") + F.when(F.col("forward"), 0).otherwise(3)
     bin_ = F.least(div((F.col("pos") + 1 - F.col("__t0")) * bins, F.col("__t1") - F.col("__t0")), F.lit(bins - 1))
-    return inside.select(*keys, "tile", F.explode(frames).alias("frame"), bin_.cast("int").alias("bin")).distinct()
+    return c.where("pos + 3 <= __t1").select(*keys, "tile", frame.alias("frame"), bin_.cast("int").alias("bin")).distinct()
 
 
 def six_frame_translation(contigs: DataFrame, *, piece: int = 1365, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -196,6 +203,8 @@ def dna_search(contigs: DataFrame, patterns: DataFrame, *, include_revcomp: bool
     if hits is None:
         return contigs.select(*keys).limit(0).selectExpr(
             *keys, "'' as pattern", "'' as strand", "0 as start_bp", "0 as end_bp", "false as truncated")
+    # Hits are read three times below; the scan over all positions happens once.
+    hits = materialize(hits, "dna_hits")
     # Order within (contig, pattern) is strand then position; ranks come from two levels, not one window.
     placed = hits.withColumn("__axis", F.col("start_bp") + F.when(F.col("strand") == "-", F.lit(1 << 40)).otherwise(F.lit(0)))
     ranked = rank_in_order(placed, [*keys, "pattern"], "__axis", "__rank")
@@ -204,33 +213,71 @@ def dna_search(contigs: DataFrame, patterns: DataFrame, *, include_revcomp: bool
     return kept.join(full, [*keys, "pattern"]).drop("__axis", "__rank")
 
 
-def minimizers(contigs: DataFrame, *, k: int = K, w: int = WINDOW, reverse: bool = False, step: int = 2048,
+def _minimizer_kernel(keys: tuple[str, ...], k: int, w: int, reverse: bool, step: int):
+    """Per chunk: packed k-mers by shifts, sliding minimum of w, kept where the chunk owns the position."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        codes = np.full(256, 4, dtype=np.int64)
+        for code, letters in enumerate(("Aa", "Cc", "Gg", "TtUu")):
+            for ch in letters:
+                codes[ord(ch)] = code
+        low = (1 << 17) - 1
+        for pdf in batches:
+            rows, where, packed_keys = [], [], []
+            for r, (bases, first, own) in enumerate(zip(pdf["bases"], pdf["first"], pdf["start_bp"])):
+                c = codes[np.frombuffer(bases, dtype=np.uint8)]
+                n = len(c) - k + 1
+                if n < w:
+                    continue
+                key = np.zeros(n, dtype=np.int64)
+                for j in range(k):
+                    part = c[j : j + n]
+                    key += ((3 - part) << (2 * j)) if reverse else (part << (2 * (k - 1 - j)))
+                bad = np.concatenate(([0], np.cumsum(c > 3)))
+                # Key in the high bits, inverted offset in the low: the rightmost smallest k-mer wins.
+                packed = (key << 17) | (low - np.arange(n))
+                packed[bad[k:] != bad[:-k]] = -1
+                best = packed[: n - w + 1].copy()
+                for j in range(1, w):
+                    np.minimum(best, packed[j : j + n - w + 1], out=best)
+                best = np.unique(best[best >= 0])
+                pos = first + low - (best & low)
+                mine = (pos >= own) & (pos < own + step)
+                where.append(pos[mine])
+                packed_keys.append(best[mine] >> 17)
+                rows.append(np.full(int(mine.sum()), r))
+            if rows:
+                idx = np.concatenate(rows)
+                out = pdf[[*keys, "length"]].iloc[idx].reset_index(drop=True)
+                yield out.assign(pos=np.concatenate(where).astype("int32"), key=np.concatenate(packed_keys))
+
+    return run
+
+
+def minimizers(contigs: DataFrame, *, k: int = K, w: int = WINDOW, reverse: bool = False, step: int = 1 << 16,
                keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """(keys, length, pos, key): smallest k-mer of each window of w, the rightmost on ties.
 
     A window counts when its k+w-1 bases are all ACGT. With ``reverse`` the key is that of
-    the reverse complement. Everything happens inside one chunk row, so nothing is shuffled
-    until the last distinct between neighbouring chunks.
+    the reverse complement. A chunk carries w-1 bases before and k+w-2 after its own, and
+    reports only positions it owns, so nothing is shuffled and nothing is reported twice.
+    Rolling k-mers are array arithmetic per chunk: row-wise expressions would build one
+    string per base.
     """
-    span = k + w - 1
-    chunks = seq_chunks(contigs, step=step, overlap=span - 1, keys=keys)
-    n_words = F.length("bases") - (k - 1)
-    # Packed key in the high bits, inverted offset in the low: the minimum is the rightmost smallest k-mer.
-    low = 1 << 14
-
-    def word(i: Column) -> Column:
-        s = text(F.substring(F.col("bases"), i + 1, F.lit(k)))
-        return F.coalesce(kmer_key(F.reverse(F.translate(s, "ACGTU", "TGCAA")) if reverse else s) * low + (low - 1 - i),
-                          F.lit(-1).cast("bigint"))
-
-    packed = chunks.withColumn("__nw", n_words).where(f"__nw >= {w}").withColumn(
-        "__k", F.transform(F.sequence(F.lit(0), F.col("__nw") - 1), word))
-    firsts = F.sequence(F.lit(0), F.least(F.col("__nw") - w, F.lit(step - 1)))
-    best = F.array_distinct(F.transform(firsts, lambda i: F.array_min(F.slice(F.col("__k"), i + 1, F.lit(w)))))
-    picked = packed.select(*keys, "length", "start_bp", F.explode(best).alias("__m")).where("__m >= 0")
-    return picked.select(
-        *keys, "length", (F.col("start_bp") + (low - 1) - F.pmod("__m", F.lit(low))).cast("int").alias("pos"),
-        F.expr(f"__m div {low}").alias("key")).distinct()
+    if step + 2 * w + k >= 1 << 17:
+        raise ValueError("step too large")
+    raw = contigs.select(*keys, F.encode("seq", "UTF-8").alias("__b"), F.length("seq").cast("int").alias("length"))
+    cut = raw.where(f"length >= {k + w - 1}").withColumn(
+        "start_bp", F.explode(F.expr(f"sequence(0, length - 1, {step})")))
+    first = F.greatest(F.col("start_bp") - (w - 1), F.lit(0))
+    size = F.col("start_bp") - first + step + (k + w - 2)
+    chunks = cut.select(*keys, "length", "start_bp", first.alias("first"),
+                        F.substring("__b", first + 1, size).alias("bases"))
+    types = {f.name: f.dataType.simpleString() for f in contigs.schema.fields}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "length int", "pos int", "key bigint"])
+    return chunks.mapInPandas(_minimizer_kernel(tuple(keys), k, w, reverse, step), schema)
 
 
 def apply_orientation_sequence(contigs: DataFrame, orientation: DataFrame, *, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
