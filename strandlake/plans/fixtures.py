@@ -163,6 +163,28 @@ FIXTURES: dict[str, tuple[str, str]] = {
           case when doc_id % 3 = 1
             then reverse(translate(RXG(seq, '[^ACGT]', 'N'), 'ACGT', 'TGCA')) else seq end
           from {cmp_mut}"""),
+    # Four blocks per document between its two versions, with made-up identity.
+    "cmp_blocks": ("cmp_base cmp_mut", """
+        select concat('k', cast(doc_id as varchar(12)), '_', cast(k as varchar(2))) as block_id, doc_id, k,
+          concat('a', cast(blk as varchar(12))) as q_genome, concat('b', cast(blk as varchar(12))) as t_genome,
+          chrom as q_chrom, chrom as t_chrom, (doc_id + k) % 2 = 0 as same_strand,
+          cast(floor(n * k / 6.0) as int) as q_start, cast(floor(n * k / 6.0) + floor(n / 8.0) + 20 as int) as q_end,
+          cast(floor(n * k / 7.0) as int) as t_start, cast(floor(n * k / 7.0) + floor(n / 8.0) + 10 as int) as t_end,
+          cast(5000 + (doc_id * 37 + k * 911) % 5001 as int) as ident_x100
+        from (select a.doc_id, a.blk, a.chrom, s.k, least(length(a.seq), length(b.seq)) as n
+              from {cmp_base} a join {cmp_mut} b on a.doc_id = b.doc_id
+              join (select 0 as k union all select 1 union all select 2 union all select 3) s on s.k < 4) x
+        where n >= 120"""),
+    # Alignments as blocks of a read (query) on its contig (target), with their op runs.
+    "read_blocks": ("bases", """
+        select okey, rn, cast(5 as int) as q_start, cast(45 as int) as q_end, start_bp as t_start, end_bp as t_end,
+          rflag <> 'R' as same_strand from {bases}"""),
+    "read_ops": ("bases", """
+        select okey, rn, cast(0 as int) as run_no, 'M' as op, cast(7 as int) as len from {bases}
+        union all select okey, rn, 1, 'X', 1 from {bases}
+        union all select okey, rn, 2, 'M', case when shape in (2, 3) then 12 else n - 8 end from {bases}
+        union all select okey, rn, 3, case when shape = 2 then 'I' else 'D' end, shape from {bases} where shape in (2, 3)
+        union all select okey, rn, 4, 'M', n - 20 from {bases} where shape in (2, 3)"""),
 }
 
 DRIVER_TABLES = (
@@ -236,6 +258,13 @@ class Fixtures:
                 raise AttributeError(name)
         return self._made[name]
 
+    def stored(self, name: str, make) -> DataFrame:
+        """A derived table kept once per application (comparison results shared by queries)."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"kept:{name}")
+        if key not in _STORED:
+            _STORED[key] = materialize(make(), name)
+        return _STORED[key]
+
     def _stored(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
