@@ -492,8 +492,8 @@ def numbered_runs(block_ops: DataFrame) -> DataFrame:
 
 def swap_blocks(blocks: DataFrame) -> DataFrame:
     """Query and target exchanged."""
-    flip = {c: ("t" if c[0] == "q" else "q") + c[1:] for c in blocks.columns if c[:2] in ("q_", "t_")}
-    return blocks.withColumnsRenamed(flip).select(*blocks.columns)
+    other = {"q_": "t_", "t_": "q_"}
+    return blocks.select(*[F.col(other.get(c[:2], c[:2]) + c[2:]).alias(c) for c in blocks.columns])
 
 
 def swap_ops(ops: Column | str) -> Column:
@@ -503,8 +503,9 @@ def swap_ops(ops: Column | str) -> Column:
 
 def swap_variants(variants: DataFrame) -> DataFrame:
     """Positions, bases and I/D exchanged in H11 rows."""
-    out = variants.withColumnsRenamed({"q_pos": "t_pos", "t_pos": "q_pos", "ref_bases": "alt_bases", "alt_bases": "ref_bases"})
-    return out.withColumn("kind", swap_ops("kind")).select(*variants.columns)
+    other = {"q_pos": "t_pos", "t_pos": "q_pos", "ref_bases": "alt_bases", "alt_bases": "ref_bases"}
+    return variants.select(*[
+        (swap_ops("kind") if c == "kind" else F.col(other.get(c, c))).alias(c) for c in variants.columns])
 
 
 def pair_blocks(blocks: DataFrame, wanted: DataFrame) -> DataFrame:

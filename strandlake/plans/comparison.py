@@ -256,11 +256,11 @@ def _(fx):
 
 @query("blocks_in_region", "cmp_contigs cmp_blocks",
        "with " + DISPLAY + """, r as (select distinct genome, genome as sel_id, 200 as r_start, 4200 as r_end from cmp_contigs),
-          h as (select d.*, sel_id, 'below' as side, q_start as at from disp d join r on r.genome = d.q_genome
+          h as (select d.*, sel_id, 'below' as side, q_start as from_bp from disp d join r on r.genome = d.q_genome
               and d.q_start < r_end and d.q_end > r_start
             union all select d.*, sel_id, 'above', t_start from disp d join r on r.genome = d.t_genome
               and d.t_start < r_end and d.t_end > r_start)
-          select h.sel_id, side, block_id, row_number() over (partition by sel_id, side order by at, ident_x100 desc, block_id) as rank,
+          select h.sel_id, side, block_id, row_number() over (partition by sel_id, side order by from_bp, ident_x100 desc, block_id) as rank,
             q_chrom as q_contig, t_chrom as t_contig, cast(q_start - q.start_bp as bigint) as q_local_start,
             cast(t_end - t.start_bp as bigint) as t_local_end
           from h join segments q on q.genome = q_genome and q.chrom = q_chrom join segments t on t.genome = t_genome and t.chrom = t_chrom""")
