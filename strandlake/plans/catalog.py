@@ -85,11 +85,8 @@ def _(fx):
         ct.same_sequence_set(c, edited).select(F.lit("edited").alias("label"), "same"))
 
 
-FILE_ORDER = "cast(event_id as bigint)"
-
-
 @query("check_coordinate_sorted", "variants",
-       """with m as (select event_id, cast(right(chrom, 1) as int) as ref_id, start_bp from variants
+       """with m as (select event_id, cast(substr(chrom, 4) as int) as ref_id, start_bp from variants
             where event_id % 9 <> 0)
           select event_id, prev_ref, prev_start from (select event_id, ref_id, start_bp,
             lag(ref_id) over (order by event_id) as prev_ref, lag(start_bp) over (order by event_id) as prev_start
@@ -97,7 +94,7 @@ FILE_ORDER = "cast(event_id as bigint)"
 def _(fx):
     rows = fx.variants.select(
         "event_id", F.expr("case when event_id % 9 = 0 then 4 else 0 end").alias("flags"),
-        F.expr("cast(right(chrom, 1) as int)").alias("ref_id"), "start_bp")
+        F.expr("cast(substr(chrom, 4) as int)").alias("ref_id"), "start_bp")
     return ct.check_coordinate_sorted(rows, "event_id", step=1024).select("event_id", "prev_ref", "prev_start")
 
 

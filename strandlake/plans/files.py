@@ -141,13 +141,13 @@ def _(fx):
 
 
 @query("read_vcf", "genotypes",
-       """select chrom, start_bp, end_bp, id, ref, alt, filter, 'T=' || info as info, cast(round(qual, 1) as double) as qual, sample,
+       """select chrom, start_bp, end_bp, id, ref, alt, filter, 'T=' || info as info, cast(round(qual, 2) as double) as qual, sample,
             gt || ':' || dp as value from genotypes""")
 def _(fx):
     p = write_text(fx, "vcf", {"a": vcf_lines(fx)})
     v = src.read_vcf(fx.spark, p, contigs=fx.ctg_lengths)
     return v.select("chrom", "start_bp", "end_bp", "id", "ref", "alt", "filter", "info",
-                    F.round(F.col("qual").cast("double"), 1).alias("qual"), F.explode("samples").alias("s")).select(
+                    F.round(F.col("qual").cast("double"), 2).alias("qual"), F.explode("samples").alias("s")).select(
         "chrom", "start_bp", "end_bp", "id", "ref", "alt", "filter", "info", "qual", "s.sample", "s.value")
 
 

@@ -1,11 +1,13 @@
 """Genomic tables derived from the driver's tables, in Spark SQL and in DuckDB SQL.
 
-Two coordinate spaces: ``ctg0..ctg9`` (100 kb, no bases) for interval work and
+Two coordinate spaces: ``ctg<n>`` (100 kb each, no bases; their number grows with the
+data, so depth and overlap per contig stay the same at any scale) for interval work and
 ``doc<doc_id>`` (bases made from the document text) for everything that reads bases.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -32,7 +34,7 @@ FIXTURES: dict[str, tuple[str, str]] = {
           cast(case when l_returnflag = 'R' then 16 else 0 end
              + case when l_tax = 0.08 then 4 else 0 end
              + case when l_discount = 0.1 then 1024 else 0 end as int) as flags,
-          concat('ctg', cast(l_suppkey % 10 as varchar(4))) as chrom,
+          concat('ctg', cast(IDIV(l_orderkey, 1500) as varchar(12))) as chrom,
           cast((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 99800 as int) as start_bp,
           cast((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 99800 as int)
             + 50 + cast(l_quantity as int) as end_bp,
@@ -42,7 +44,7 @@ FIXTURES: dict[str, tuple[str, str]] = {
         from {lineitem}"""),
     "ctg_lengths": ("reads", f"select distinct chrom, cast({CTG_LENGTH} as int) as length from {{reads}}"),
     "genes": ("orders", """
-        select o_orderkey as gkey, concat('ctg', cast(o_custkey % 10 as varchar(4))) as chrom, 'ref' as source,
+        select o_orderkey as gkey, concat('ctg', cast(IDIV(o_orderkey, 1500) as varchar(12))) as chrom, 'ref' as source,
           'gene' as type,
           cast((o_orderkey * 6151 + o_custkey * 97) % 98700 as int) as start_bp,
           cast((o_orderkey * 6151 + o_custkey * 97) % 98700 + 30 + (o_orderkey * 37) % 1200 as int) as end_bp,
@@ -75,7 +77,7 @@ FIXTURES: dict[str, tuple[str, str]] = {
           concat('ID=', chrom) from {ctg_lengths}"""),
     "variants": ("events", """
         select event_id, concat('vcf', cast(event_id % 3 as varchar(2))) as source,
-          concat('ctg', cast(user_id % 10 as varchar(4))) as chrom,
+          concat('ctg', cast(IDIV(event_id, 1000) as varchar(12))) as chrom,
           cast((event_id * 7907 + user_id * 13) % 99000 as int) as start_bp,
           concat('v', cast(event_id as varchar(20))) as id,
           case cast(event_id % 5 as int) when 0 then 'A' when 1 then 'C' when 2 then 'GT' when 3 then 'GTA'
@@ -194,11 +196,11 @@ DRIVER_TABLES = (
 
 
 def _spark_text(sql: str) -> str:
-    return sql.replace("RXG(", "regexp_replace(").replace("IDIV(doc_id, 8)", "(doc_id div 8)")
+    return re.sub(r"IDIV\((\w+), (\d+)\)", r"(\1 div \2)", sql.replace("RXG(", "regexp_replace("))
 
 
 def _duck_text(sql: str) -> str:
-    out = sql.replace("IDIV(doc_id, 8)", "(doc_id // 8)")
+    out = re.sub(r"IDIV\((\w+), (\d+)\)", r"(\1 // \2)", sql)
     out = out.replace("RXG(text, '[^A-Za-z]', '')", "regexp_replace(text, '[^A-Za-z]', '', 'g')")
     return out.replace("RXG(seq, '[^ACGT]', 'N')", "regexp_replace(seq, '[^ACGT]', 'N', 'g')")
 

@@ -116,14 +116,14 @@ def _(fx):
 
 
 @query("to_concat_coords", "features",
-       """with l as (select chrom, 100050 * (row_number() over (order by chrom) - 1) as off
+       """with l as (select chrom, 100050 * (row_number() over (order by cast(substr(chrom, 4) as int)) - 1) as off
             from (select distinct chrom from features))
           select f.attributes, cast(f.start_bp + l.off as bigint) as start_bp, cast(f.end_bp + l.off as bigint) as end_bp
           from features f join l on l.chrom = f.chrom""")
 def _(fx):
     from strandlake.operators.catalog import concat_layout
 
-    lens = fx.ctg_lengths.withColumns({"genome": F.lit("g"), "ord": F.expr("cast(right(chrom, 1) as int)")})
+    lens = fx.ctg_lengths.withColumns({"genome": F.lit("g"), "ord": F.expr("cast(substr(chrom, 4) as int)")})
     return iv.to_concat_coords(fx.features, concat_layout(lens, "ord")).select("attributes", "start_bp", "end_bp")
 
 
