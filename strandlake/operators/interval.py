@@ -241,14 +241,22 @@ def covered_runs(spans: DataFrame, *, keys: Sequence[str], start: str = "start_b
     Events are summed per position before anything is ordered, so a pile of equal spans
     is two rows; the running sum is two-level.
     """
-    from strandlake.operators.prefix import previous_row
-
     real = spans.where(F.col(end) > F.col(start))
     ev = real.select(*keys, F.explode(F.array(
         F.struct(F.col(start).cast("bigint").alias("p"), F.lit(1).cast("bigint").alias("d")),
         F.struct(F.col(end).cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("d")))).alias("e"))
-    net = ev.groupBy(*keys, F.col("e.p").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    run = prefix_sums(net, keys, "pos", {"depth": F.col("d")}, step=step)
-    back = previous_row(run, keys, "pos", {"p_pos": F.col("pos"), "p_depth": F.col("depth")}, step=step)
-    return back.where("p_depth > 0").select(
-        *keys, F.col("p_pos").alias("start_bp"), F.col("pos").alias("end_bp"), F.col("p_depth").alias("depth"))
+    # Grouped by step and position at once: the local windows below reuse that partitioning.
+    net = ev.groupBy(*keys, co.div("e.p", step).alias("__step"), F.col("e.p").alias("pos")).agg(
+        F.sum("e.d").alias("d")).where("d <> 0")
+    keyed = [*keys, "__step"]
+    across = W.partitionBy(*keys).orderBy("__step")
+    steps = net.groupBy(*keyed).agg(F.sum("d").alias("__t"), F.min("pos").alias("__first")).select(
+        *keyed, F.coalesce(F.sum("__t").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
+        F.lead("__first").over(across).alias("__next"))
+    inside = W.partitionBy(*keyed).orderBy("pos")
+    local = net.withColumns({
+        "__run": F.sum("d").over(inside.rowsBetween(W.unboundedPreceding, 0)), "__end": F.lead("pos").over(inside)})
+    out = local.join(steps, keyed).select(
+        *keys, F.col("pos").alias("start_bp"), F.coalesce("__end", "__next").alias("end_bp"),
+        (F.col("__run") + F.col("__base")).alias("depth"))
+    return out.where("depth > 0")

@@ -180,23 +180,48 @@ def six_frame_translation(contigs: DataFrame, *, piece: int = 1365, keys: tuple[
     return both.select(*keys, (F.col("frame") + F.col("t.up")).alias("frame"), F.col("chunk").alias("piece"), "t.aa")
 
 
+MAX_LITERAL_WORDS = 1024
+
+
+def _literal_positions(chunks: DataFrame, words: list[str], k: int, *, step: int = CHUNK) -> DataFrame:
+    """``positions`` restricted to the given words, filtered before rows are made."""
+    n = F.least(F.lit(step), F.length("bases") - (k - 1))
+    wanted = [F.lit(w.encode()) for w in words]
+    found = chunks.withColumn("__n", n).where("__n > 0").withColumn("__i", F.explode(F.filter(
+        F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.substring(F.col("bases"), i + 1, F.lit(k)).isin(*wanted))))
+    return found.select(
+        *[c for c in chunks.columns if c not in ("bases", "start_bp", "chunk")],
+        "chunk", (F.col("start_bp") + F.col("__i")).alias("pos"), text(F.expr(f"substring(bases, __i + 1, {k})")).alias("word"))
+
+
 def dna_search(contigs: DataFrame, patterns: DataFrame, *, include_revcomp: bool = True, max_hits: int = MAX_HITS,
                keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Literal overlapping hits of each pattern in each contig, '+' before '-', at most ``max_hits``.
 
-    ``patterns`` is a small request list (column ``pattern``); it is grouped by length so
-    that each position is cut once per length and met by an equality join. ``truncated``
-    tells that the cap was reached.
+    ``patterns`` (column ``pattern``) is handled by length, so that each position is cut
+    once per length. ``truncated`` tells that the cap was reached.
     """
     wanted = patterns.select(F.upper(F.trim("pattern")).alias("pattern")).where("pattern <> ''").distinct()
     fwd = wanted.select("pattern", F.col("pattern").alias("word"), F.lit("+").alias("strand"))
     if include_revcomp:
         rev = wanted.select("pattern", revcomp_strict("pattern").alias("word"), F.lit("-").alias("strand"))
         fwd = fwd.unionByName(rev.where("word is not null and word <> pattern"))
-    lens = [r[0] for r in wanted.select(F.length("pattern")).distinct().collect()]
+    # The request list is read up to a bound: within it words are constants of the scan and
+    # only hits become rows; a longer list meets every position in a join.
+    words = fwd.limit(MAX_LITERAL_WORDS + 1).collect()
+    literal = len(words) <= MAX_LITERAL_WORDS
+    if literal:
+        lens = {len(r["word"]) for r in words}
+    else:
+        lens = {r[0] for r in wanted.select(F.length("pattern")).distinct().collect()}
     hits = None
     for k in sorted(lens):
-        pos = positions(seq_chunks(contigs, overlap=k - 1, keys=keys), k)
+        chunks = seq_chunks(contigs, overlap=k - 1, keys=keys)
+        if literal:
+            own = sorted({r["word"] for r in words if len(r["word"]) == k})
+            pos = _literal_positions(chunks, own, k)
+        else:
+            pos = positions(chunks, k)
         one = pos.join(fwd.where(F.length("word") == k), "word").select(
             *keys, "pattern", "strand", F.col("pos").alias("start_bp"), (F.col("pos") + k).alias("end_bp"))
         hits = one if hits is None else hits.unionByName(one)

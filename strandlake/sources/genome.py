@@ -33,13 +33,13 @@ def read_fasta(spark: SparkSession, path: str | list[str], *, strict: bool = Tru
     recs = text_records(spark, path, "\n>")
     # The first record of a file keeps its '>', unless blank lines come before it.
     firsts = recs.groupBy("file").agg(F.min(F.struct("block", "id", F.substring("value", 1, 64).alias("head"))).alias("f"))
-    bad = firsts.where(F.trim("f.head") != "").where(~F.trim(F.regexp_replace("f.head", "^﻿", "")).startswith(">"))
+    bad = firsts.where(F.col("f.head").rlike(r"\S")).where(~F.trim(F.regexp_replace("f.head", "^﻿", "")).startswith(">"))
     if strict:
         wrong = bad.limit(1).collect()
         if wrong:
             raise ValueError(f"FASTA sequence before header in {wrong[0]['file']}")
     body = F.regexp_replace(F.regexp_replace("value", "^﻿?\\s*>", ""), "\r", "")
-    cut = recs.select("file", "block", "id", body.alias("v")).where(F.trim("v") != "")
+    cut = recs.select("file", "block", "id", body.alias("v")).where(F.col("v").rlike(r"\S"))
     name = F.regexp_extract("v", r"^[^\S\n]*(\S+)", 1)
     named = cut.select(
         "file", "block", "id", F.when(name == "", F.raise_error(F.lit("invalid FASTA header"))).otherwise(name).alias("chrom"),
