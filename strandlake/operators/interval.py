@@ -235,19 +235,24 @@ def apply_orientation_features(features: DataFrame, orientation: DataFrame) -> D
 
 
 def covered_runs(spans: DataFrame, *, keys: Sequence[str], start: str = "start_bp", end: str = "end_bp",
-                 step: int = STEP) -> DataFrame:
+                 step: int = STEP, cuts: DataFrame | None = None) -> DataFrame:
     """Depth as runs (keys, start_bp, end_bp, depth > 0) from +1/-1 events.
 
     Events are summed per position before anything is ordered, so a pile of equal spans
-    is two rows; the running sum is two-level.
+    is two rows; the running sum is two-level. Each position in ``cuts`` (keys, pos) is
+    made a run of its own.
     """
     real = spans.where(F.col(end) > F.col(start))
     ev = real.select(*keys, F.explode(F.array(
         F.struct(F.col(start).cast("bigint").alias("p"), F.lit(1).cast("bigint").alias("d")),
-        F.struct(F.col(end).cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("d")))).alias("e"))
+        F.struct(F.col(end).cast("bigint").alias("p"), F.lit(-1).cast("bigint").alias("d")))).alias("e"), F.lit(0).alias("cut"))
+    if cuts is not None:
+        ev = ev.unionByName(cuts.select(*keys, F.explode(F.array(*[
+            F.struct((F.col("pos") + i).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("d")) for i in (0, 1)])).alias("e"),
+            F.lit(1).alias("cut")))
     # Grouped by step and position at once: the local windows below reuse that partitioning.
     net = ev.groupBy(*keys, co.div("e.p", step).alias("__step"), F.col("e.p").alias("pos")).agg(
-        F.sum("e.d").alias("d")).where("d <> 0")
+        F.sum("e.d").alias("d"), F.max("cut").alias("cut")).where("d <> 0 or cut = 1")
     keyed = [*keys, "__step"]
     across = W.partitionBy(*keys).orderBy("__step")
     steps = net.groupBy(*keyed).agg(F.sum("d").alias("__t"), F.min("pos").alias("__first")).select(

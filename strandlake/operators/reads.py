@@ -11,6 +11,7 @@ from strandlake.functions.coords import div
 from strandlake.functions.dna import normalize_base, revcomp_iupac
 from strandlake.operators.interval import covered_runs
 from strandlake.operators.sequence import CHUNK, contig_tiles, seq_chunks, text
+from strandlake.session import materialize
 
 HIDDEN_FLAGS = 256 | 512 | 1024 | 2048
 UNMAPPED, REVERSE, MATE_REVERSE = 4, 16, 32
@@ -378,21 +379,28 @@ def pileup_counts(alignments: DataFrame, contigs: DataFrame, id_cols: Sequence[s
     letters = ["A", "C", "D", "G", "T"]
     alt = special.groupBy(*where).agg(
         F.count("*").alias("n_alt"), *[F.sum((F.col("base") == b).cast("bigint")).alias(f"n{b}") for b in letters])
-    runs = covered_runs(rows, keys=["chrom", *strand]).withColumn(
-        "chunk", F.explode(F.expr(f"sequence(start_bp div {step}, (end_bp - 1) div {step})")))
+    # Read twice below and far smaller than the reads it took to find.
+    alt = materialize(alt, "pileup_alt")
+    # Places with a mismatch or deletion become runs of one base, so the counts join runs, not bases.
+    runs = covered_runs(rows, keys=["chrom", *strand], cuts=alt.select(*where))
+    runs = runs.withColumn("pos", F.col("start_bp").cast("int")).join(alt, where, "left").drop("pos")
+    runs = runs.withColumn("chunk", F.explode(F.expr(f"sequence(start_bp div {step}, (end_bp - 1) div {step})")))
     ref = seq_chunks(contigs, step=step).select("chrom", "chunk", F.col("start_bp").alias("c0"), "bases")
     cov = runs.withColumn("chunk", F.col("chunk").cast("int")).join(ref, ["chrom", "chunk"]).withColumn(
         "pos", F.explode(F.expr("sequence(greatest(start_bp, c0), least(end_bp, c0 + length(bases)) - 1)")))
-    cov = cov.select("chrom", *strand, F.col("pos").cast("int").alias("pos"), "depth",
-                     F.upper(text(F.expr("substring(bases, cast(pos - c0 + 1 as int), 1)"))).alias("ref_base"))
-    d = cov.join(alt, where, "left")
+    d = cov.select("chrom", *strand, F.col("pos").cast("int").alias("pos"), "depth", "n_alt", *[f"n{b}" for b in letters],
+                   F.upper(text(F.expr("substring(bases, cast(pos - c0 + 1 as int), 1)"))).alias("ref_base"))
     plain = F.col("depth") - F.coalesce("n_alt", F.lit(0))
     cell = lambda b: F.struct(
         (F.coalesce(F.col(f"n{b}"), F.lit(0)) + F.when(F.col("ref_base") == b, plain).otherwise(0)).alias("n"),
         F.lit(b).alias("base"))
-    cells = F.array_sort(F.filter(F.array(*[cell(b) for b in letters]), lambda c: c["n"] > 0))
-    total = F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
-    out = d.select(*where, "ref_base", cells.alias("cells")).withColumn("total", total).where("total > 0")
+    mixed = F.array_sort(F.filter(F.array(*[cell(b) for b in letters]), lambda c: c["n"] > 0))
+    only = F.array(F.struct(F.col("depth").alias("n"), F.col("ref_base").alias("base")))
+    counted = F.col("ref_base").isin(*letters)
+    cells = F.when(F.col("n_alt").isNotNull(), mixed).when(counted, only)
+    total = F.when(F.col("n_alt").isNotNull(), F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])).when(
+        counted, F.col("depth"))
+    out = d.withColumn("cells", cells).withColumn("total", total).where("total > 0")
     return out.select(*where, "ref_base", "total", F.posexplode("cells").alias("ord", "c")).select(
         *where, "ref_base", "ord", "c.base", "c.n", (F.col("c.n") / F.col("total")).alias("frac"))
 
