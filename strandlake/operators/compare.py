@@ -29,6 +29,7 @@ MERGE_GAP = 256
 MERGE_OVERLAP = 32
 MERGE_INDEL = 64
 STRICT_SPAN = 8192
+HOT_SEEDS = 20000
 
 PAIR = ["q_genome", "t_genome", "q_chrom", "t_chrom", "same_strand"]
 CHAIN = [*PAIR, "bucket", "chain_no"]
@@ -69,7 +70,14 @@ def seed_join(query: DataFrame, target_forward: DataFrame, target_reverse: DataF
             F.col("genome").alias("t_genome"), F.col("chrom").alias("t_chrom"), "key", F.lit(same).alias("same_strand"),
             F.col("pos").alias("t_pos"), trans.alias("t_trans"))
         targets = t if targets is None else targets.unionByName(t)
-    return asked.join(targets, ["t_genome", "key"]).select(*PAIR, "q_pos", "t_pos", "t_trans")
+    # A key that a repeat puts on very many query positions is spread over salts; its few
+    # thinned targets are repeated once per salt. All other keys have one salt.
+    hot = asked.groupBy("t_genome", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEEDS).select(
+        "t_genome", "key", F.ceil(F.col("n") / HOT_SEEDS).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    asked = asked.join(hot, ["t_genome", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("q_chrom", "q_pos"), salts).cast("int"))
+    targets = targets.join(hot, ["t_genome", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return asked.drop("salts").join(targets.drop("salts"), ["t_genome", "key", "salt"]).select(*PAIR, "q_pos", "t_pos", "t_trans")
 
 
 def bucket_anchors(anchors: DataFrame) -> DataFrame:
@@ -590,8 +598,7 @@ def blocks_in_region(blocks: DataFrame, regions: DataFrame, segments: DataFrame,
         hit = overlap_join(b, regions, keys=["genome"], bin_size=1 << 14, left_on=(f"{mine}_start", f"{mine}_end"))
         hit = hit.withColumns({"side": F.lit(side), "__at": F.col(f"{mine}_start")}).drop("genome")
         found = hit if found is None else found.unionByName(hit)
-    rank = F.row_number().over(W.partitionBy("sel_id", "side").orderBy("__at", F.desc("ident_x100"), id_col))
-    found = found.withColumn("rank", rank).drop("__at")
+    found = rank_in_order(found, ["sel_id", "side"], "__at", "rank", ties=[F.desc("ident_x100"), id_col]).drop("__at")
     for side in ("q", "t"):
         w = blocks.select(id_col, F.col(f"{side}_genome").alias("genome"), F.col(f"{side}_start").cast("bigint").alias("w_start"),
                           F.col(f"{side}_end").cast("bigint").alias("w_end"))
