@@ -101,3 +101,19 @@ def location_label(chrom: Column | str, start: Column | str, end: Column | str)
 def entity_key(*parts: Column | str) -> Column:
     """Identity key of a feature, read, pair or block."""
     return F.concat_ws("|", *[col(p).cast("string") for p in parts])
+
+
+def feature_key(name: Column | str) -> Column:
+    """Contig, span, name and type of a feature row."""
+    return entity_key("chrom", "start_bp", "end_bp", name, "type")
+
+
+def read_key() -> Column:
+    """Name, span, strand and flags of a read row."""
+    reverse = F.col("flags").bitwiseAND(16) != 0
+    return entity_key("name", "start_bp", "end_bp", reverse.cast("int"), "flags")
+
+
+def block_key() -> Column:
+    """Pair, both intervals and strand of a block row."""
+    return entity_key("q_genome", "t_genome", "q_start", "q_end", "t_start", "t_end", F.col("same_strand").cast("int"))

@@ -200,11 +200,13 @@ def _(fx):
                     co.mean_depth_bin(F.lit(1), F.col("width") * 100).alias("tiny"))
 
 
-@query("entity_keys", "features",
-       f"""select concat_ws('|', chrom, start_bp, end_bp, {NAME_SQL}, type) as feature_key from features""")
+@query("entity_keys", "features reads cmp_blocks",
+       f"""select concat_ws('|', chrom, start_bp, end_bp, {NAME_SQL}, type) as k from features
+           union all select concat_ws('|', name, start_bp, end_bp, case when (flags & 16) <> 0 then 1 else 0 end, flags) from reads
+           union all select concat_ws('|', q_genome, t_genome, q_start, q_end, t_start, t_end, same_strand::int) from cmp_blocks""")
 def _(fx):
-    return fx.features.select(
-        co.entity_key("chrom", "start_bp", "end_bp", an.feature_name("attributes", "type"), "type").alias("feature_key"))
+    f = fx.features.select(co.feature_key(an.feature_name("attributes", "type")).alias("k"))
+    return f.unionByName(fx.reads.select(co.read_key().alias("k"))).unionByName(fx.cmp_blocks.select(co.block_key().alias("k")))
 
 
 @query("tile_of", "reads",
