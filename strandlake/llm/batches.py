@@ -52,3 +52,23 @@ def slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words between ASCII white space: number of each word's name, the distinct names, and offsets of the texts."""
+    lists = pc.ascii_split_whitespace(texts)
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    if "" in names:  # from white space at an end
+        keep = codes != names.index("")
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        codes = codes[keep]
+    return codes, names, offsets
+
+
+def word_hashes(names: list[str]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))

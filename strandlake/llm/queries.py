@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandlake.session import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,8 +22,19 @@ def query(oracle: str | None = None):
     return wrap
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+@query()
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.order_minhash import near_classes
+
+    return near_classes(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 @query()
@@ -32,6 +45,41 @@ def op2_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query()
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.spaced_seeds import leaks
+
+    return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "start", "length", "equal")
+
+
+@query()
+def op4_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.knn_toxicity import THRESHOLD, held_out, toxicity
+
+    scored = toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "near")
+
+
+@query()
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm import secret_ledger as S
+
+    found = S.scan(documents(spark, sf_dir), scratch_path(spark, "secret-ledger"))
+    base = S.of_kinds(F.col("spans"), *S.BASE_KINDS)
+    counts = [F.size(S.of_kinds(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in S.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(S.span_text(base), 256).alias("base_sha256"),
+                        S.span_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op9_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.token_cache import count_tokens
+
+    counts = count_tokens(documents(spark, sf_dir), scratch_path(spark, "token-cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
