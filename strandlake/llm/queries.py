@@ -61,6 +61,14 @@ def op4_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "near")
 
 
+@query()
+def op5_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.splitter_shards import shard
+
+    return shard(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                                                  F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query()
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm import secret_ledger as S
@@ -72,6 +80,22 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                         S.span_text(F.col("spans")).alias("spans"))
 
 
+@query()
+def op7_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.rule_filter import judge
+
+    judged = judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op8_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.line_cleaning import assess
+
+    return assess(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                   "base_failed", "kept")
+
+
 @query()
 def op9_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandlake.llm.token_cache import count_tokens
@@ -80,6 +104,15 @@ def op9_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query()
+def op10_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlake.llm.mixing_coder import read_ids, write_ids
+
+    path = scratch_path(spark, "id-files")
+    write_ids(documents(spark, sf_dir), path)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

@@ -10,7 +10,7 @@ from tests.llm.brute import cheapest_packing
 
 SCHEMA = "doc_id long, text string, sequence_id long"
 ODD_TEXTS = ["", " ", "  a  b ", "a\n b", "a \n b", "x<|endoftext|>y <|endoftext|> z", "don't  stop 's", "a  b", "été ciónñ, ¿qué?\n\nsí",
-             "tab\tx \t y", "a\x0b b", "1 22  333", "trailing ", " leading", "\n", "a" * 5000, "é x", "𝛼 β"]
+             "tab\tx \t y", "a\x0b b", "1 22  333", "trailing ", " leading", "\n", "a" * 5000, "é x", "𝛼 β", "one.\nTwo\nthree\n\nfour", "a\nb\nc d", "x\x01y z", "end\n", "\nhead", "a\u00a0\nb", "a\n\u00a0\nb c"]
 
 
 def test_words_give_the_ids_of_whole_texts():
