@@ -271,6 +271,10 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray)
     return [HEADER.pack(MAGIC, n, lanes, steps, len(doc_ids), crc, len(body)) + body]
 
 
+def block_size(data: bytes) -> int:
+    return HEADER.unpack_from(data)[1]
+
+
 def decode_block(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     """ids, doc_ids and counts of a block; ValueError if it is damaged."""
     try:
@@ -337,7 +341,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
         def blocks() -> pa.RecordBatch:
             nonlocal number
             made = encode_block(np.concatenate(ids), keys, np.concatenate(counts))
-            sizes = [HEADER.unpack_from(b)[1] for b in made]
+            sizes = [block_size(b) for b in made]
             part = TaskContext.get().partitionId()
             out = pa.RecordBatch.from_arrays([
                 pa.array([part] * len(made), pa.int32()), pa.array(range(number, number + len(made)), pa.int64()),
