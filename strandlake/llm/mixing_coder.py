@@ -7,8 +7,8 @@ that it is none and then which id by the order-0 counts of such ids. The chances
 counts (by how well order 2 did here before, by how often the order-1 context was seen, and over all), whose weights follow
 what each would have given the ids so far. All of the model is integer arithmetic, so any machine decodes what another wrote.
 
-A block: ``HEADER``, documents (ids, null flags, counts), alphabet, words of each lane, words. ``crc`` covers the ids and the
-documents; a block whose content doesn't match is refused.
+A block: ``HEADER``, documents (ids, null flags, counts), alphabet, words of each lane, words. The checksum covers the
+decoded ids and all bytes behind the header; a block that doesn't match it is refused.
 """
 
 from __future__ import annotations
@@ -264,10 +264,10 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray)
     per_lane, words = coder.finish()
     null = np.array([d is None for d in doc_ids], np.uint8)
     known = np.array([d or 0 for d in doc_ids], "<i8")
-    docs = pack_numbers(known) , pack_numbers(null), pack_numbers(counts.astype("<u4"))
+    docs = pack_numbers(known), pack_numbers(null), pack_numbers(counts.astype("<u4"))
     letters = pack_numbers(np.diff(alphabet.astype("<u4"), prepend=np.uint32(0)).astype("<u4"))
     body = b"".join(struct.pack("<I", len(x)) + x for x in (*docs, letters)) + per_lane.tobytes() + words.tobytes()
-    crc = zlib.crc32(b"".join(docs), zlib.crc32(ids.astype("<u4").tobytes()))
+    crc = zlib.crc32(body, zlib.crc32(ids.astype("<u4").tobytes()))
     return [HEADER.pack(MAGIC, n, lanes, steps, len(doc_ids), crc, len(body)) + body]
 
 
@@ -320,7 +320,7 @@ def _decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
             model.refresh()
             model.tables()
     ids = alphabet[grid.T.reshape(-1)[:n]] if n else np.empty(0, np.uint32)
-    if zlib.crc32(b"".join(parts[:3]), zlib.crc32(ids.astype("<u4").tobytes())) != crc or len(doc_ids) != documents:
+    if zlib.crc32(data[HEADER.size:], zlib.crc32(ids.astype("<u4").tobytes())) != crc or len(doc_ids) != documents:
         raise ValueError("checksum differs")
     return ids, [None if z else d for d, z in zip(doc_ids.tolist(), null)], counts.astype(np.int64)
 
