@@ -6,9 +6,11 @@ the sampled k-mers are the same and stand in the same order. Texts that share an
 an alignment of their k-mer sequences matches L of them with L / (n_a + n_b - L) >= 0.8; matches that far never leave a
 band around the diagonal, and only the band is aligned.
 
-Candidates are not enumerated within a bucket: all members are first held against one member (another one in each
-bucket and round), what is linked shares a label, and only pairs of members whose labels still differ are tested at the
-end. So a bucket of a million near copies costs a million alignments, and no link between different labels is left out.
+Candidates are not enumerated within a bucket: all members are first held against one member (the one with most
+companions, then any), what is linked shares a label, and only members whose labels still differ are tested in pairs at
+the end, by blocks of members. Of those, a pair is passed over only if it cannot be linked: its common k-mers, in whatever
+order, are too few. So a bucket of a million near copies costs about a million alignments, and no link between labels is
+left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from strandlake.llm.batches import by_bytes, one, split_words, strings, word_has
 from strandlake.llm.components import components
 from strandlake.session import materialize
 
-WORDS, SIMILARITY, SKETCHES, ORDERED, STAR_ROUNDS = 5, 0.8, 32, 5, 2
+WORDS, SIMILARITY, SKETCHES, ORDERED, STAR_ROUNDS, BLOCK = 5, 0.8, 32, 5, 2, 64
 NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,12 +59,17 @@ def hash_factors(sketches: int) -> np.ndarray:
     return np.random.default_rng(20240229).integers(1 << 62, 1 << 63, sketches, dtype=np.uint64) | np.uint64(1)
 
 
+def labelled_runs(runs: np.ndarray) -> np.ndarray:
+    """Runs told apart by their occurrence, so that common elements count common runs as often as both have them."""
+    return runs + occurrences(runs) * _MIX
+
+
 def sketch(runs: np.ndarray, factors: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
     """One entry per factor; none for a text without runs."""
     n, m = len(runs), len(factors)
     if not n:
         return np.empty(0, np.int64)
-    labelled = runs + occurrences(runs) * _MIX
+    labelled = labelled_runs(runs)
     labelled = (labelled ^ (labelled >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     k = min(ordered, n)
     if k < n:
@@ -162,6 +169,23 @@ def _profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node binary, runs binary").dropDuplicates(["node"])
 
 
+def private_runs(profiles: DataFrame) -> DataFrame:
+    """(node, private): how many runs of each text are in none of the others. A node's two halves stand for it in sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("runs").to_pylist()):
+                value, times = np.unique(np.frombuffer(data, "<i8"), return_counts=True)
+                high, low = np.frombuffer(node, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), high)), pa.array(np.full(len(value), low)), pa.array(value),
+                                                  pa.array(times)], names=["high", "low", "run", "times"])
+
+    each = profiles.mapInArrow(run, "high long, low long, run long, times long")
+    alone = each.groupBy("run").agg(F.min("high").alias("high"), F.max("high").alias("high_to"), F.min("low").alias("low"),
+                                    F.max("low").alias("low_to"), F.sum("times").alias("times")).filter("high = high_to and low = low_to")
+    whole = F.udf(lambda high, low: np.array([high, low], "<i8").tobytes(), "binary", useArrow=True)
+    return alone.groupBy("high", "low").agg(F.sum("times").alias("private")).select(whole("high", "low").alias("node"), "private")
+
+
 def verified(pairs: DataFrame, profiles: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose alignment reaches ``least``, with their similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +201,67 @@ def verified(pairs: DataFrame, profiles: DataFrame, least: float = SIMILARITY) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def linked_in_blocks(left: list[dict], right: list[dict], least: float = SIMILARITY) -> list[tuple[bytes, bytes, float]]:
+    """Links between members (node, label, runs) of two blocks of one bucket, at most one for each left member and right label.
+
+    One matrix product counts the common runs of all pairs; only pairs that have enough are aligned.
+    """
+    xs, ys = ([np.frombuffer(m["runs"], "<u8") for m in side] for side in (left, right))
+    flat = np.concatenate([labelled_runs(r) for r in (*xs, *ys)])
+    _, place = np.unique(flat, return_inverse=True)
+    sizes = np.array([len(r) for r in (*xs, *ys)])
+    has = np.zeros((len(sizes), int(place.max()) + 1), np.float32)
+    has[np.repeat(np.arange(len(sizes)), sizes), place] = 1
+    nx, ny = sizes[:len(xs), None], sizes[None, len(xs):]
+    enough = has[:len(xs)] @ has[len(xs):].T >= least / (1 + least) * (nx + ny) - 1e-6
+    found, done = [], set()
+    for i, j in zip(*np.nonzero(enough)):
+        a, b = left[i], right[j]
+        if a["label"] != b["label"] and (i, b["label"]) not in done and (s := similarity(xs[i], ys[j], least)) >= least:
+            found.append((a["node"], b["node"], s))
+            done.add((i, b["label"]))
+    return found
+
+
+def open_links(live: DataFrame, profiles: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity): links between members of a bucket whose labels (key, node, n, label) differ.
+
+    The members outside a bucket's most frequent label are held against all of it, block by block; a block has about
+    ``BLOCK`` members. Members most of whose runs no other member has cannot be linked and take no part.
+    """
+    sizes = live.groupBy("key", "label").count()
+    main = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+    private = private_runs(profiles.join(live.select("node").distinct(), "node", "left_semi"))
+    able = live.select("node", "n").distinct().join(private, "node", "left").filter(
+        F.col("n") - F.coalesce("private", F.lit(0)) >= least * F.col("n") - 1e-6).select("node")
+    marked = live.join(able, "node").join(main, "key").withColumn("minor", F.col("label") != F.col("main"))
+    marked = materialize(marked.select("key", "node", "label", "minor"), "open-members")
+    counts = marked.groupBy("key", "minor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    some = marked.filter("minor").select("key").distinct()
+    dealt = marked.join(some, "key", "left_semi").join(counts, ["key", "minor"]).join(profiles, "node").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = materialize(dealt.groupBy("key", "minor", "block").agg(F.collect_list(F.struct("node", "label", "runs")).alias("members")), "open-blocks")
+    x = blocks.filter("minor").select("key", F.col("block").alias("at"), F.col("members").alias("left"))
+    y = blocks.select("key", F.col("block").alias("to"), "minor", F.col("members").alias("right"))
+    met = x.join(y, "key").filter(~F.col("minor") | (F.col("at") <= F.col("to"))).select("left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = linked_in_blocks(batch.column("left")[i].as_py(), batch.column("right")[i].as_py(), least)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
+                                                  pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "similarity"])
+
+    spark = live.sparkSession
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "16")  # a row holds two blocks
+    try:
+        return materialize(met.mapInArrow(run, "a binary, b binary, similarity double"), "open-links")
+    finally:
+        spark.conf.set(rows, before)
+
+
 def _ordered(pairs: DataFrame, least: float) -> DataFrame:
     """Distinct (a, b), a < b, of (p, p_n, q, q_n) whose counts of runs allow the similarity."""
     close = F.least("p_n", "q_n") >= F.lit(least) * F.greatest("p_n", "q_n") - 1e-6
@@ -188,40 +273,31 @@ def link(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES, o
     rows = materialize(sketched(docs, sketches, ordered), "sketches")
     texts = rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     entries = materialize(texts.select("id", "node", "n", F.explode("sketch").alias("key")), "entries")
-    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-    members = materialize(entries.join(shared, "key", "left_semi"), "members")
+    shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("many"))
+    members = materialize(entries.join(shared.filter("lo < hi").select("key", "many"), "key"), "members")
+    company = members.groupBy("node").agg(F.sum("many").alias("company"))
     profiles = materialize(_profiles(docs, members.select("id", "node").distinct()), "profiles")
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
-    tested = None
     for step in range(STAR_ROUNDS + 1):
-        labelled = members.select("key", "node", "n").join(labels, "node")
-        open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        live = materialize(labelled.join(open_keys, "key", "left_semi"), "live") if step else labelled
+        live = members.select("key", "node", "n").join(labels, "node")
+        if step:
+            open_keys = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+            live = materialize(live.join(open_keys, "key", "left_semi"), "live")
         if step < STAR_ROUNDS:
-            turn = F.xxhash64("node", "key", F.lit(step))
+            if not step:
+                live = live.join(company, "node")
+            turn = F.xxhash64("node", "key", F.lit(step)) if step else -F.col("company")
             centre = live.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "label")).alias("c"))
             pairs = live.join(centre, "key").filter(F.col("label") != F.col("c.label")).select(
                 F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("c.node").alias("q"), F.col("c.n").alias("q_n"))
+            links = materialize(verified(_ordered(pairs, least), profiles, least), "links")
         else:
-            sizes = live.groupBy("key", "label").count()
-            main = sizes.groupBy("key").agg(F.max(F.struct("count", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-            marked = live.join(main, "key").withColumn("minor", F.col("label") != F.col("main"))
-            p = marked.filter("minor").select("key", F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("label").alias("p_label"))
-            q = marked.select("key", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("label").alias("q_label"), F.col("minor"))
-            pairs = p.join(q, "key").filter((F.col("p_label") != F.col("q_label")) & (~F.col("minor") | (F.col("p") < F.col("q"))))
-        pairs = _ordered(pairs, least)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        links = materialize(verified(pairs, profiles, least), "links")
-        tested = pairs if tested is None else tested.union(pairs)
+            links = open_links(live, profiles, least)
         if links.limit(1).count():
             at = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
             joined = links.join(at[0], "a").join(at[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
             merged = components(materialize(joined, "label-links")).select(F.col("node").alias("label"), F.col("label").alias("low"))
             labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("low", "label").alias("label")), "classes")
-        elif step and not pairs.limit(1).count():
-            break
     return rows, labels
 
 
