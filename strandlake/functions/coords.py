@@ -10,7 +10,6 @@ TILE_BASE = 1024
 PLOT_BINS = 256
 STOP_BINS = 512
 MAX_ZOOM = 16
-MAX_DEPTH = 65535
 
 
 def div(a: Column | str, b: Column | int) -> Column:
@@ -40,11 +39,12 @@ def zoom_for(bp_per_px: Column | str) -> Column:
     return F.least(F.greatest(z, F.lit(0)), F.lit(MAX_ZOOM))
 
 
-def mean_depth_bin(total: Column | str, width: Column | str) -> Column:
-    """C17: half-up mean depth, at least 1 where anything covers, clamped to 16 bits."""
+def mean_depth_bin(total: Column | str, width: Column | str, most: int | None = None) -> Column:
+    """C17: half-up mean depth, at least 1 where anything covers; ``most`` clamps it to a narrower format."""
     s, w = col(total), F.greatest(col(width), F.lit(1))
     mean = F.round(s / w).cast("int")
-    return F.least(F.greatest(mean, F.when(s > 0, 1).otherwise(0)), F.lit(MAX_DEPTH))
+    depth = F.greatest(mean, F.when(s > 0, 1).otherwise(0))
+    return depth if most is None else F.least(depth, F.lit(most))
 
 
 def coverage_bin_count(tile_start: Column, tile_end: Column, length: Column) -> Column:

@@ -18,7 +18,7 @@ from strandlake.operators.prefix import prefix_sums, previous_row, rank_in_order
 from strandlake.operators.sequence import K, WINDOW, minimizers, reference_slices
 from strandlake.session import materialize
 
-MAX_SEED_HITS = 64
+# Thresholds of chains, blocks and merges.
 MIN_ANCHORS = 3
 MIN_BLOCK = 100
 MIN_IDENTITY = 5000
@@ -40,11 +40,13 @@ MERGED = [*PAIR, "island", "seg"]
 # --- seeds and chains ---------------------------------------------------------------
 
 
-def thin_seeds(seeds: DataFrame, *, max_hits: int = MAX_SEED_HITS) -> DataFrame:
-    """Target seeds with at most ``max_hits`` positions per (contig, key): evenly spaced ranks.
+def thin_seeds(seeds: DataFrame, *, max_hits: int | None = None) -> DataFrame:
+    """Target seeds, or with ``max_hits`` at most so many positions per (contig, key): evenly spaced ranks.
 
     Counting decides which keys are frequent; only their rows are ranked, in two levels.
     """
+    if max_hits is None:
+        return seeds
     key = ["genome", "chrom", "key"]
     frequent = seeds.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > max_hits)
     few = seeds.join(frequent, key, "left_anti")
@@ -55,8 +57,8 @@ def thin_seeds(seeds: DataFrame, *, max_hits: int = MAX_SEED_HITS) -> DataFrame:
 
 
 def seed_join(query: DataFrame, target_forward: DataFrame, target_reverse: DataFrame | None, pairs: DataFrame, *,
-              k: int = K) -> DataFrame:
-    """H1: anchors of the paired genomes: (PAIR, q_pos, t_pos, t_trans).
+              k: int = K, max_hits: int | None = None) -> DataFrame:
+    """H1: anchors of the paired genomes: (PAIR, q_pos, t_pos, t_trans), of all target positions or ``max_hits`` a contig and key.
 
     Inputs are minimizer tables (D8) with genome and chrom; ``pairs`` has q_genome, t_genome.
     """
@@ -66,7 +68,7 @@ def seed_join(query: DataFrame, target_forward: DataFrame, target_reverse: DataF
     targets = None
     for table, same in sides:
         trans = F.col("pos") if same else F.col("length") - (F.col("pos") + k)
-        t = thin_seeds(table).select(
+        t = thin_seeds(table, max_hits=max_hits).select(
             F.col("genome").alias("t_genome"), F.col("chrom").alias("t_chrom"), "key", F.lit(same).alias("same_strand"),
             F.col("pos").alias("t_pos"), trans.alias("t_trans"))
         targets = t if targets is None else targets.unionByName(t)
@@ -424,8 +426,8 @@ def _equal_spans(chains: DataFrame, contigs: DataFrame, lengths: DataFrame, *, s
 def anchors_for(contigs: DataFrame, pairs: DataFrame, *, k: int = K, w: int = WINDOW, both_strands: bool = True) -> DataFrame:
     """D8 and H1 and H2 for the genomes in ``pairs``."""
     gk = ("genome", "chrom")
-    fwd = minimizers(contigs, k=k, w=w, keys=gk)
-    rev = minimizers(contigs, k=k, w=w, reverse=True, keys=gk) if both_strands else None
+    fwd = materialize(minimizers(contigs, k=k, w=w, keys=gk), "minimizers")
+    rev = materialize(minimizers(contigs, k=k, w=w, reverse=True, keys=gk), "minimizers_reverse") if both_strands else None
     return materialize(bucket_anchors(seed_join(fwd, fwd, rev, pairs, k=k)), "anchors")
 
 
@@ -490,9 +492,7 @@ def aligned_extent(blocks: DataFrame, ops: DataFrame, keys: Sequence[str]) -> Da
 
 def numbered_runs(block_ops: DataFrame) -> DataFrame:
     """One run_no per chain in order of (block_no, piece, run), for H10, H11 and H19."""
-    axis = F.col("block_no") * (1 << 20) + (F.col("piece") + 1)
-    d = block_ops.withColumn("__axis", axis)
-    return rank_in_order(d, MERGED, "__axis", "run_no", ties=["run"], step=1 << 32).drop("__axis")
+    return rank_in_order(block_ops, MERGED, "block_no", "run_no", ties=["piece", "run"], step=1 << 12)
 
 
 # --- block tables -------------------------------------------------------------------
@@ -563,11 +563,12 @@ def orient_segments(segments: DataFrame, *, genome: str | None = None, chrom: st
 
 def filter_blocks(
     blocks: DataFrame, views: DataFrame, *, min_length: int = 0, max_length: int = 0, min_identity: float = 0.0,
-    max_identity: float = 100.0, cap: int = 500, ties: Sequence[str] = ("q_start", "q_end", "t_start", "t_end", "q_chrom", "t_chrom"),
+    max_identity: float = 100.0, cap: int | None = None, ties: Sequence[str] = ("q_start", "q_end", "t_start", "t_end", "q_chrom", "t_chrom"),
 ) -> DataFrame:
     """Blocks by length, identity and view (genome, v_start, v_span; a quarter span around), widest first.
 
-    ``max_length`` 0 is off; ``cap`` holds per genome pair and is a rank limit.
+    ``max_length`` 0 is off; ``cap`` holds per genome pair and is a rank limit. A genome without a view shows nothing of
+    its own, so its blocks stay if the other side is in view.
     """
     max_identity = max(max_identity, min_identity)
     v = views.select("genome", "v_start", "v_span")
@@ -575,15 +576,16 @@ def filter_blocks(
     for s in ("q", "t"):
         d = d.join(v.select(F.col("genome").alias(f"{s}_genome"),
                             (F.col("v_start") - F.col("v_span") * 0.25).alias(f"__{s}0"),
-                            (F.col("v_start") + F.col("v_span") * 1.25).alias(f"__{s}1")), f"{s}_genome")
+                            (F.col("v_start") + F.col("v_span") * 1.25).alias(f"__{s}1")), f"{s}_genome", "left")
     span = F.greatest(F.col("q_end") - F.col("q_start"), F.col("t_end") - F.col("t_start"))
     keep = (span >= min_length) & F.col("ident_x100").between(min_identity * 100, max_identity * 100)
     if max_length > 0:
         keep = keep & (span <= max_length)
-    seen = lambda s: (F.col(f"{s}_end") > F.col(f"__{s}0")) & (F.col(f"{s}_start") < F.col(f"__{s}1"))
+    seen = lambda s: F.coalesce((F.col(f"{s}_end") > F.col(f"__{s}0")) & (F.col(f"{s}_start") < F.col(f"__{s}1")), F.lit(False))
     d = d.where(keep & (seen("q") | seen("t"))).drop("__q0", "__q1", "__t0", "__t1").withColumn("span", span)
     rank = F.row_number().over(W.partitionBy("q_genome", "t_genome").orderBy(F.desc("span"), F.desc("ident_x100"), *ties))
-    return d.withColumn("rank", rank).where(F.col("rank") <= cap)
+    ranked = d.withColumn("rank", rank)
+    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
 
 
 def blocks_in_region(blocks: DataFrame, regions: DataFrame, segments: DataFrame, *, id_col: str = "block_id") -> DataFrame:
@@ -631,7 +633,8 @@ def block_detail(blocks: DataFrame, contigs: DataFrame, *, id_col: str = "block_
     Blocks within the strict span are aligned whole. Larger ones, and small ones below half
     identity, are cut out as a query and a target of their own, chained forward only,
     refined with generous bands, reduced to a monotonic set and stitched. ``ops`` rows are
-    (id, run_no, op, len).
+    (id, run_no, op, len). Every requested block has a row in ``details``; ``status`` is
+    'refined', 'empty span', 'unknown contig' or 'too different', and only refined ones have an identity.
     """
     gk = ["genome", "chrom"]
     lengths = contigs.select(*gk, F.length("seq").cast("int").alias("length"))
@@ -655,8 +658,12 @@ def block_detail(blocks: DataFrame, contigs: DataFrame, *, id_col: str = "block_
     ident = whole_ok.unionByName(good)
     ops = whole_runs.join(whole_ok.select(id_col), id_col, "left_semi").unionByName(
         stitched.join(good.select(id_col), id_col, "left_semi"))
-    details = blocks.drop("ident_x100").join(ident, id_col)
-    return details, ops
+    known = cut.select(id_col, F.lit(True).alias("__known"))
+    status = (F.when(F.col("ident_x100").isNotNull(), "refined")
+              .when((F.col("q_end") <= F.col("q_start")) | (F.col("t_end") <= F.col("t_start")), "empty span")
+              .when(F.col("__known").isNull(), "unknown contig").otherwise("too different"))
+    details = blocks.drop("ident_x100").join(ident, id_col, "left").join(known, id_col, "left").withColumn("status", status)
+    return details.drop("__known"), ops
 
 
 def _stitched_detail(rest: DataFrame, id_col: str) -> DataFrame:

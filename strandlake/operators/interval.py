@@ -57,18 +57,19 @@ FEATURE_ORDER = ("start_bp", "end_bp", "type", "strand", "attributes")
 
 
 def features_in_window(
-    features: DataFrame, windows: DataFrame, *, min_length: int = 1, limit: int = 2000, bin_size: int = 1024,
+    features: DataFrame, windows: DataFrame, *, min_length: int = 1, limit: int | None = None, bin_size: int = 1024,
     keys: Sequence[str] = ("chrom",), order: Sequence[str] = FEATURE_ORDER,
 ) -> DataFrame:
-    """The first ``limit`` features of each window (win_id, r_start, r_end) by (start, end)."""
+    """The features of each window (win_id, r_start, r_end) with their rank by (start, end), or the first ``limit``."""
     long_enough = features.where(F.col("end_bp") - F.col("start_bp") >= max(min_length, 1))
     hits = overlap_join(long_enough, windows, keys=keys, bin_size=bin_size)
     rank = F.row_number().over(W.partitionBy(*keys, "win_id").orderBy(*order))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+    ranked = hits.withColumn("rank", rank)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def annotation_tiles(
-    features: DataFrame, *, zoom: int, min_length: int = 1, limit: int = 2000,
+    features: DataFrame, *, zoom: int, min_length: int = 1, limit: int | None = None,
     keys: Sequence[str] = ("chrom",), order: Sequence[str] = FEATURE_ORDER,
 ) -> DataFrame:
     """E2 for every tile of a zoom. Tiles are a function of the interval, so nothing is joined."""
@@ -76,7 +77,8 @@ def annotation_tiles(
     kept = features.where(F.col("end_bp") - F.col("start_bp") >= max(min_length, 1))
     tiles = F.sequence(co.div("start_bp", w), co.div(F.col("end_bp") - 1, w))
     rank = F.row_number().over(W.partitionBy(*keys, "tile").orderBy(*order))
-    return kept.withColumn("tile", F.explode(tiles)).withColumn("rank", rank).where(F.col("rank") <= limit)
+    ranked = kept.withColumn("tile", F.explode(tiles)).withColumn("rank", rank)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def dedupe_features(features: DataFrame, *, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -160,16 +162,16 @@ def collapse_gene_cds(features: DataFrame) -> DataFrame:
 
 
 def search_annotations(
-    features: DataFrame, needle: str, *, case_sensitive: bool = False, limit: int = 5000,
+    features: DataFrame, needle: str, *, case_sensitive: bool = False, limit: int | None = None,
     extra: Sequence[str] = (), order: Sequence[str] = ("chrom", *FEATURE_ORDER),
 ) -> DataFrame:
-    """Features whose name, id, type, source, contig (and ``extra``) text holds the needle."""
+    """Features whose name, id, type, source, contig (and ``extra``) text holds the needle, or the first ``limit``."""
     blob = F.concat_ws(" ", feature_name("attributes", "type"), gff_attribute("attributes", "ID"), "type", "source",
                        "chrom", *extra)
     if not case_sensitive:
         blob, needle = F.lower(blob), needle.lower()
     hits = features.where(F.contains(blob, F.lit(needle)))
-    return hits.orderBy(*order).limit(limit)
+    return hits if limit is None else hits.orderBy(*order).limit(limit)
 
 
 def hide_full_length_regions(features: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -204,22 +206,25 @@ def to_contig_coords(intervals: DataFrame, layout: DataFrame, *, keys: Sequence[
                      id_cols: Sequence[str] = ("win_id",), bin_size: int = 1 << 16) -> DataFrame:
     """A concatenated interval (w_start, w_end) on the contig it overlaps most, ends clamped.
 
-    The earlier contig wins a tie; an interval over a gap only keeps NULL contig columns.
+    Ends may come in either order. Points and intervals that only touch a contig overlap it by 0 and
+    count too; the earlier contig wins a tie. An interval inside a gap keeps NULL contig columns.
     """
-    segs = layout.select(*keys, "chrom", F.col("start_bp").alias("s_start"), F.col("end_bp").alias("s_end"))
-    hits = overlap_join(intervals, segs, keys=keys, bin_size=bin_size, left_on=("w_start", "w_end"),
-                        right_on=("s_start", "s_end"))
-    ov = F.least("w_end", "s_end") - F.greatest("w_start", "s_start")
+    segs = layout.select(*keys, "chrom", F.col("start_bp").alias("s_start"), F.col("end_bp").alias("s_end"),
+                         (F.col("end_bp") + 1).alias("s_past"))
+    a, b = F.least("w_start", "w_end"), F.greatest("w_start", "w_end")
+    asked = intervals.withColumns({"__a": a, "__past": b + 1})
+    hits = overlap_join(asked, segs, keys=keys, bin_size=bin_size, left_on=("__a", "__past"), right_on=("s_start", "s_past"))
+    ov = F.least(b, "s_end") - F.greatest(a, "s_start")
     ids = [*keys, *id_cols]
     best = hits.groupBy(*ids).agg(
         F.min(F.struct((-ov).alias("neg"), F.col("s_start").alias("s0"), F.col("s_end").alias("s1"),
                        F.col("chrom").alias("chrom"))).alias("b"))
     out = intervals.join(best, ids, "left")
     size = F.col("b.s1") - F.col("b.s0")
-    clamp = lambda c: F.least(F.greatest(F.col(c) - F.col("b.s0"), F.lit(0)), size)
+    clamp = lambda c: F.least(F.greatest(c - F.col("b.s0"), F.lit(0)), size)
     return out.select(*intervals.columns, F.col("b.chrom").alias("contig"),
-                      F.when(F.col("b").isNotNull(), clamp("w_start")).alias("local_start"),
-                      F.when(F.col("b").isNotNull(), clamp("w_end")).alias("local_end"))
+                      F.when(F.col("b").isNotNull(), clamp(a)).alias("local_start"),
+                      F.when(F.col("b").isNotNull(), clamp(b)).alias("local_end"))
 
 
 def apply_orientation_features(features: DataFrame, orientation: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from strandlake.functions import cigar as cg, coords as co
 from strandlake.functions.coords import div
 from strandlake.functions.dna import normalize_base, revcomp_iupac
 from strandlake.operators.interval import covered_runs
-from strandlake.operators.sequence import CHUNK, contig_tiles, seq_chunks, text
+from strandlake.operators.sequence import CHUNK, PILE, contig_tiles, salted_join, seq_chunks, text
 from strandlake.session import materialize
 
 HIDDEN_FLAGS = 256 | 512 | 1024 | 2048
@@ -88,11 +88,11 @@ def mismatches_md(alignments: DataFrame, id_cols: Sequence[str]) -> DataFrame:
 
 
 def mismatches_cigar(alignments: DataFrame, contigs: DataFrame, id_cols: Sequence[str], *, step: int = CHUNK,
-                     salts: int = 8) -> DataFrame:
+                     pile: int = PILE) -> DataFrame:
     """mismatches without MD: X ops, and M ops compared with the reference.
 
-    M ops are cut at chunk borders and meet reference chunks by equality; the chunks are
-    repeated over salts because one amplicon's chunk may hold a third of all reads.
+    M ops are cut at chunk borders and meet reference chunks by equality; a chunk with more than ``pile`` of
+    them is repeated over salts, because one amplicon's chunk may hold a third of all reads.
     Symbols other than ACGTUN on either side do not count.
     """
     ops = alignments.select(*id_cols, "chrom", "read_seq", F.explode(cg.placed_ops("cigar", "start_bp")).alias("o"))
@@ -101,11 +101,9 @@ def mismatches_cigar(alignments: DataFrame, contigs: DataFrame, id_cols: Sequenc
         *id_cols, "chrom", "pos", normalize_base(F.expr("substring(read_seq, q0 + (pos - r0) + 1, 1)")).alias("base"))
     m = ops.where("op = 'M'").withColumns({
         "chunk": F.explode(F.expr(f"sequence(greatest(r0, 0) div {step}, greatest(r0 + len - 1, 0) div {step})"))})
-    m = m.withColumns({"chunk": F.col("chunk").cast("int"),
-                       "__salt": F.pmod(F.xxhash64(*id_cols), F.lit(salts)).cast("int")})
+    m = m.withColumn("chunk", F.col("chunk").cast("int"))
     ref = seq_chunks(contigs, step=step).select("chrom", "chunk", F.col("start_bp").alias("c0"), "bases")
-    ref = ref.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = m.join(ref, ["chrom", "chunk", "__salt"]).withColumns({
+    met = salted_join(m, ref, ["chrom", "chunk"], list(id_cols), pile=pile).withColumns({
         "lo": F.expr("greatest(r0, c0)"), "hi": F.expr("least(r0 + len, c0 + length(bases))")}).where("hi > lo")
     clean = lambda s: F.translate(F.upper(s), "U", "T")
     pieces = met.select(
@@ -180,7 +178,9 @@ def infer_mate_contig(reads: DataFrame, order: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("rn") == 1, F.col("chrom"))).alias("__c1"),
         F.max(F.when(F.col("rn") == 2, F.col("chrom"))).alias("__c2"))
     pick = F.when(F.col("__c1") != F.col("chrom"), F.col("__c1")).otherwise(F.col("__c2"))
-    return reads.join(two, "name", "left").withColumn("inferred_mate", pick).drop("__c1", "__c2")
+    # Only names on several contigs have an answer; the others, unnamed reads above all, meet nothing in the join.
+    several = two.where("__c2 is not null")
+    return reads.join(several, "name", "left").withColumn("inferred_mate", pick).drop("__c1", "__c2")
 
 
 def top_mate_contigs(reads: DataFrame, *, mate: str = "mate_ref", top: int = 5) -> DataFrame:
@@ -274,21 +274,19 @@ def coverage_from_runs(runs: DataFrame, lengths: DataFrame, *, zoom: int = 0) ->
 READ_ORDER = ("start_bp", "end_bp", "name", "flags", "mapq", "cigar")
 
 
-def read_tiles(alignments: DataFrame, *, zoom: int, limit: int = 5000, order: Sequence[str] = READ_ORDER) -> DataFrame:
-    """reads of every tile, thinned to a quota per midpoint bin; none above zoom 7."""
-    if zoom > 7:
-        limit = 0
-    elif zoom >= 6:
-        limit *= 2
-    w, bins = co.tile_width(zoom), max(1, min(256, limit))
+def read_tiles(alignments: DataFrame, *, zoom: int, limit: int | None = None, order: Sequence[str] = READ_ORDER) -> DataFrame:
+    """reads of every tile with their rank in a midpoint bin; ``limit`` thins a tile to a quota per bin."""
+    w, bins = co.tile_width(zoom), 256 if limit is None else max(1, min(256, limit))
     d = usable_for_coverage(alignments).where("end_bp > start_bp and end_bp > 0")
     d = d.withColumn("tile", F.explode(F.sequence(div(F.greatest("start_bp", F.lit(0)), w), div(F.col("end_bp") - 1, w))))
     t0 = F.col("tile") * w
     s, e = F.greatest("start_bp", t0), F.least("end_bp", t0 + w)
     mid = s + div(e - s - 1, 2) - t0
     d = d.withColumn("bin", F.least(div(mid * bins, w), F.lit(bins - 1)))
-    base, extra = divmod(limit, bins)
     rank = F.row_number().over(W.partitionBy("chrom", "tile", "bin").orderBy(*order))
+    if limit is None:
+        return d.withColumn("rank", rank)
+    base, extra = divmod(limit, bins)
     top = d.withColumn("rank", rank).where(F.col("rank") <= base + (1 if extra else 0))
     quota = F.lit(base) + F.when(F.col("bin") < extra, 1).otherwise(0)
     return top.where(F.col("rank") <= quota)
@@ -301,30 +299,34 @@ def viewport_read_limit(view_bp: int, bp_per_px: float) -> int:
 
 def sample_reads(reads: DataFrame, *, view_start: int, view_end: int, bp_per_px: float, limit: int | None = None,
                  key: Column) -> DataFrame:
-    """per contig at most ``limit`` reads, lowest stable hash first within midpoint bins.
+    """all reads, or per contig at most ``limit``, lowest stable hash first within midpoint bins.
 
     The hash is MD5 of the display key, so runs and engines agree. Contigs within the
-    limit keep everything.
+    limit keep everything. ``viewport_read_limit`` gives the limit of a view.
     """
+    if limit is None:
+        return reads
     span = max(1, view_end - view_start)
-    limit = limit or viewport_read_limit(span, bp_per_px)
     px = max(1, round(span / max(bp_per_px, 0.001)))
     bins = max(1, min(max(round(px / 2.0), 128), min(1024, limit)))
     base, extra = divmod(limit, bins)
     mid = F.floor((F.col("start_bp") + F.col("end_bp")) * 0.5).cast("bigint")
     idx = F.least(F.greatest(div((mid - view_start) * bins, span), F.lit(0)), F.lit(bins - 1))
     few = reads.groupBy("chrom").agg((F.count("*") <= limit).alias("__few"))
+    cols = reads.columns
     d = reads.withColumns({"__hash": F.md5(key), "__bin": idx})
     rank = F.row_number().over(W.partitionBy("chrom", "__bin").orderBy("__hash"))
     quota = F.lit(base) + F.when(F.col("__bin") < extra, 1).otherwise(0)
-    thin = d.withColumn("__rn", rank).where(F.col("__rn") <= base + 1).where(F.col("__rn") <= quota)
-    sampled = thin.join(few.where("not __few"), "chrom", "left_semi").drop("__hash", "__bin", "__rn")
-    return reads.join(few.where("__few"), "chrom", "left_semi").unionByName(sampled)
+    ranked = d.withColumn("__rn", rank).where(F.col("__rn") <= limit).join(few, "chrom")
+    return ranked.where(F.col("__few") | (F.col("__rn") <= quota)).select(*cols)
 
 
 def strand_summary(strand_bins: DataFrame, lengths: DataFrame, *, zoom: int, view_start: int, view_end: int,
                    bins: int = 256) -> DataFrame:
-    """strand tile bins rebinned over a view: mean of the source bins by midpoint."""
+    """strand tile bins rebinned over a view: mean of the source bins by midpoint, 0 where there are none.
+
+    Every contig of ``lengths`` has all bins.
+    """
     bins, span, w = min(max(bins, 32), 512), max(1, view_end - view_start), co.tile_width(zoom)
     d = strand_bins.join(lengths, "chrom").withColumns({
         "__t0": F.col("tile") * w, "__t1": F.least((F.col("tile") + 1) * w, F.col("length"))})
@@ -332,13 +334,19 @@ def strand_summary(strand_bins: DataFrame, lengths: DataFrame, *, zoom: int, vie
     nb = co.coverage_bin_count(F.col("__t0"), F.col("__t0") + w, F.col("length"))
     mid = F.col("__t0") + (F.col("bin") + 0.5) * F.greatest(F.lit(1.0), (F.col("__t1") - F.col("__t0")) / nb)
     idx = F.least(F.greatest(F.floor((mid - view_start) * bins / span), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return d.groupBy("chrom", idx.alias("bin")).agg(F.avg("forward").alias("forward"), F.avg("reverse").alias("reverse"))
+    means = d.groupBy("chrom", idx.alias("bin")).agg(F.avg("forward").alias("forward"), F.avg("reverse").alias("reverse"))
+    return _every_bin(lengths, bins).join(means, ["chrom", "bin"], "left").select(
+        "chrom", "bin", F.coalesce("forward", F.lit(0.0)).alias("forward"), F.coalesce("reverse", F.lit(0.0)).alias("reverse"))
+
+
+def _every_bin(contigs: DataFrame, bins: int) -> DataFrame:
+    return contigs.select("chrom").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
 
 
 def fragment_summary(reads: DataFrame, *, view_start: int, view_end: int, bins: int = 256) -> DataFrame:
-    """p25, p50, p75 of fragment_len per midpoint bin; the element at floor((n-1)q).
+    """p25, p50, p75 of fragment_len per midpoint bin; the element at floor((n-1)q), -1 in an empty bin.
 
-    Lengths are counted first, so a bin's window holds its distinct lengths, not its reads.
+    Every contig with reads has all bins. Lengths are counted first, so a bin's window holds its distinct lengths, not its reads.
     """
     bins, span = min(max(bins, 32), 512), max(1, view_end - view_start)
     mid = F.floor((F.col("start_bp") + F.col("end_bp")) * 0.5).cast("bigint")
@@ -349,7 +357,9 @@ def fragment_summary(reads: DataFrame, *, view_start: int, view_end: int, bins:
     c = counts.withColumns({"upto": upto, "total": F.sum("n").over(w)})
     at = lambda q: F.min(F.when(
         F.col("upto") > F.floor((F.col("total") - 1) * q), F.col("fragment_len")))
-    return c.groupBy("chrom", "bin").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
+    found = c.groupBy("chrom", F.col("bin").cast("int").alias("bin")).agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
+    return _every_bin(reads, bins).join(found, ["chrom", "bin"], "left").select(
+        "chrom", "bin", *[F.coalesce(p, F.lit(-1)).alias(p) for p in ("p25", "p50", "p75")])
 
 
 def fragment_scale(reads: DataFrame, *, log: bool = False, out: str = "frag_norm") -> DataFrame:

@@ -20,7 +20,6 @@ from strandlake.session import materialize
 CHUNK = 4096
 K = 15
 WINDOW = 10
-MAX_HITS = 5000
 
 
 def seq_chunks(contigs: DataFrame, *, step: int = CHUNK, overlap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -54,14 +53,28 @@ def kmers(chunks: DataFrame, k: int = K, *, step: int = CHUNK) -> DataFrame:
     return positions(chunks, k, step=step).withColumn("key", kmer_key("word")).drop("word")
 
 
+PILE = 20000
+
+
+def salted_join(asked: DataFrame, table: DataFrame, on: list[str], ids: list[str], *, pile: int = PILE) -> DataFrame:
+    """Inner join on ``on``; a key that more than ``pile`` rows of ``asked`` share is dealt over salts by their ``ids``,
+    and its rows in ``table`` are repeated once a salt. All other keys have one salt."""
+    hot = asked.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > pile).select(
+        *on, F.ceil(F.col("__n") / pile).cast("int").alias("__salts"))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = asked.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*ids), salts).cast("int")).drop("__salts")
+    right = table.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [*on, "__salt"]).drop("__salt")
+
+
 def reference_slices(
-    contigs: DataFrame, regions: DataFrame, *, id_cols: tuple[str, ...], step: int = CHUNK, salts: int = 8,
+    contigs: DataFrame, regions: DataFrame, *, id_cols: tuple[str, ...], step: int = CHUNK, pile: int = PILE,
     keys: tuple[str, ...] = ("chrom",), start: str = "start_bp", end: str = "end_bp", out: str = "seq",
 ) -> DataFrame:
     """Bases of [start, end) clamped to the contig, '' beyond it.
 
-    Regions meet chunks by (keys, chunk), so only the chunks under a region move. Chunks
-    are repeated over a few salts so that one much-asked chunk is not one task. ``id_cols``
+    Regions meet chunks by (keys, chunk), so only the chunks under a region move. A chunk asked for by
+    more than ``pile`` regions is repeated over as many salts as it takes. ``id_cols``
     must identify a region; a region with end < start is an error.
     """
     ids = list(dict.fromkeys([*id_cols, *keys]))
@@ -71,11 +84,9 @@ def reference_slices(
     lo = F.greatest(F.col(start), F.lit(0))
     parts = ask.withColumns({"__lo": lo, "__hi": F.greatest(F.col(end), lo)}).withColumn(
         "chunk", F.explode(F.expr(f"sequence(__lo div {step}, greatest(__hi - 1, __lo) div {step})")))
-    parts = parts.withColumns({
-        "chunk": F.col("chunk").cast("int"), "__salt": F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int")})
+    parts = parts.withColumn("chunk", F.col("chunk").cast("int"))
     base = seq_chunks(contigs, step=step, keys=keys).select(*keys, "chunk", F.col("start_bp").alias("__c0"), "bases")
-    base = base.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    got = parts.select(*ids, "chunk", "__salt", "__lo", "__hi").join(base, [*keys, "chunk", "__salt"])
+    got = salted_join(parts.select(*ids, "chunk", "__lo", "__hi"), base, [*keys, "chunk"], ids, pile=pile)
     piece = text(F.expr(
         "substring(bases, greatest(__lo - __c0, 0) + 1, cast(greatest(least(__hi, __c0 + length(bases)) - greatest(__lo, __c0), 0) as int))"))
     joined = got.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))).alias("__ps"))
@@ -111,7 +122,8 @@ def contig_tiles(lengths: DataFrame, zoom: int, *, keys: tuple[str, ...] = ("chr
 def gc_plot(contigs: DataFrame, *, zoom: int = 0, window: int = 200, bins: int = co.PLOT_BINS, step: int = GC_STEP,
             keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """D3: GC fraction in a window centred on each bin, -1 where it holds no ACGT."""
-    window = min(window or 200, 1_000_000)
+    if window < 1:
+        raise ValueError("window must be positive")
     lengths = contigs.select(*keys, F.length("seq").cast("int").alias("length"))
     grid = contig_tiles(lengths, zoom, keys=keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     centre = F.col("tile_start") + F.floor(
@@ -180,54 +192,32 @@ def six_frame_translation(contigs: DataFrame, *, piece: int = 1365, keys: tuple[
     return both.select(*keys, (F.col("frame") + F.col("t.up")).alias("frame"), F.col("chunk").alias("piece"), "t.aa")
 
 
-MAX_LITERAL_WORDS = 1024
-
-
-def _literal_positions(chunks: DataFrame, words: list[str], k: int, *, step: int = CHUNK) -> DataFrame:
-    """``positions`` restricted to the given words, filtered before rows are made."""
-    n = F.least(F.lit(step), F.length("bases") - (k - 1))
-    wanted = [F.lit(w.encode()) for w in words]
-    found = chunks.withColumn("__n", n).where("__n > 0").withColumn("__i", F.explode(F.filter(
-        F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.substring(F.col("bases"), i + 1, F.lit(k)).isin(*wanted))))
-    return found.select(
-        *[c for c in chunks.columns if c not in ("bases", "start_bp", "chunk")],
-        "chunk", (F.col("start_bp") + F.col("__i")).alias("pos"), text(F.expr(f"substring(bases, __i + 1, {k})")).alias("word"))
-
-
-def dna_search(contigs: DataFrame, patterns: DataFrame, *, include_revcomp: bool = True, max_hits: int = MAX_HITS,
-               keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Literal overlapping hits of each pattern in each contig, '+' before '-', at most ``max_hits``.
+def dna_search(contigs: DataFrame, patterns: DataFrame, *, include_revcomp: bool = True, max_hits: int | None = None,
+               keys: tuple[str, ...] = ("chrom",), step: int = CHUNK) -> DataFrame:
+    """Literal overlapping hits of each pattern in each contig, '+' before '-'; with ``max_hits`` the first ones.
 
-    ``patterns`` (column ``pattern``) is handled by length, so that each position is cut
-    once per length. ``truncated`` tells that the cap was reached.
+    Contigs are cut once, with the overlap of the longest pattern, and the words of all pattern lengths at a position
+    meet the patterns in one join. ``truncated`` tells that ``max_hits`` was reached.
     """
     wanted = patterns.select(F.upper(F.trim("pattern")).alias("pattern")).where("pattern <> ''").distinct()
-    fwd = wanted.select("pattern", F.col("pattern").alias("word"), F.lit("+").alias("strand"))
+    words = wanted.select("pattern", F.col("pattern").alias("word"), F.lit("+").alias("strand"))
     if include_revcomp:
         rev = wanted.select("pattern", revcomp_strict("pattern").alias("word"), F.lit("-").alias("strand"))
-        fwd = fwd.unionByName(rev.where("word is not null and word <> pattern"))
-    # The request list is read up to a bound: within it words are constants of the scan and
-    # only hits become rows; a longer list meets every position in a join.
-    words = fwd.limit(MAX_LITERAL_WORDS + 1).collect()
-    literal = len(words) <= MAX_LITERAL_WORDS
-    if literal:
-        lens = {len(r["word"]) for r in words}
-    else:
-        lens = {r[0] for r in wanted.select(F.length("pattern")).distinct().collect()}
-    hits = None
-    for k in sorted(lens):
-        chunks = seq_chunks(contigs, overlap=k - 1, keys=keys)
-        if literal:
-            own = sorted({r["word"] for r in words if len(r["word"]) == k})
-            pos = _literal_positions(chunks, own, k)
-        else:
-            pos = positions(chunks, k)
-        one = pos.join(fwd.where(F.length("word") == k), "word").select(
-            *keys, "pattern", "strand", F.col("pos").alias("start_bp"), (F.col("pos") + k).alias("end_bp"))
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
+        words = words.unionByName(rev.where("word is not null and word <> pattern"))
+    words = words.withColumn("word", F.encode("word", "UTF-8"))
+    lens = sorted(r[0] for r in wanted.select(F.length("pattern")).distinct().collect())  # a few numbers, not the patterns
+    if not lens:
         return contigs.select(*keys).limit(0).selectExpr(
             *keys, "'' as pattern", "'' as strand", "0 as start_bp", "0 as end_bp", "false as truncated")
+    chunks = seq_chunks(contigs, step=step, overlap=lens[-1] - 1, keys=keys)
+    own = F.least(F.lit(step), F.length("bases"))
+    at = chunks.withColumn("__i", F.explode(F.sequence(F.lit(0), own - 1)))
+    cut = F.array(*[F.substring("bases", F.col("__i") + 1, F.lit(k)) for k in lens])
+    pos = at.select(*keys, (F.col("start_bp") + F.col("__i")).alias("start_bp"), F.explode(cut).alias("word"))
+    hits = pos.join(words, "word").select(
+        *keys, "pattern", "strand", "start_bp", (F.col("start_bp") + F.length("pattern")).alias("end_bp"))
+    if max_hits is None:
+        return hits.withColumn("truncated", F.lit(False))
     # Hits are read three times below; the scan over all positions happens once.
     hits = materialize(hits, "dna_hits")
     # Order within (contig, pattern) is strand then position; ranks come from two levels, not one window.

@@ -19,12 +19,9 @@ ANCHORS = minimizer_cte("cmp_contigs", "genome, chrom", "mf", False) + ", " + \
     (select distinct genome, ord from cmp_contigs)) where t_genome is not null),
   tall as (select *, true as same_strand, pos as t_trans from mf
     union all select *, false, length - (pos + 15) from mr),
-  tr as (select *, row_number() over (partition by genome, chrom, same_strand, key order by pos) - 1 as r,
-    count(*) over (partition by genome, chrom, same_strand, key) as n from tall),
-  thin as (select * from tr where n <= 64 or r in (select unnest([i * (n - 1) // 63 for i in generate_series(0, 63)]))),
   anchors as (select p.q_genome, p.t_genome, q.chrom as q_chrom, t.chrom as t_chrom, same_strand, q.pos as q_pos,
       t.pos as t_pos, t.t_trans, cast(floor((t.t_trans - q.pos) / 512.0) as bigint) as bucket
-    from pairs p join mf q on q.genome = p.q_genome join thin t on t.genome = p.t_genome and t.key = q.key)"""
+    from pairs p join mf q on q.genome = p.q_genome join tall t on t.genome = p.t_genome and t.key = q.key)"""
 CHAINED = ANCHORS + f""", g as (select *, lag(q_pos) over w as pq, lag(t_trans) over w as pt from (select distinct * from anchors)
     window w as (partition by {PAIR}, bucket order by q_pos, t_trans, t_pos)),
   l as (select *, coalesce(q_pos - pq between 1 and 20000 and t_trans - pt between 1 and 20000, false) as linked from g),
@@ -184,7 +181,7 @@ def _(fx):
     blocks, _ = found(fx)
     named = blocks.withColumn("block_id", F.md5(F.concat_ws("|", *cp.MERGED)))
     details, _ = cp.block_detail(named, fx.cmp_contigs)
-    return details.select("block_id", *cp.PAIR, "q_start", "q_end", "t_start", "t_end", "ident_x100")
+    return details.select("block_id", *cp.PAIR, "q_start", "q_end", "t_start", "t_end", "ident_x100", "status")
 
 
 @query("select_monotonic")
@@ -200,7 +197,8 @@ DISP = """disp as (select b.block_id, b.q_genome, b.t_genome, b.q_chrom, b.t_chr
     cast(t.start_bp + case when t.reversed then t.length - b.t_end else b.t_start end as bigint) as t_start,
     cast(t.start_bp + case when t.reversed then t.length - b.t_start else b.t_end end as bigint) as t_end
   from cmp_blocks b join {seg} q on q.genome = b.q_genome and q.chrom = b.q_chrom
-  join {seg} t on t.genome = b.t_genome and t.chrom = b.t_chrom)"""
+  join {seg} t on t.genome = b.t_genome and t.chrom = b.t_chrom
+  where b.q_end <= q.length and b.t_end <= t.length)"""
 DISPLAY = SEGMENTS + ", " + DISP.format(seg="segments")
 
 
@@ -240,18 +238,28 @@ def _(fx):
     return cp.pair_blocks(fx.cmp_blocks, wanted).select("block_id", "q_genome", "t_genome", "q_start", "t_start")
 
 
-@query("filter_blocks", "cmp_contigs cmp_blocks",
-       "with " + DISPLAY + """, v as (select distinct genome, 500 * (ord % 3) as v_start, 9000 as v_span from cmp_contigs),
+FILTERED = "with " + DISPLAY + """, v as (select distinct genome, 500 * (ord % 3) as v_start, 9000 as v_span from cmp_contigs),
           f as (select d.*, greatest(q_end - q_start, t_end - t_start) as span from disp d join v a on a.genome = d.q_genome
             join v b on b.genome = d.t_genome where ident_x100 between 5500 and 9800
             and ((q_end > a.v_start - 2250 and q_start < a.v_start + 11250) or (t_end > b.v_start - 2250 and t_start < b.v_start + 11250)))
           select block_id, span, rank from (select *, row_number() over (partition by q_genome, t_genome order by span desc,
-            ident_x100 desc, q_start, q_end, t_start, t_end, q_chrom, t_chrom) as rank from f where span >= 60 and span <= 2000)
-          where rank <= 10""")
-def _(fx):
+            ident_x100 desc, q_start, q_end, t_start, t_end, q_chrom, t_chrom) as rank from f where span >= 60 and span <= 2000)"""
+
+
+def filtered(fx, cap=None):
     v = fx.cmp_contigs.select("genome", F.expr("500 * (ord % 3)").alias("v_start"), F.lit(9000).alias("v_span")).distinct()
     return cp.filter_blocks(displayed(fx), v, min_length=60, max_length=2000, min_identity=55.0, max_identity=98.0,
-                            cap=10).select("block_id", "span", "rank")
+                            cap=cap).select("block_id", "span", "rank")
+
+
+@query("filter_blocks", "cmp_contigs cmp_blocks", FILTERED)
+def _(fx):
+    return filtered(fx)
+
+
+@query("filter_blocks_first", "cmp_contigs cmp_blocks", FILTERED + " where rank <= 10")
+def _(fx):
+    return filtered(fx, cap=10)
 
 
 @query("blocks_in_region", "cmp_contigs cmp_blocks",

@@ -199,13 +199,20 @@ def _(fx):
     return src.gather_inputs(fx.spark, _mixed(fx)).select(_folder().alias("folder"))
 
 
-@query("load_genome", "contigs features",
-       """select chrom, length(seq) as length, md5(seq) as digest from contigs where length(seq) > 0
-          union all select chrom, max(end_bp), null from features group by chrom""")
+@query("load_genome", "contigs",
+       """select chrom, cast(greatest(length(seq), length(seq) + doc_id % 3 * 10 - 10) as int) as length, md5(seq) as digest,
+            1 as n_features from contigs where length(seq) > 0""")
 def _(fx):
-    seqs = fx.contigs.where("length(seq) > 0").select("chrom", "seq")
-    contigs, _ = src.load_genome([seqs, seqs.where("length(seq) % 2 = 0")], [fx.features])
-    return contigs.select("chrom", "length", F.md5("seq").alias("digest"))
+    seqs = fx.contigs.where("length(seq) > 0")
+    # One feature a contig, under a versioned name and partly beyond its end.
+    feats = seqs.select(
+        F.concat("chrom", F.lit(".1")).alias("chrom"), F.lit("ref").alias("source"), F.lit("gene").alias("type"), F.lit(0).alias("start_bp"),
+        F.expr("cast(length(seq) + doc_id % 3 * 10 - 10 as int)").alias("end_bp"), F.lit("+").alias("strand"),
+        F.lit(-1).cast("tinyint").alias("phase"), F.lit("").alias("attributes"))
+    seqs = seqs.select("chrom", "seq")
+    contigs, placed = src.load_genome([seqs, seqs.where("length(seq) % 2 = 0")], [feats])
+    per = placed.groupBy("chrom").agg(F.count("*").cast("int").alias("n_features"))
+    return contigs.join(per, "chrom").select("chrom", "length", F.md5("seq").alias("digest"), "n_features")
 
 
 @query("workspace", "cmp_contigs cmp_blocks",
@@ -223,12 +230,16 @@ def _(fx):
     return per.join(blocks, "genome", "left")
 
 
-@query("block_details_store", "cmp_blocks",
-       "select block_id, q_start, ident_x100 + 1 as score, k = 0 as early from cmp_blocks")
+@query("block_details_store")
 def _(fx):
+    """Details of all found blocks, computed in two runs of which the second finds the first one's stored."""
+    from strandlake.operators import compare as cp
+    from strandlake.plans.comparison import found
+
     path = scratch_path(fx.spark, "details")
-    early = fx.cmp_blocks.where("k = 0")
-    score = lambda flag: lambda rows: rows.withColumns(
-        {"score": F.col("ident_x100") + 1, "early": F.lit(flag)})
-    src.save_block_details(fx.spark, path, early, score(True))
-    return src.save_block_details(fx.spark, path, fx.cmp_blocks, score(False)).select("block_id", "q_start", "score", "early")
+    blocks = found(fx)[0].withColumn("block_id", F.md5(F.concat_ws("|", *cp.MERGED)))
+    detail = lambda flag: lambda rows: cp.block_detail(rows, fx.cmp_contigs)[0].withColumn("early", F.lit(flag))
+    early = blocks.where("block_id < '8'")
+    src.save_block_details(fx.spark, path, early, detail(True))
+    stored = src.save_block_details(fx.spark, path, blocks, detail(False))
+    return stored.select("block_id", "q_start", "q_end", "t_start", "t_end", "ident_x100", "status", "early")

@@ -17,7 +17,7 @@ from strandlake.session import materialize
 CTG_LENGTH = 100000
 
 # name -> (tables and fixtures used, SQL). {x} is a reference to a table or fixture.
-# RXG is a replace-all regexp_replace; IDIV(a, b) is integer division.
+# RXG is a replace-all regexp_replace; IDIV(a, b) is integer division; EACH(a, b) makes a row of each number.
 FIXTURES: dict[str, tuple[str, str]] = {
     "contigs": ("documents", """
         select concat('doc', cast(doc_id as varchar(12))) as chrom, doc_id,
@@ -88,11 +88,11 @@ FIXTURES: dict[str, tuple[str, str]] = {
           cast((event_id + user_id) % 7 as int) as sel, cast(event_id % 50 as int) as dp
         from {events}"""),
     "genotypes": ("variants", """
-        select v.*, v.start_bp + cast(length(v.ref) as int) as end_bp, s.k as sample_idx,
-          concat('s', cast(s.k as varchar(2))) as sample,
-          case (v.sel + s.k) % 7 when 0 then '0/0' when 1 then '0/1' when 2 then '1/1' when 3 then '1/2'
+        select v.*, v.start_bp + cast(length(v.ref) as int) as end_bp, v.k as sample_idx,
+          concat('s', cast(v.k as varchar(2))) as sample,
+          case (v.sel + v.k) % 7 when 0 then '0/0' when 1 then '0/1' when 2 then '1/1' when 3 then '1/2'
             when 4 then './.' when 5 then '0|1' else '2' end as gt
-        from {variants} v join (select 0 as k union all select 1 union all select 2) s on s.k >= 0"""),
+        from (select *, EACH(0, 2) as k from {variants}) v"""),
     "placed": ("li contigs", """
         select l.l_orderkey as okey, l.rn, c.chrom, l.l_returnflag as rflag, l.l_partkey as pkey,
           50 + cast(l.l_quantity as int) as n,
@@ -173,10 +173,9 @@ FIXTURES: dict[str, tuple[str, str]] = {
           cast(floor(n * k / 6.0) as int) as q_start, cast(floor(n * k / 6.0) + floor(n / 8.0) + 20 as int) as q_end,
           cast(floor(n * k / 7.0) as int) as t_start, cast(floor(n * k / 7.0) + floor(n / 8.0) + 10 as int) as t_end,
           cast(5000 + (doc_id * 37 + k * 911) % 5001 as int) as ident_x100
-        from (select a.doc_id, a.blk, a.chrom, s.k, least(length(a.seq), length(b.seq)) as n
-              from {cmp_base} a join {cmp_mut} b on a.doc_id = b.doc_id
-              join (select 0 as k union all select 1 union all select 2 union all select 3) s on s.k < 4) x
-        where n >= 120"""),
+        from (select a.doc_id, a.blk, a.chrom, EACH(0, 3) as k, least(length(a.seq), length(b.seq)) as n
+              from {cmp_base} a join {cmp_mut} b on a.doc_id = b.doc_id) x
+        where n > 0"""),
     # Alignments as blocks of a read (query) on its contig (target), with their op runs.
     "read_blocks": ("bases", """
         select okey, rn, cast(5 as int) as q_start, cast(45 as int) as q_end, start_bp as t_start, end_bp as t_end,
@@ -196,11 +195,13 @@ DRIVER_TABLES = (
 
 
 def _spark_text(sql: str) -> str:
-    return re.sub(r"IDIV\((\w+), (\d+)\)", r"(\1 div \2)", sql.replace("RXG(", "regexp_replace("))
+    out = re.sub(r"EACH\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql)
+    return re.sub(r"IDIV\((\w+), (\d+)\)", r"(\1 div \2)", out.replace("RXG(", "regexp_replace("))
 
 
 def _duck_text(sql: str) -> str:
     out = re.sub(r"IDIV\((\w+), (\d+)\)", r"(\1 // \2)", sql)
+    out = re.sub(r"EACH\((\d+), (\d+)\)", r"cast(unnest(generate_series(\1, \2)) as int)", out)
     out = out.replace("RXG(text, '[^A-Za-z]', '')", "regexp_replace(text, '[^A-Za-z]', '', 'g')")
     return out.replace("RXG(seq, '[^ACGT]', 'N')", "regexp_replace(seq, '[^ACGT]', 'N', 'g')")
 
@@ -290,8 +291,3 @@ class Fixtures:
             "source", "chrom", "start_bp", (F.col("start_bp") + F.length("ref")).alias("end_bp"), "id", "ref",
             "alt", "qual", "filter", "info", F.array(F.lit("GT"), F.lit("DP")).alias("format"),
             samples.alias("samples"))
-
-    @cached_property
-    def spread_contigs(self) -> DataFrame:
-        """Contigs as stored: already spread over the cores."""
-        return self.contigs

@@ -16,31 +16,49 @@ ORD = "start_bp, end_bp, type, strand, attributes"
 @query("overlap_join", "reads features",
        """select f.attributes, f.start_bp, count(*) as n, cast(sum(r.start_bp) as bigint) as start_sum
           from features f join reads r on f.chrom = r.chrom and f.start_bp < r.end_bp and f.end_bp > r.start_bp
-          where f.type <> 'CDS' group by 1, 2""")
+          group by 1, 2""")
 def _(fx):
     right = fx.reads.select("chrom", F.col("start_bp").alias("r_start"), F.col("end_bp").alias("r_end"))
-    pairs = iv.overlap_join(fx.features.where("type <> 'CDS'"), right)
+    pairs = iv.overlap_join(fx.features, right)
     return pairs.groupBy("attributes", "start_bp").agg(F.count("*").alias("n"), F.sum("r_start").alias("start_sum"))
 
 
 WINDOWS = "(select event_id as win_id, chrom, start_bp as r_start, start_bp + 700 as r_end from variants)"
 
 
-@query("features_in_window", "features variants",
-       f"""select win_id, attributes, start_bp, rank from (select w.win_id, f.attributes, f.start_bp,
+IN_WINDOW = f"""select win_id, attributes, start_bp, rank from (select w.win_id, f.attributes, f.start_bp,
              row_number() over (partition by f.chrom, w.win_id order by {ORD}) as rank
            from features f join {WINDOWS} w on f.chrom = w.chrom and f.start_bp < w.r_end and f.end_bp > w.r_start
-           where f.end_bp - f.start_bp >= 80) where rank <= 10""")
+           where f.end_bp - f.start_bp >= {{least}})"""
+
+
+def variant_windows(fx):
+    return fx.variants.select(F.col("event_id").alias("win_id"), "chrom", F.col("start_bp").alias("r_start"),
+                              (F.col("start_bp") + 700).alias("r_end"))
+
+
+@query("features_in_window", "features variants", IN_WINDOW.format(least=1))
+def _(fx):
+    return iv.features_in_window(fx.features, variant_windows(fx)).select("win_id", "attributes", "start_bp", "rank")
+
+
+@query("features_in_window_first", "features variants", IN_WINDOW.format(least=80) + " where rank <= 10")
 def _(fx):
-    w = fx.variants.select(F.col("event_id").alias("win_id"), "chrom", F.col("start_bp").alias("r_start"),
-                           (F.col("start_bp") + 700).alias("r_end"))
-    return iv.features_in_window(fx.features, w, min_length=80, limit=10).select("win_id", "attributes", "start_bp", "rank")
+    first = iv.features_in_window(fx.features, variant_windows(fx), min_length=80, limit=10)
+    return first.select("win_id", "attributes", "start_bp", "rank")
 
 
-@query("annotation_tiles", "features",
-       f"""select chrom, tile, attributes, start_bp, rank from (select *, row_number() over
+TILES = f"""select chrom, tile, attributes, start_bp, rank from (select *, row_number() over
              (partition by chrom, tile order by {ORD}) as rank from (select *, unnest(generate_series(start_bp // 4096,
-               (end_bp - 1) // 4096)) as tile from features where end_bp - start_bp >= 60)) where rank <= 50""")
+               (end_bp - 1) // 4096)) as tile from features where end_bp - start_bp >= {{least}}))"""
+
+
+@query("annotation_tiles", "features", TILES.format(least=1))
+def _(fx):
+    return iv.annotation_tiles(fx.features, zoom=2).select("chrom", "tile", "attributes", "start_bp", "rank")
+
+
+@query("annotation_tiles_first", "features", TILES.format(least=60) + " where rank <= 50")
 def _(fx):
     return iv.annotation_tiles(fx.features, zoom=2, min_length=60, limit=50).select(
         "chrom", "tile", "attributes", "start_bp", "rank")
@@ -103,7 +121,7 @@ def _(fx):
 @query("search_annotations", "features",
        f"""select attributes, start_bp from features where contains(lower(concat_ws(' ', {NAME_SQL},
              trim(regexp_extract(attributes, '(?:^|;)ID=([^;]*)', 1)), type, source, chrom)), 'urgent')
-           order by chrom, {ORD} limit 5000""")
+           """)
 def _(fx):
     return iv.search_annotations(fx.features, "URGENT").select("attributes", "start_bp")
 
@@ -129,38 +147,44 @@ def _(fx):
 
 WIN = """w as (select distinct genome, ord as win_id, cast(k * 1500 as bigint) as w_start,
   cast(k * 1500 + 2500 as bigint) as w_end from (select distinct genome, ord from cmp_contigs),
-  (select unnest(generate_series(0, 3)) as k))"""
+  (select unnest(generate_series(0, 3)) as k)
+  union all select distinct genome, ord, cast(p as bigint), cast(p + d as bigint) from cmp_contigs,
+  (select unnest([5, 1000, 100000000]) as p), (select unnest([0, -3]) as d))"""
 
 
 def _windows(fx):
     g = fx.cmp_contigs.select("genome", "ord").distinct()
     k = g.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return k.select("genome", F.col("ord").alias("win_id"), (F.col("k") * 1500).cast("bigint").alias("w_start"),
+    wide = k.select("genome", F.col("ord").alias("win_id"), (F.col("k") * 1500).cast("bigint").alias("w_start"),
                     (F.col("k") * 1500 + 2500).cast("bigint").alias("w_end"))
+    # Points and intervals given backwards.
+    p = g.withColumn("p", F.explode(F.array(*map(F.lit, (5, 1000, 100000000))))).withColumn("d", F.explode(F.array(F.lit(0), F.lit(-3))))
+    return wide.unionByName(p.select("genome", F.col("ord").alias("win_id"), F.col("p").cast("bigint").alias("w_start"),
+                                     (F.col("p") + F.col("d")).cast("bigint").alias("w_end")))
 
 
 @query("concat_windows_to_contigs", "cmp_contigs",
        "with " + SEGMENTS + ", " + WIN + """ select w.genome, w.w_start, s.chrom,
           cast(greatest(w_start, s.start_bp) - s.start_bp as bigint) as local_start,
           cast(least(w_end, s.end_bp) - s.start_bp as bigint) as local_end
-          from w join segments s on s.genome = w.genome and s.start_bp < w.w_end and s.end_bp > w.w_start""")
+          from w join segments s on s.genome = w.genome and s.start_bp < w.w_end and s.end_bp > w.w_start where w_end > w_start""")
 def _(fx):
-    return iv.concat_windows_to_contigs(_windows(fx), segments(fx), bin_size=4096).select(
+    return iv.concat_windows_to_contigs(_windows(fx).where("w_end > w_start"), segments(fx), bin_size=4096).select(
         "genome", "w_start", "chrom", "local_start", "local_end")
 
 
 @query("to_contig_coords", "cmp_contigs",
-       "with " + SEGMENTS + ", " + WIN + """, o as (select w.*, s.chrom, s.start_bp, s.length,
-            row_number() over (partition by w.genome, w.w_start order by
-              least(w_end, s.end_bp) - greatest(w_start, s.start_bp) desc, s.start_bp) as rk
-          from w join segments s on s.genome = w.genome and s.start_bp < w.w_end and s.end_bp > w.w_start)
-          select w.genome, w.w_start, o.chrom as contig,
-            cast(least(greatest(w.w_start - o.start_bp, 0), o.length) as bigint) as local_start,
-            cast(least(greatest(w.w_end - o.start_bp, 0), o.length) as bigint) as local_end
-          from w left join o on o.genome = w.genome and o.w_start = w.w_start and rk = 1""")
+       "with " + SEGMENTS + ", " + WIN + """, v as (select *, least(w_start, w_end) as a, greatest(w_start, w_end) as b from w),
+          o as (select v.*, s.chrom, s.start_bp, s.length, row_number() over (partition by v.genome, v.w_start, v.w_end order by
+              least(b, s.end_bp) - greatest(a, s.start_bp) desc, s.start_bp) as rk
+          from v join segments s on s.genome = v.genome and s.start_bp <= v.b and s.end_bp >= v.a)
+          select v.genome, v.w_start, v.w_end, o.chrom as contig,
+            case when o.chrom is not null then cast(least(greatest(v.a - o.start_bp, 0), o.length) as bigint) end as local_start,
+            case when o.chrom is not null then cast(least(greatest(v.b - o.start_bp, 0), o.length) as bigint) end as local_end
+          from v left join o on o.genome = v.genome and o.w_start = v.w_start and o.w_end = v.w_end and rk = 1""")
 def _(fx):
-    return iv.to_contig_coords(_windows(fx), segments(fx), id_cols=("win_id", "w_start"), bin_size=4096).select(
-        "genome", "w_start", "contig", "local_start", "local_end")
+    return iv.to_contig_coords(_windows(fx), segments(fx), id_cols=("win_id", "w_start", "w_end"), bin_size=4096).select(
+        "genome", "w_start", "w_end", "contig", "local_start", "local_end")
 
 
 @query("apply_orientation_features", "features",

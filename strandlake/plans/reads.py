@@ -170,7 +170,7 @@ GRID = """tiles as (select chrom, t as tile, t * 4096 as t0, least((t + 1) * 409
 
 
 def mean_sql(total: str) -> str:
-    return f"least(greatest(cast(round({total} / w) as int), case when {total} > 0 then 1 else 0 end), 65535)"
+    return f"greatest(cast(round({total} / w) as int), case when {total} > 0 then 1 else 0 end)"
 
 
 BINNED = f"with {MAPPED}, {GRID}, s as (select pos.chrom, tile, b, w, coalesce(sum(depth), 0) as t, " \
@@ -215,18 +215,24 @@ def _(fx):
         co.coverage_bin_count(F.col("tile_start"), F.col("tile_start") + 1024, F.col("length")).alias("n_bins"))
 
 
-@query("read_tiles", "reads",
-       """with d as (select distinct name, chrom, start_bp, end_bp, flags, mapq, cigar, mate_pos from reads where (flags & 4) = 0),
+READ_TILES = """with d as (select distinct name, chrom, start_bp, end_bp, flags, mapq, cigar, mate_pos from reads where (flags & 4) = 0),
           t as (select *, unnest(generate_series(start_bp // 8192, (end_bp - 1) // 8192)) as tile from d),
           b as (select *, least((greatest(start_bp, tile * 8192) + (least(end_bp, tile * 8192 + 8192)
               - greatest(start_bp, tile * 8192) - 1) // 2 - tile * 8192) * 256 // 8192, 255) as bin from t),
           r as (select *, row_number() over (partition by chrom, tile, bin order by start_bp, end_bp, name, flags, mapq, cigar)
             as rank from b)
-          select chrom, tile, bin, name, start_bp, end_bp, flags, mapq, rank from r
-          where rank <= 1 + case when bin < 300 % 256 then 1 else 0 end""")
+          select chrom, tile, bin, name, start_bp, end_bp, flags, mapq, rank from r"""
+TILE_COLUMNS = ["chrom", "tile", "bin", "name", "start_bp", "end_bp", "flags", "mapq", "rank"]
+
+
+@query("read_tiles", "reads", READ_TILES)
+def _(fx):
+    return rd.read_tiles(fx.reads, zoom=3).select(*TILE_COLUMNS)
+
+
+@query("read_tiles_limited", "reads", READ_TILES + " where rank <= 1 + case when bin < 300 % 256 then 1 else 0 end")
 def _(fx):
-    return rd.read_tiles(fx.reads, zoom=3, limit=300).select(
-        "chrom", "tile", "bin", "name", "start_bp", "end_bp", "flags", "mapq", "rank")
+    return rd.read_tiles(fx.reads, zoom=3, limit=300).select(*TILE_COLUMNS)
 
 
 SAMPLE_KEY = "concat_ws('|', name, start_bp, end_bp, flags, mapq)"
@@ -248,7 +254,9 @@ def _(fx):
             join nb on nb.chrom = s.chrom and nb.tile = s.tile where t1 > 10000 and t0 < 60000),
           m as (select *, cast(least(greatest(floor((t0 + (b + 0.5) * greatest(1.0, (t1 - t0) / nb::double) - 10000) * 100 / 50000),
             0), 99) as int) as bin from v)
-          select chrom, bin, avg(forward) as forward, avg(reverse) as reverse from m group by 1, 2""")
+          select c.chrom, c.bin, coalesce(avg(forward), 0.0) as forward, coalesce(avg(reverse), 0.0) as reverse
+          from (select chrom, cast(unnest(generate_series(0, 99)) as int) as bin from ctg_lengths) c
+          left join m on m.chrom = c.chrom and m.bin = c.bin group by 1, 2""")
 def _(fx):
     bins = rd.strand_coverage_bins(fx.reads, fx.ctg_lengths, zoom=2)
     return rd.strand_summary(bins, fx.ctg_lengths, zoom=2, view_start=10000, view_end=60000, bins=100)
@@ -256,9 +264,12 @@ def _(fx):
 
 @query("fragment_summary", "alignments",
        """with b as (select chrom, least(greatest(cast(floor((start_bp + end_bp) * 0.5) as bigint) * 64 // 4000, 0), 63) as bin,
-            list_sort(list(abs(tlen))) as l from alignments where tlen <> 0 group by 1, 2)
-          select chrom, bin, l[cast(floor((len(l) - 1) * 0.25) as int) + 1] as p25,
-            l[cast(floor((len(l) - 1) * 0.5) as int) + 1] as p50, l[cast(floor((len(l) - 1) * 0.75) as int) + 1] as p75 from b""")
+            list_sort(list(abs(tlen))) as l from alignments where tlen <> 0 group by 1, 2),
+          g as (select chrom, cast(unnest(generate_series(0, 63)) as int) as bin from (select distinct chrom from alignments))
+          select g.chrom, g.bin, coalesce(l[cast(floor((len(l) - 1) * 0.25) as int) + 1], -1) as p25,
+            coalesce(l[cast(floor((len(l) - 1) * 0.5) as int) + 1], -1) as p50,
+            coalesce(l[cast(floor((len(l) - 1) * 0.75) as int) + 1], -1) as p75
+          from g left join b on b.chrom = g.chrom and b.bin = g.bin""")
 def _(fx):
     r = fx.alignments.withColumn("fragment_len", rd.fragment_len())
     return rd.fragment_summary(r, view_start=0, view_end=4000, bins=64)
@@ -274,6 +285,17 @@ def _(fx):
     return both.select("okey", "rn", F.round("lin", 6).alias("lin"), F.round("logged", 6).alias("logged"))
 
 
+def pile_sql(strand: str = "") -> str:
+    """Counts per position, or with ``strand`` (a leading column name and comma) per position and strand."""
+    return PILE.replace("a.start_bp, substr(c.seq", ("(a.flags & 16) <> 0 as reverse, " if strand else "") + "a.start_bp, substr(c.seq").replace(
+        "select a.okey, a.rn, a.chrom, i as pos", f"select {strand}a.okey, a.rn, a.chrom, i as pos").replace(
+        "select e.chrom, e.pos", f"select {strand}e.chrom, e.pos").replace(
+        "n as (select chrom, pos, ref_base, base, count(*) as n from called where base in ('A','C','G','T','D') group by 1, 2, 3, 4)",
+        f"n as (select {strand}chrom, pos, ref_base, base, count(*) as n from called where base in ('A','C','G','T','D') group by all)").replace(
+        "select chrom, cast(pos as int)", f"select {strand}chrom, cast(pos as int)").replace(
+        "partition by chrom, pos", f"partition by {strand}chrom, pos")
+
+
 PILE = OPS + ", " + SNPS + """, del as (select okey, rn, unnest(generate_series(cast(r0 as int), cast(r0 + len - 1 as int))) as pos
     from placed_ops where op = 'D'),
   each_bp as (select a.okey, a.rn, a.chrom, i as pos, substr(frag, cast(i - start_bp + 1 as int), 1) as ref_base from
@@ -293,6 +315,12 @@ def _(fx):
     return rd.pileup_counts(fx.alignments, fx.contigs, ID).select("chrom", "pos", "ref_base", "base", "n", "frac", "ord")
 
 
+@query("pileup_counts_by_strand", "alignments contigs", "with " + pile_sql("reverse, "))
+def _(fx):
+    return rd.pileup_counts(fx.alignments, fx.contigs, ID, by_strand=True).select(
+        "reverse", "chrom", "pos", "ref_base", "base", "n", "frac", "ord")
+
+
 @query("stack_depth", "alignments",
        "with " + AL + """, e as (select chrom, start_bp - length(clip_left) as p, 1 as d from al
             union all select chrom, end_bp + length(clip_right) + 1, -1 from al),

@@ -16,7 +16,7 @@ AA_CASE = "case codon " + " ".join(
 
 def codons(fx):
     """Non-overlapping codons of every contig; binary substring is constant time."""
-    raw = fx.spread_contigs.select("chrom", F.encode("seq", "UTF-8").alias("b"), F.length("seq").alias("n"))
+    raw = fx.contigs.select("chrom", F.encode("seq", "UTF-8").alias("b"), F.length("seq").alias("n"))
     return raw.where("n >= 3").select(
         "b", F.explode(F.expr("sequence(0, n div 3 - 1)")).alias("i")
     ).select(F.decode(F.expr("substring(b, 3 * i + 1, 3)"), "UTF-8").alias("codon"))
@@ -112,7 +112,7 @@ PACKED = " + ".join(
 def _(fx):
     from strandlake.operators.sequence import kmers, seq_chunks
 
-    ks = kmers(seq_chunks(fx.spread_contigs, overlap=14), 15)
+    ks = kmers(seq_chunks(fx.contigs, overlap=14), 15)
     return ks.where("key is not null").groupBy("chrom").agg(
         F.count("*").alias("n"), F.sum("key").alias("key_sum"), F.max("key").alias("key_max"))
 
@@ -191,7 +191,7 @@ def _(fx):
        """with s as (select l_suppkey, l_linenumber, count(*) * 1000 as total, cast(max(l_quantity) as int) as width
             from lineitem group by 1, 2)
           select l_suppkey, l_linenumber, least(greatest(cast(round(total / width) as int),
-            case when total > 0 then 1 else 0 end), 65535) as depth,
+            case when total > 0 then 1 else 0 end)) as depth,
             case when width > 0 then 1 else 0 end as tiny from s""")
 def _(fx):
     s = fx.lineitem.groupBy("l_suppkey", "l_linenumber").agg(

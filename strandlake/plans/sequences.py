@@ -64,8 +64,9 @@ def _(fx):
 
 
 PATTERNS = """pat as (select distinct upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as w from benchmark),
-  pats as (select distinct left(w, 6) as pattern from pat where length(w) >= 6 union select 'ACGTNN' union select 'GGGCCC'
-    union select 'TAGTAGTAG')"""
+  pats as (select distinct substr(w, 10 * i + 1, 10) as pattern from
+      (select w, unnest(generate_series(0, length(w) // 10 - 1)) as i from pat where length(w) >= 10)
+    union select distinct right(w, 10) from pat where w <> '' union select 'ACGTNN' union select 'GGGCCC' union select 'TAGTAGTAG')"""
 HITS = """words as (select pattern, pattern as word, '+' as strand from pats union all
     select pattern, rc, '-' from (select pattern, reverse(translate(pattern, 'ACGT', 'TGCA')) as rc from pats
       where not contains(pattern, 'N')) where rc <> pattern),
@@ -73,27 +74,34 @@ HITS = """words as (select pattern, pattern as word, '+' as strand from pats uni
     unnest(generate_series(0, length(seq) - k)) as p from src, (select distinct length(pattern) as k from pats))),
   hits as (select genome, chrom, pattern, strand, p as start_bp, p + k as end_bp from pos join words using (word)),
   ranked as (select *, row_number() over (partition by genome, chrom, pattern order by strand, start_bp) as rk,
-    count(*) over (partition by genome, chrom, pattern) as n from hits)
-  select genome, chrom, pattern, strand, start_bp, end_bp, n >= 20 as truncated from ranked where rk <= 20"""
+    count(*) over (partition by genome, chrom, pattern) as n from hits)"""
+ALL_HITS = " select {cols}, pattern, strand, start_bp, end_bp, false as truncated from hits"
+FIRST_HITS = " select {cols}, pattern, strand, start_bp, end_bp, n >= 2 as truncated from ranked where rk <= 2"
+CONTIG_SRC = "with src as (select '' as genome, chrom, seq from contigs), "
 
 
 def _patterns(fx):
-    w = fx.benchmark.select(F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("w"))
+    w = fx.benchmark.select(F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("w")).where("w <> ''")
+    tens = w.where("length(w) >= 10").withColumn("i", F.explode(F.expr("sequence(0, length(w) div 10 - 1)")))
+    words = tens.select(F.expr("substring(w, cast(10 * i as int) + 1, 10)").alias("pattern")).unionByName(w.select(F.expr("right(w, 10)").alias("pattern")))
     extra = fx.spark.createDataFrame([("ACGTNN",), ("GGGCCC",), ("TAGTAGTAG",)], "pattern string")
-    return w.where("length(w) >= 6").select(F.expr("left(w, 6)").alias("pattern")).unionByName(extra).distinct()
+    return words.unionByName(extra).distinct()
 
 
-@query("dna_search", "contigs", "with src as (select '' as genome, chrom, seq from contigs), " + PATTERNS + ", " +
-       HITS.replace("select genome, chrom, pattern, strand, start_bp, end_bp, n >=",
-                    "select chrom, pattern, strand, start_bp, end_bp, n >="))
+@query("dna_search", "contigs", CONTIG_SRC + PATTERNS + ", " + HITS + ALL_HITS.format(cols="chrom"))
 def _(fx):
-    return sq.dna_search(fx.contigs, _patterns(fx), max_hits=20)
+    return sq.dna_search(fx.contigs, _patterns(fx))
+
+
+@query("dna_search_first", "contigs", CONTIG_SRC + PATTERNS + ", " + HITS + FIRST_HITS.format(cols="chrom"))
+def _(fx):
+    return sq.dna_search(fx.contigs, _patterns(fx), max_hits=2)
 
 
 @query("dna_search_genomes", "cmp_contigs",
-       "with src as (select genome, chrom, seq from cmp_contigs), " + PATTERNS + ", " + HITS)
+       "with src as (select genome, chrom, seq from cmp_contigs), " + PATTERNS + ", " + HITS + ALL_HITS.format(cols="genome, chrom"))
 def _(fx):
-    return sq.dna_search(fx.cmp_contigs, _patterns(fx), max_hits=20, keys=("genome", "chrom"))
+    return sq.dna_search(fx.cmp_contigs, _patterns(fx), keys=("genome", "chrom"))
 
 
 MINIMIZER_SQL = """{out} as (select distinct {keys}, length, key, pos from (select {keys}, length,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,16 +32,41 @@ def get_spark(app: str = "strandlake", master: str | None = None, **conf: str) -
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared folder (``spark.checkpoint.dir``).
+    """A fresh path under the cluster's shared folder (``spark.checkpoint.dir``), deleted when the application ends.
 
-    Only when that setting is absent (tests, one machine) is a local folder made
-    and remembered for the session.
+    Without that setting a local folder is made, but only for a local master: executors of a cluster
+    would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandlake/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/strandlake/{spark.sparkContext.applicationId}"
+    path, fs = _hadoop(spark, own)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` made in this application; DataFrames that read them can't be used any more."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path, fs = _hadoop(spark, f"{base.rstrip('/')}/strandlake/{spark.sparkContext.applicationId}")
+        fs.delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

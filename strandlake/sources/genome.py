@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandlake.functions.annotation import parse_location, parse_qualifier
+from strandlake.operators.catalog import resolve_contigs, same_sequence_set, unmatched_contigs
 from strandlake.operators.prefix import prefix_sums
+from strandlake.sources.detect import inspect_inputs
 from strandlake.sources.lines import ordered_lines, text_records
 
 FEATURE_COLUMNS = ("chrom", "source", "type", "start_bp", "end_bp", "strand", "phase", "attributes")
@@ -32,8 +34,9 @@ def read_fasta(spark: SparkSession, path: str | list[str], *, strict: bool = Tru
     """
     recs = text_records(spark, path, "\n>")
     # The first record of a file keeps its '>', unless blank lines come before it.
-    firsts = recs.groupBy("file").agg(F.min(F.struct("block", "id", F.substring("value", 1, 64).alias("head"))).alias("f"))
-    bad = firsts.where(F.col("f.head").rlike(r"\S")).where(~F.trim(F.regexp_replace("f.head", "^﻿", "")).startswith(">"))
+    head = F.regexp_extract("value", r"^﻿?\s*(\S)", 1)  # the first letter, however far in
+    firsts = recs.groupBy("file").agg(F.min(F.struct("block", "id", head.alias("head"))).alias("f"))
+    bad = firsts.where(~F.col("f.head").isin("", ">"))
     if strict:
         wrong = bad.limit(1).collect()
         if wrong:
@@ -142,10 +145,21 @@ def read_embl(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Da
     return _flat_contigs(recs, "SQ"), _flat_features(recs, table, r"\n(?=FT\s{3}\S)", r"FT\s{3}")
 
 
-def load_genome(sequences: list[DataFrame], features: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _known_names(features: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Features under the genome's own contig names (B4); a name that no contig has (B5) is an error."""
+    names = features.select(F.col("chrom").alias("name")).distinct()
+    missing = [r["name"] for r in unmatched_contigs(names, contigs).limit(5).collect()]
+    if missing:
+        raise ValueError(f"annotation contigs do not match the genome: {missing}")
+    found = resolve_contigs(names, contigs).select(F.col("name").alias("chrom"), F.col("chrom").alias("__chrom"))
+    return features.join(found, "chrom").withColumn("chrom", F.col("__chrom")).select(*features.columns)
+
+
+def load_genome(sequences: list[DataFrame], features: list[DataFrame], *, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(contigs, features) over many inputs: later inputs replace equal contig names.
 
-    length is that of the sequence, or the largest feature end where no input has one.
+    length is that of the sequence, or the largest feature end beyond it. When strict, feature contigs are resolved by
+    name or alias and one without sequence is an error; otherwise it becomes a contig of its own.
     """
     feats = reduce(DataFrame.unionByName, [f.select(*FEATURE_COLUMNS) for f in features]) if features else None
     known = None
@@ -156,12 +170,43 @@ def load_genome(sequences: list[DataFrame], features: list[DataFrame]) -> tuple[
             last = both.groupBy("chrom").agg(F.max("__i").alias("__i"))
             both = both.join(last, ["chrom", "__i"], "left_semi")
         known = both.select("chrom", F.length("seq").cast("int").alias("length"), "seq")
+    if known is None and (strict or feats is None):
+        raise ValueError("no sequence among the inputs")
     if feats is None:
-        if known is None:
-            raise ValueError("no inputs")
         return known, None
-    ends = feats.groupBy("chrom").agg(F.max("end_bp").cast("int").alias("length"))
+    if strict:
+        feats = _known_names(feats, known)
+    ends = feats.groupBy("chrom").agg(F.max("end_bp").cast("int").alias("__end"))
     if known is None:
-        return ends.withColumn("seq", F.lit(None).cast("string")), feats
-    bare = ends.join(known.select("chrom"), "chrom", "left_anti").withColumn("seq", F.lit(None).cast("string"))
-    return known.unionByName(bare), feats
+        return ends.select("chrom", F.col("__end").alias("length"), F.lit(None).cast("string").alias("seq")), feats
+    contigs = known.join(ends, "chrom", "left" if strict else "full_outer")
+    return contigs.select("chrom", F.greatest("length", "__end").alias("length"), "seq"), feats
+
+
+def load_genome_files(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``load_genome`` of all files under a path, each read by its detected kind.
+
+    The sequence embedded in GFF3 files is the genome's if there is no other; else it has to be the same (B6).
+    """
+    found = inspect_inputs(spark, path).select("file", "kind", "has_embedded_sequence").collect()  # one row a file
+    of = lambda *kinds: [r.file for r in found if r.kind in kinds]
+    sequences, features = [], []
+    if of("fasta"):
+        sequences.append(read_fasta(spark, of("fasta"), strict=strict))
+    if of("flatfile"):
+        for reader in (read_genbank, read_embl):  # a file has records of one of the two
+            contigs, feats = reader(spark, of("flatfile"))
+            sequences.append(contigs)
+            features.append(feats)
+    if of("gff3"):
+        features.append(read_gff3(spark, of("gff3")))
+    embedded = [r.file for r in found if r.has_embedded_sequence]
+    if embedded:
+        own = read_gff3_sequences(spark, embedded, strict=strict)
+        if sequences:
+            main = reduce(DataFrame.unionByName, [q.select("chrom", "seq") for q in sequences])
+            if strict and not same_sequence_set(own, main).first().same:
+                raise ValueError("embedded GFF3 sequence does not match the reference")
+        else:
+            sequences.append(own)
+    return load_genome(sequences, features, strict=strict)

@@ -31,6 +31,6 @@ def ordered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def first_lines(lines: DataFrame) -> DataFrame:
     """(file, line): first non-blank line of each file, trimmed, byte-order mark removed."""
-    clean = F.regexp_replace(F.substring("value", 1, 4096), rf"^[\s{BOM}]+|\s+$", "")
+    clean = F.regexp_replace("value", rf"^[\s{BOM}]+|\s+$", "")
     seen = lines.select("file", "block", "id", clean.alias("line")).where("line <> ''")
     return seen.groupBy("file").agg(F.min(F.struct("block", "id", "line")).alias("h")).select("file", F.col("h.line").alias("line"))

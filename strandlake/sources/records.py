@@ -58,10 +58,23 @@ def read_vcf(spark: SparkSession, path: str | list[str], *, contigs: DataFrame |
     return out.join(found, "chrom").withColumn("chrom", F.col("__chrom")).drop("__chrom")
 
 
-def read_alignments(spark: SparkSession, path: str | list[str], *, parquet: bool = False) -> DataFrame:
-    """Alignments from SAM text, or from Parquet with the canonical columns."""
+def _in_genome(rows: DataFrame, contigs: DataFrame, *columns: str) -> DataFrame:
+    """Rows under the genome's own contig names; a name that no contig has is an error, no name stays none."""
+    for c in columns:
+        names = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("name")).distinct()
+        missing = [r["name"] for r in unmatched_contigs(names, contigs).limit(5).collect()]
+        if missing:
+            raise ValueError(f"alignment contigs do not match the genome: {missing}")
+        found = resolve_contigs(names, contigs).select(F.col("name").alias(c), F.col("chrom").alias("__chrom"))
+        rows = rows.join(found, c, "left").withColumn(c, F.col("__chrom")).select(*rows.columns)
+    return rows
+
+
+def read_alignments(spark: SparkSession, path: str | list[str], *, parquet: bool = False, contigs: DataFrame | None = None) -> DataFrame:
+    """Alignments from SAM text, or from Parquet with the canonical columns; with ``contigs`` under their names."""
     if parquet:
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(path)
+        return rows if contigs is None else _in_genome(rows, contigs, "chrom", "mate_chrom")
     lines = text_records(spark, path).select("file", F.regexp_replace("value", "[\r\n]", "").alias("v"))
     c = lines.where(~F.col("v").rlike("^@[A-Z][A-Z](\t|$)")).select("file", "v", F.split("v", "\t").alias("c")).where(F.size("c") >= 11)
     part = lambda i: F.element_at("c", i + 1)
@@ -74,4 +87,5 @@ def read_alignments(spark: SparkSession, path: str | list[str], *, parquet: bool
         (part(7).cast("int") - 1).alias("mate_pos"), part(8).cast("int").alias("tlen"),
         F.when(part(9) == "*", "").otherwise(part(9)).alias("read_seq"),
         F.nullif(F.regexp_extract("v", "\tMD:Z:([^\t]*)", 1), F.lit("")).alias("md"))
-    return rows.withColumn("end_bp", F.col("start_bp") + reference_span("cigar", F.length("read_seq")))
+    rows = rows.withColumn("end_bp", F.col("start_bp") + reference_span("cigar", F.length("read_seq")))
+    return rows if contigs is None else _in_genome(rows, contigs, "chrom", "mate_chrom")

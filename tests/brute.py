@@ -32,14 +32,14 @@ def minimizers(seq: str, reverse: bool = False) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def anchors(q: str, t: str, same: bool) -> list[tuple[int, int, int]]:
-    """(q, t, t along the strand), frequent target keys thinned to 64 evenly spaced ones."""
+def anchors(q: str, t: str, same: bool, most: int | None = None) -> list[tuple[int, int, int]]:
+    """(q, t, t along the strand), frequent target keys thinned to ``most`` evenly spaced ones."""
     index: dict[int, list[int]] = {}
     for pos, key in minimizers(t, reverse=not same):
         index.setdefault(key, []).append(pos)
     for key, ps in index.items():
-        if len(ps) > 64:
-            index[key] = [ps[i] for i in sorted({i * (len(ps) - 1) // 63 for i in range(64)})]
+        if most and len(ps) > most:
+            index[key] = [ps[i] for i in sorted({i * (len(ps) - 1) // (most - 1) for i in range(most)})]
     return [(qp, tp, tp if same else len(t) - tp - K) for qp, key in minimizers(q) for tp in index.get(key, [])]
 
 

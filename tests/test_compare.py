@@ -193,11 +193,16 @@ def test_block_detail_small_and_large(spark):
                               "genome string, chrom string, seq string")
     b = spark.createDataFrame(
         [("big", "a", "b", "x", "y", True, 0, len(q), 0, len(t), 9000),
-         ("small", "a", "b", "s", "r", False, 0, 400, 0, len(small_t), 9000)],
+         ("small", "a", "b", "s", "r", False, 0, 400, 0, len(small_t), 9000),
+         ("tiny", "a", "b", "s", "r", True, 0, 5, 390, 395, 9000), ("none", "a", "b", "s", "r", True, 7, 7, 0, 0, 9000),
+         ("lost", "a", "b", "s", "zz", True, 0, 50, 0, 50, 9000)],
         "block_id string, q_genome string, t_genome string, q_chrom string, t_chrom string, same_strand boolean, "
         "q_start int, q_end int, t_start int, t_end int, ident_x100 int")
     details, ops = cp.block_detail(b, c)
     d = {r.block_id: r for r in details.collect()}
+    assert len(d) == 5 and d["small"].status == d["big"].status == "refined"
+    assert d["none"].status == "empty span" and d["lost"].status == "unknown contig"
+    assert all((d[k].ident_x100 is None) == (d[k].status != "refined") for k in d)
     text = {}
     for r in ops.orderBy("block_id", "run_no").collect():
         text[r.block_id] = text.get(r.block_id, "") + r.op * r.len
@@ -217,7 +222,7 @@ def test_block_detail_small_and_large(spark):
     assert (i, j) == (len(q), len(t)) and d["big"].ident_x100 == brute.ident(text["big"]) > 9700
 
 
-def test_frequent_seeds_are_thinned(spark, monkeypatch):
+def test_frequent_seeds_are_kept_or_thinned(spark, monkeypatch):
     monkeypatch.setattr(cp, "HOT_SEEDS", 3)
     rng = random.Random(2)
     unit = dna(rng, 40)
@@ -225,6 +230,7 @@ def test_frequent_seeds_are_thinned(spark, monkeypatch):
     c = spark.createDataFrame([("a", "x", (unit + dna(rng, 30)) * 9), ("b", "y", rep)], "genome string, chrom string, seq string")
     fwd = minimizers(c, keys=("genome", "chrom"))
     p = spark.createDataFrame([("a", "b")], "q_genome string, t_genome string")
-    got = sorted((r.q_pos, r.t_pos, r.t_trans) for r in cp.seed_join(fwd, fwd, None, p).collect())
-    want = sorted(brute.anchors(c.collect()[0].seq, rep, True))
-    assert got == want and len(got) >= 64
+    for most in (None, 64):
+        got = sorted((r.q_pos, r.t_pos, r.t_trans) for r in cp.seed_join(fwd, fwd, None, p, max_hits=most).collect())
+        want = sorted(brute.anchors(c.collect()[0].seq, rep, True, most))
+        assert got == want and len(got) >= 64

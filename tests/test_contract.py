@@ -6,6 +6,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from strandlake.plans import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 SOME = (
@@ -16,10 +17,11 @@ SOME = (
 
 
 def test_every_oracle_has_a_query():
-    q, o = entry.queries(), entry.oracle_sql()
+    q, o = all_queries(), all_oracles()
+    assert set(q) <= set(entry.queries()) and set(o) <= set(entry.oracle_sql())
     assert set(o) <= set(q) and len(q) >= 132
     assert set(q) - set(o) <= {"split_chains", "merge_chains", "align_gaps", "refine_blocks", "compare_genomes",
-                               "found_block_variants", "block_detail", "select_monotonic"}
+                               "found_block_variants", "block_details_store", "block_detail", "select_monotonic"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")

@@ -68,5 +68,5 @@ def test_coordinates(spark):
               alias=normalize_chrom_alias(lit("chr1.12")), keep=normalize_chrom_alias(lit("chr.v1")),
               frame=co.feature_frame(lit("CDS"), lit("-"), lit(0), lit(10), lit(1)), other=co.feature_frame(lit("exon"), lit("+"), lit(0), lit(9), lit(0)),
               label=co.location_label(lit("c"), lit(4), lit(9)))
-    assert got == {"s": 6, "e": 8, "p": 7, "small": 1, "half": 3, "top": 65535, "bins": 128, "full": 256, "z": 3, "z0": 0, "z16": 16,
+    assert got == {"s": 6, "e": 8, "p": 7, "small": 1, "half": 3, "top": 1000000000, "bins": 128, "full": 256, "z": 3, "z0": 0, "z16": 16,
                    "neg": -1, "alias": "chr1", "keep": "chr.v1", "frame": 3, "other": -1, "label": "c:5-9"}
