@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from strandlake.functions import coords as co
 from strandlake.functions.annotation import feature_name, gff_attribute
 from strandlake.operators.prefix import STEP, prefix_sums, rank_in_order
+from strandlake.session import materialize
 
 LONG_BINS = 64
 COARSE = 4096
@@ -113,10 +114,13 @@ def spread_sample(
 
 
 def _attached_cds(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all rows with ids, rows with a parent, CDS rows with the gene they attach to or NULL)."""
-    f = features.withColumns({
+    """(all rows with ids, rows with a parent, CDS rows with the gene they attach to or NULL).
+
+    Each table is stored once, because the next one and the callers read it several times.
+    """
+    f = materialize(features.withColumns({
         "fid": gff_attribute("attributes", "ID"), "parent": gff_attribute("attributes", "Parent"),
-        "kind": F.lower("type")})
+        "kind": F.lower("type")}), "features_named")
     genes = f.where("kind = 'gene'")
     place = ["chrom", "strand", "start_bp", "end_bp", "source"]
     by_id = genes.where("fid <> ''").select("fid").distinct()
@@ -124,12 +128,12 @@ def _attached_cds(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     by_place = genes.groupBy(*place).agg(F.max(F.struct("attributes", "fid")).alias("g")).select(
         *place, F.col("g.fid").alias("place_gene"))
     parents = f.where("fid <> ''").groupBy("fid").agg(F.max("parent").alias("grandparent"))
-    kids = f.where("parent <> ''").join(parents.withColumnRenamed("fid", "parent"), "parent", "left")
+    kids = materialize(f.where("parent <> ''").join(parents.withColumnRenamed("fid", "parent"), "parent", "left"), "features_placed")
     g1 = by_id.select(F.col("fid").alias("parent"), F.col("fid").alias("gene1"))
     g2 = by_id.select(F.col("fid").alias("grandparent"), F.col("fid").alias("gene2"))
     cds = kids.where("kind = 'cds'").join(g1, "parent", "left").join(g2, "grandparent", "left").join(
         by_place, place, "left").withColumn("gene", F.coalesce("gene1", "gene2", "place_gene"))
-    return f, kids, cds
+    return f, kids, materialize(cds, "cds_attached")
 
 
 def gene_cds_parts(features: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def collapse_gene_cds(features: DataFrame) -> DataFrame:
     other children and grandchildren.
     """
     f, kids, cds = _attached_cds(features)
-    per_gene = cds.where("gene is not null").groupBy("gene").agg(F.count("*").alias("n_parts"))
+    per_gene = materialize(cds.where("gene is not null").groupBy("gene").agg(F.count("*").alias("n_parts")), "cds_per_gene")
     multi = per_gene.where("n_parts > 1").select("gene")
     loose = cds.where("gene is null").select(*features.columns, "parent", "grandparent")
     others = kids.where("kind not in ('gene', 'cds')").select(*features.columns, "parent", "grandparent")
