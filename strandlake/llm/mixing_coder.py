@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from strandlake.llm.batches import by_bytes, one, strings
 from strandlake.llm.tokens import default_tokenizer, encoder
 
-BLOCK_IDS, STEPS, MOST_SYMBOLS = 1 << 20, 256, 1 << 15
+BLOCK_IDS, STEPS, MOST_SYMBOLS = 1 << 21, 256, 1 << 15
 HEADER = struct.Struct("<4sIIIIII")
 MAGIC = b"IDM1"
 NEAR2, NEAR1 = 2, 24  # candidates of the two contexts
@@ -336,11 +336,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoder(file), 0
-        keys, ids, counts, held = [], [], [], 0
-
-        def blocks() -> pa.RecordBatch:
-            nonlocal number
-            made = encode_block(np.concatenate(ids), keys, np.concatenate(counts))
+        keys: list[int | None] = []
+        ids, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+        def blocks(docs: int) -> pa.RecordBatch:
+            """The first so many held documents, coded."""
+            nonlocal number, keys, ids, counts
+            cut = int(counts[:docs].sum())
+            made = encode_block(ids[:cut], keys[:docs], counts[:docs])
+            keys, ids, counts = keys[docs:], ids[cut:], counts[docs:]
             sizes = [block_size(b) for b in made]
             part = TaskContext.get().partitionId()
             out = pa.RecordBatch.from_arrays([
@@ -349,17 +353,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
             number += len(made)
             return out
 
-        for t in by_bytes(batches, limit=2 << 20):
+        for t in by_bytes(batches, limit=6 << 20):
             got, n = enc.encode(strings(t.column("text")))
-            ids.append(np.insert(got, np.cumsum(n), end_id).astype(np.uint32))
-            counts.append(n + 1)
+            ids = np.concatenate([ids, np.insert(got, np.cumsum(n), end_id).astype(np.uint32)])
+            counts = np.concatenate([counts, n + 1])
             keys += one(t.column("doc_id")).to_pylist()
-            held += len(ids[-1])
-            if held >= block_ids:
-                yield blocks()
-                keys, ids, counts, held = [], [], [], 0
+            while len(ids) >= block_ids:
+                yield blocks(int(np.searchsorted(np.cumsum(counts), block_ids)) + 1)
         if keys:
-            yield blocks()
+            yield blocks(len(keys))
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
