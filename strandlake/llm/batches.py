@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once by one task.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 
 
 def text_bytes(column: pa.Array) -> int:
@@ -32,10 +33,22 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
                 size += int(ends[to - 1] - base)
                 at = to
             if at < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
+                full, held, size = pa.Table.from_batches(held), [], 0
+                yield full
+                del full
+                give_back()
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def one(column: pa.ChunkedArray) -> pa.Array:

@@ -81,7 +81,7 @@ class Terms:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def of(self, word: str) -> tuple[int, ...]:
-        if len(self.words) > 500_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         got = self.words.get(word)
         if got is None:
@@ -233,7 +233,7 @@ def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
             for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
                 key = (tuple(t), tuple(c))
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > 20_000:
                         known.clear()
                     known[key] = m.score(t, c)
                 out.append(known[key])
@@ -264,6 +264,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         m, counter = shared.value, Terms(shared.value.terms)
         for t in by_bytes(batches):
             scores = [m.score(*map(list, zip(*sorted(c.items()))))[0] if c else m.base for c in counter.vectors(strings(t.column("text")))]
-            yield from t.filter(pa.array([s < threshold for s in scores], pa.bool_())).combine_chunks().to_batches()
+            yield from t.filter(pa.array([s < threshold for s in scores], pa.bool_())).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

@@ -152,6 +152,7 @@ def sketched(docs: DataFrame, sketches: int = SKETCHES, ordered: int = ORDERED)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(entries)))
             yield pa.RecordBatch.from_arrays([one(t.column("id")), one(t.column("node")), pa.array(counts, pa.int32()), lists],
                                              names=["id", "node", "n", "sketch"])
+            del codes, names, hashes, done, entries, lists
 
     return _keyed(docs).mapInArrow(run, "id long, node binary, n int, sketch array<long>")
 
@@ -164,6 +165,7 @@ def _profiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             hashes = word_hashes(names)[codes]
             runs = [kmers(hashes[a:b]).astype("<u8").tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([one(t.column("node")), pa.array(runs, pa.binary())], names=["node", "runs"])
+            del codes, names, hashes, runs
 
     rows = _keyed(docs).join(wanted, ["id", "node"], "left_semi").select("node", "text")
     return rows.mapInArrow(run, "node binary, runs binary").dropDuplicates(["node"])

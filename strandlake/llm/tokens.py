@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, with each distinct space-led word encoded once per Python worker.
 
-Before its merges a byte-level BPE cuts a text at every single space between two other characters, so
-the ids of a text are those of its words in turn. Texts in which a space stands beside other white space
-are encoded whole. Nothing here changes an id: the tests hold it against the library on whole texts.
+Before its merges a byte-level BPE cuts a text at every single space or line end between two other characters, so
+the ids of a text are those of its words in turn. Texts in which a space stands beside other white space are encoded
+whole. Nothing here changes an id: the tests hold it against the library on whole texts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from strandlake.llm.batches import slices
 
 #: A space beside another white space character: such texts are not cut at spaces.
-_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-UNEVEN_SPACE = f" {_WHITE}|{_WHITE} "
+_SPACES = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+UNEVEN_SPACE = f" [{_SPACES}]|[{_SPACES}] |\x01"
+#: A line end between two other characters; the mark stands for it at the head of a word.
+LINE_END, LINE_MARK = f"([^{_SPACES}])\n([^{_SPACES}])", "\x01"
 #: Words kept by a worker; later words are encoded each time they come.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -36,6 +38,10 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def led(word: str) -> str:
+    return "\n" + word[1:] if word[:1] == LINE_MARK else " " + word
+
+
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,19 +68,22 @@ class WordEncoder:
         return out
 
     def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of `` word`` for each word, end to end, and their counts."""
+        """Ids of each word with the space or line end before it, end to end, and their counts."""
         ids, counts = [], []
+        lengths = pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths += np.fromiter((w[:1] != LINE_MARK for w in words), np.int64, len(words))
         for at in range(0, len(words), 2048):
             part = words[at:at + 2048]
-            got = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part)))
+            text = (" " + " ".join(part)).replace(" " + LINE_MARK, "\n")
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(lengths[at:at + 2048])
             reach = np.cumsum(self.token_bytes[got])
             cuts = np.searchsorted(reach, ends) + 1
             if len(got) and cuts[-1] == len(got) and np.array_equal(reach[cuts - 1], ends):
                 ids.append(got)
                 counts.append(np.diff(cuts, prepend=0))
             else:  # a token across two words: never seen, but then each word goes alone
-                each = self.whole([" " + w for w in part])
+                each = self.whole([led(w) for w in part])
                 ids += each
                 counts.append(np.array([len(x) for x in each], np.int64))
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32),
@@ -99,7 +108,8 @@ class WordEncoder:
         """For each text its word entries, as flat entry numbers and text offsets; what to cut the pool back to."""
         odd = pc.match_substring_regex(texts, UNEVEN_SPACE).to_numpy(zero_copy_only=False).astype(bool)
         plain = pc.if_else(pa.array(~odd), texts, "")
-        words = pc.split_pattern(plain, " ")
+        lines = pc.replace_substring_regex(plain, LINE_END, f"\\1 {LINE_MARK}\\2")
+        words = pc.split_pattern(lines, " ")
         offsets = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
         codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -109,9 +119,9 @@ class WordEncoder:
         heads = np.zeros(len(codes), bool)
         heads[offsets[:-1]] = True
         used[codes[~heads]] = True
-        missing = np.flatnonzero((number < 0) & used)
-        even = [i for i in missing.tolist() if names[i] and not names[i][0].isspace() and not names[i][-1].isspace()]
-        rest = sorted(set(missing.tolist()) - set(even))
+        missing = np.flatnonzero((number < 0) & used).tolist()
+        even = [i for i in missing if names[i]]
+        rest = [i for i in missing if not names[i]]  # a space at the end of a text
         room = max(0, self.cache_words - len(self.known))
         keep = even[:room]
         at = self._store(*self._spaced([names[i] for i in keep]))
@@ -121,7 +131,7 @@ class WordEncoder:
         late = even[room:]
         at = self._store(*self._spaced([names[i] for i in late]))
         number[late] = np.arange(at, at + len(late))
-        at = self._lone([" " + names[i] for i in rest])
+        at = self._lone([" "] * len(rest))
         number[rest] = np.arange(at, at + len(rest))
         entry = number[codes]
         alone = texts.filter(pa.array(odd)).to_pylist()
