@@ -2,14 +2,16 @@
 
 A mask fixes which words of a window count. Its hash is the same for two windows that agree on those words, whatever
 stands between, so a passage with some words replaced still shares hashes with the test item. The hashes of the test
-items and of the documents are joined, and around every hit the words on its diagonal are compared: an overlap counts
-from ``OVERLAP`` words (or four fifths of a shorter item) of which at least ``SHARE`` are equal.
+items and of the documents are joined, and all words on a hit's diagonal are compared: an overlap counts from ``OVERLAP``
+words (or four fifths of a shorter item) of which at least ``SHARE`` are equal. The masks are such that every overlap that
+counts with an item of ``LEAST`` words or more holds a hit of one of them; a shorter item has to be there whole.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,10 @@ from strandlake.llm.batches import by_bytes, one, split_words, strings, word_has
 from strandlake.session import materialize
 
 #: Words under 1 are compared, words under 0 are not.
-MASKS = ("111010011", "110010111", "101101101")
-OVERLAP, SHARE, FLANK = 13, 0.8, 32
+MASKS = ("111011", "11001011", "11111")
+OVERLAP, SHARE, LEAST = 13, 0.8, 9
+#: Bytes of words that one batch of hits holds.
+HIT_BYTES = 16 << 20
 #: Bits of the filter for each test hash, and the largest filter (128 MB). Beyond it more document hashes reach the join.
 BITS_PER_SEED, MOST_BITS = 4096, 1 << 30
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -48,14 +52,14 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """All seeds of all items. An item shorter than the masks has one seed of all its words; one without words has none."""
+    """All seeds of all items. An item of fewer than ``LEAST`` words has one seed of all of them; one without words has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bytes(batches, limit=1 << 20):
             hashes, offsets = normal_hashes(strings(t.column("text")))
             rows: list[tuple] = []
             for item, a, b in zip(t.column("item_id").to_pylist(), offsets, offsets[1:]):
                 words = hashes[a:b]
-                masks = MASKS if b - a >= len(MASKS[0]) else ("1" * int(b - a),) if b > a else ()
+                masks = MASKS if b - a >= LEAST else ("1" * int(b - a),) if b > a else ()
                 data = words.astype("<u8").tobytes()
                 rows += [(s, item, i, data) for m in masks for i, s in enumerate(seed_hashes(words, m).view(np.int64).tolist())]
             cols = list(zip(*rows)) or [(), (), (), ()]
@@ -77,36 +81,37 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def best_overlap(equal: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the longest stretch that starts and ends with an equal word and has ``share`` of them: start, length."""
-    n, w = equal.shape
-    sums = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(equal, axis=1, dtype=np.int32)], axis=1)
-    starts, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for length in range(w, 0, -1):  # longest first; most rows end early
-        open_rows = np.flatnonzero(lengths == 0)
-        if not len(open_rows):
-            break
-        s = sums[open_rows]
-        good = (s[:, length:] - s[:, :-length] >= math.ceil(share * length - 1e-9)) & equal[open_rows, :w - length + 1] & equal[open_rows, length - 1:]
-        hit = good.any(axis=1)
-        starts[open_rows[hit]] = good[hit].argmax(axis=1)
-        lengths[open_rows[hit]] = length
-    return starts, lengths
+def best_overlap(equal: np.ndarray, share: Fraction) -> tuple[int, int, int]:
+    """The longest stretch that starts and ends with an equal word and has ``share`` of them: start, length, equal words."""
+    sums = np.concatenate([[0], np.cumsum(equal)])
+    level = share.denominator * sums - share.numerator * np.arange(len(sums))  # a stretch is good if it doesn't end lower
+    starts = np.flatnonzero(equal)
+    if not len(starts):
+        return 0, 0, 0
+    lowest = np.minimum.accumulate(level[starts])
+    ends = starts + 1
+    first = starts[np.searchsorted(-lowest, -level[ends])]  # a stretch of one word is always good
+    k = int((ends - first).argmax())
+    a, b = int(first[k]), int(ends[k])
+    return a, b - a, int(sums[b] - sums[a])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share: float = SHARE) -> DataFrame:
     """(doc_id, node, item_id, start, length, equal) of the longest overlap of each document with each test item.
 
-    start and length are words of the document within ``FLANK`` words of a hit; node stands for the document's text (16
-    bytes of its SHA-256), so rows that share a null or repeated doc_id are told apart. Null and empty texts overlap with
+    start and length are words of the document, along the whole item; the masks are made for the given ``overlap`` and
+    ``share``, or larger ones. node stands for the document's text (16 bytes of its SHA-256), so rows that share a null or repeated doc_id are told apart. Null and empty texts overlap with
     nothing. Repeated rows give one row. Other columns of either table are not read. An empty table on either side gives
     no rows.
     """
     spark = docs.sparkSession
     seeds = materialize(item_seeds(benchmark), "item-seeds")
     bitmap = spark.sparkContext.broadcast(seed_filter(seeds))
-    short = [r.n for r in seeds.select((F.octet_length("words") / 8).cast("int").alias("n")).filter(F.col("n") < len(MASKS[0])).distinct().collect()]
+    size = (F.octet_length("words") / 8).cast("int")
+    short = [r.n for r in seeds.select(size.alias("n")).filter(F.col("n") < LEAST).distinct().collect()]
     masks = [*MASKS, *("1" * n for n in short)]
+    longest = seeds.agg(F.max(size)).first()[0] or 0
+    exact = Fraction(share).limit_denominator(1000)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -123,37 +128,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, overlap: int = OVERLAP, share:
                 inside = p + len(m) <= ends[doc]
                 found.append((s[p[inside]].view(np.int64), p[inside], doc[inside]))
             seed, p, doc = (np.concatenate(x) for x in zip(*found))
-            low, high = np.maximum(p - FLANK, offsets[doc]), np.minimum(p + len(MASKS[0]) + FLANK, ends[doc])
+            low, high = np.maximum(p - longest, offsets[doc]), np.minimum(p + longest, ends[doc])
             data = hashes.astype("<u8").tobytes()
-            yield pa.RecordBatch.from_arrays([
-                one(t.column("doc_id")).take(pa.array(doc)), one(t.column("node")).take(pa.array(doc)), pa.array(seed),
-                pa.array((p - offsets[doc]).astype(np.int32)), pa.array((low - offsets[doc]).astype(np.int32)),
-                pa.array([data[a * 8:b * 8] for a, b in zip(low.tolist(), high.tolist())], pa.binary())],
-                names=["doc_id", "node", "seed", "at", "context_at", "context"])
+            rows = max(1, HIT_BYTES // (16 * longest or 1))
+            for lo in range(0, len(p), rows):
+                part = slice(lo, lo + rows)
+                d, first = pa.array(doc[part]), offsets[doc[part]]
+                yield pa.RecordBatch.from_arrays([
+                    one(t.column("doc_id")).take(d), one(t.column("node")).take(d), pa.array(seed[part]),
+                    pa.array((p[part] - first).astype(np.int32)), pa.array((low[part] - first).astype(np.int32)),
+                    pa.array([data[a * 8:b * 8] for a, b in zip(low[part].tolist(), high[part].tolist())], pa.binary())],
+                    names=["doc_id", "node", "seed", "at", "context_at", "context"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 2 * FLANK + len(MASKS[0])
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                b = batch.slice(lo, 2000)
-                equal = np.zeros((b.num_rows, width), bool)
-                sizes = []
-                shift = (b.column("at").to_numpy() - b.column("item_at").to_numpy()).tolist()
-                context_at = b.column("context_at").to_numpy()
-                for i, (x, y, d, c) in enumerate(zip(b.column("context").to_pylist(), b.column("words").to_pylist(), shift, context_at.tolist())):
-                    doc, item = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    first, stop = max(c, d), min(c + len(doc), d + len(item))
-                    equal[i, first - c:stop - c] = doc[first - c:stop - c] == item[first - d:stop - d]
-                    sizes.append(len(item))
-                starts, lengths = best_overlap(equal, share)
-                need = np.minimum(overlap, np.ceil(share * np.array(sizes, np.int64) - 1e-9))
-                sums = np.concatenate([np.zeros((b.num_rows, 1), np.int32), np.cumsum(equal, axis=1, dtype=np.int32)], axis=1)
-                rows = np.arange(b.num_rows)
-                same = sums[rows, starts + lengths] - sums[rows, starts]
-                yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id"), b.column("node"), b.column("item_id"), pa.array((context_at + starts).astype(np.int32)),
-                    pa.array(lengths.astype(np.int32)), pa.array(same.astype(np.int32))],
-                    names=["doc_id", "node", "item_id", "start", "length", "equal"]).filter(pa.array((lengths > 0) & (lengths >= need)))
+        for b in batches:
+            seen: set[tuple] = set()  # diagonals of this batch: each is compared once
+            keep, found = [], []
+            shift = (b.column("at").to_numpy() - b.column("item_at").to_numpy()).tolist()
+            keys = zip(b.column("doc_id").to_pylist(), b.column("node").to_pylist(), b.column("item_id").to_pylist(), shift)
+            context, items = b.column("context"), b.column("words")
+            for i, (key, d, c) in enumerate(zip(keys, shift, b.column("context_at").to_pylist())):
+                if key in seen:
+                    continue
+                seen.add(key)
+                doc, item = np.frombuffer(context[i].as_buffer(), "<u8"), np.frombuffer(items[i].as_buffer(), "<u8")
+                first, stop = max(c, d), min(c + len(doc), d + len(item))
+                start, length, same = best_overlap(doc[first - c:stop - c] == item[first - d:stop - d], exact)
+                if length and length >= min(overlap, math.ceil(share * len(item) - 1e-9)):
+                    keep.append(i)
+                    found.append((first + start, length, same))
+            starts, lengths, same = zip(*found) if found else ((), (), ())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id").take(at), b.column("node").take(at), b.column("item_id").take(at), pa.array(starts, pa.int32()),
+                pa.array(lengths, pa.int32()), pa.array(same, pa.int32())],
+                names=["doc_id", "node", "item_id", "start", "length", "equal"])
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), text_node(text).alias("node"))
