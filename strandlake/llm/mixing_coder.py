@@ -8,7 +8,8 @@ counts (by how well order 2 did here before, by how often the order-1 context wa
 what each would have given the ids so far. All of the model is integer arithmetic, so any machine decodes what another wrote.
 
 A block: ``HEADER``, documents (ids, null flags, counts), alphabet, words of each lane, words. The checksum covers the
-decoded ids and all bytes behind the header; a block that doesn't match it is refused.
+decoded ids and all bytes behind the header; a block that doesn't match it is refused. A document with more than
+``MOST_SYMBOLS`` different ids is a block whose body is two blocks, one of each half of its ids.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from strandlake.llm.tokens import default_tokenizer, encoder
 
 BLOCK_IDS, STEPS, MOST_SYMBOLS = 1 << 21, 256, 1 << 15
 HEADER = struct.Struct("<4sIIIIII")
-MAGIC = b"IDM1"
+MAGIC, HALVES = b"IDM1", b"IDM2"
 NEAR2, NEAR1 = 2, 24  # candidates of the two contexts
 SLOTS = NEAR2 + NEAR1 + 1
 NONE = SLOTS - 1
@@ -232,15 +233,18 @@ def pack_numbers(x: np.ndarray) -> bytes:
 
 
 def encode_block(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray) -> list[bytes]:
-    """One block, or two or more if the ids have too many different values for one. Documents stay whole unless one alone
-    has too many."""
+    """One block, or two or more if the ids have too many different values for one. Each document is in one block; one
+    that alone has too many is coded in halves inside its block."""
     alphabet, symbols = numbered(ids)
     if len(alphabet) > MOST_SYMBOLS:
         if len(counts) > 1:
             half = len(counts) // 2
             cut = int(counts[:half].sum())
             return encode_block(ids[:cut], doc_ids[:half], counts[:half]) + encode_block(ids[cut:], doc_ids[half:], counts[half:])
-        raise ValueError("a document has too many different ids")
+        half = len(ids) // 2
+        body = b"".join(encode_block(x, doc_ids, np.array([len(x)]))[0] for x in (ids[:half], ids[half:]))
+        crc = zlib.crc32(body, zlib.crc32(ids.astype("<u4").tobytes()))
+        return [HEADER.pack(HALVES, len(ids), 0, 0, 1, crc, len(body)) + body]
     n = len(ids)
     lanes = max(1, -(-n // STEPS))
     steps = -(-n // lanes) if n else 0
@@ -285,8 +289,15 @@ def decode_block(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]
 
 def _decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     magic, n, lanes, steps, documents, crc, size = HEADER.unpack_from(data)
-    if magic != MAGIC or len(data) != HEADER.size + size:
+    if magic not in (MAGIC, HALVES) or len(data) != HEADER.size + size:
         raise ValueError("not a whole block")
+    if magic == HALVES:
+        cut = 2 * HEADER.size + HEADER.unpack_from(data, HEADER.size)[6]
+        (left, doc_ids, _), (right, *_) = _decode(data[HEADER.size:cut]), _decode(data[cut:])
+        ids = np.concatenate([left, right])
+        if zlib.crc32(data[HEADER.size:], zlib.crc32(ids.astype("<u4").tobytes())) != crc or len(ids) != n:
+            raise ValueError("checksum differs")
+        return ids, doc_ids, np.array([n])
     at, parts = HEADER.size, []
     for _ in range(4):
         length, = struct.unpack_from("<I", data, at)
