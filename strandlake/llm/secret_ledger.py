@@ -15,12 +15,16 @@ from strandlake.llm.batches import by_bytes, one, strings
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 SCHEMA = f"digest binary, version string, spans {SPANS}"
 BASE_KINDS = ("assign", "access", "hex")
+#: A key from its BEGIN line to the END line before any other BEGIN; without one, to the end of its headers and base64.
+_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:(?:(?!-----BEGIN ).)*?)-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:\s*(?:Proc-Type|DEK-Info|Comment|Version):[^\n]*)*"
+        r"(?:\s*\n[^\S\n]*[A-Za-z0-9+/=]+[^\S\n]*(?=\n|\Z)|(?:\s|\\[rn]|[\"'>#|,;])*[A-Za-z0-9+/=]{16,})*)")
 #: Kind, pattern, group whose length counts, least length, a string any match contains (or None).
 RULES = (
     ("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, None),
     ("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     ("hex", r"[0-9a-f]{32,}", 0, 32, None),  # a run of 32 or more is matched whole, shorter runs never
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, "-----BEGIN "),
+    ("private_key", _KEY, 0, 0, "-----BEGIN "),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, "gh"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, "xox"),
 )
