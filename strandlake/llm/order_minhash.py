@@ -4,7 +4,8 @@ A k-mer is five words; repeated ones are told apart by their occurrence. For eac
 sketch takes the ``ORDERED`` least k-mers and hashes them in the order of the text, so two texts share an entry only if
 the sampled k-mers are the same and stand in the same order. Texts that share an entry are candidates. A pair is linked if
 an alignment of their k-mer sequences matches L of them with L / (n_a + n_b - L) >= 0.8; matches that far never leave a
-band around the diagonal, and only the band is aligned.
+band around the diagonal, and only the band is aligned. Texts of few k-mers, whose sketches can all differ, also have entries
+for what they are without the k-mers that a link may leave unmatched, so that linked ones share an entry (see ``_parts``).
 
 Candidates are not enumerated within a bucket: all members are first held against one member (the one with most
 companions, then any), what is linked shares a label, and only members whose labels still differ are tested in pairs at
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from strandlake.llm.components import components
 from strandlake.session import materialize
 
 WORDS, SIMILARITY, SKETCHES, ORDERED, STAR_ROUNDS, BLOCK = 5, 0.8, 32, 5, 2, 64
+#: A link of L matched k-mers leaves L // 4 unmatched at most: three up to 18 k-mers, two (wherever they stand) up to 13.
+FEW, FEW_ANYWHERE = 18, 13
 NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +89,38 @@ def sketch(runs: np.ndarray, factors: np.ndarray, ordered: int = ORDERED) -> np.
     return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
+@cache
+def _parts(n: int) -> list[np.ndarray]:
+    """Places kept of ``n`` runs, a matrix for each number of runs left out; beyond ``FEW_ANYWHERE`` runs, two or more are left
+    out at the ends only (elsewhere only texts that repeat a word can lose them)."""
+    out = [np.arange(n)[None, :]]
+    for gone in range(1, n):
+        if gone > (n - gone) // 4:
+            break
+        if gone < 2 or n <= FEW_ANYWHERE:
+            out.append(np.array([[i for i in range(n) if i not in c] for c in combinations(range(n), gone)]))
+        else:
+            out.append(np.arange(n - gone)[None, :] + np.arange(gone + 1)[:, None])
+    return out
+
+
+def few_entries(runs: np.ndarray) -> np.ndarray:
+    """Entries of a text of 4 to ``FEW`` runs: what is left without as many runs as a link may leave unmatched in it."""
+    if not 4 <= len(runs) <= FEW:
+        return np.empty(0, np.int64)
+    made = []
+    for places in _parts(len(runs)):
+        out = np.full(len(places), places.shape[1], np.uint64)
+        for i in range(places.shape[1]):
+            out = (out ^ (out >> np.uint64(30)) ^ runs[places[:, i]]) * _MIX
+        made.append(out ^ (out >> np.uint64(32)))
+    return np.unique(np.concatenate(made)).view(np.int64)
+
+
+def entries_of(runs: np.ndarray, factors: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
+    return np.concatenate([sketch(runs, factors, ordered), few_entries(runs)])
+
+
 def matched(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> int:
     """The most runs an alignment inside the band matches, exact wherever the similarity reaches ``least``, else lower or -1."""
     na, nb = len(a), len(b)
@@ -145,7 +182,7 @@ def sketched(docs: DataFrame, sketches: int = SKETCHES, ordered: int = ORDERED)
             for i, node in enumerate(t.column("node").to_pylist()):
                 if node not in done:
                     runs = kmers(hashes[offsets[i]:offsets[i + 1]])
-                    done[node] = len(runs), sketch(runs, factors, ordered)
+                    done[node] = len(runs), entries_of(runs, factors, ordered)
                 counts.append(done[node][0])
                 entries.append(done[node][1])
             ends = np.cumsum([0, *map(len, entries)])
