@@ -31,7 +31,7 @@ def line_fault(line: str) -> str | None:
     marks = sum(map(line.count, "#*$%&|<>"))
     if marks > SYMBOL_SHARE * len(line):
         return "symbols"
-    if marks and _NAVIGATION.search(line):
+    if any(m in line for m in "|»>") and _NAVIGATION.search(line):
         return "navigation"
     if _BOILERPLATE.search(line):
         return "boilerplate"
