@@ -7,7 +7,7 @@ from strandlake.llm import queries
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = set(queries.all_queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}} == set(range(1, 11)) and len(names) == 11
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names - {"pipeline"}} == set(range(1, 14)) and len(names) == 14
     assert names <= set(entry.queries()) and set(queries.all_oracles()) <= names
 
 
