@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandlake.sources.lines import first_lines, text_records
+from strandlake.sources.chunked import fasta_marks
+from strandlake.sources.lines import first_lines
+from strandlake.sources.splits import listing, splits
 
 # Extensions by kind and the compression suffixes dropped before them.
 EXTENSIONS = {
@@ -33,18 +35,11 @@ def kind_by_name(path: Column) -> Column:
     return F.coalesce(*[F.when(ext.isin(*e.split()), k) for k, e in EXTENSIONS.items()], F.lit("unknown"))
 
 
-def _listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files under a path, contents not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("file"), F.col("length").alias("bytes"))
-
-
 def detect_input_kinds(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, kind), by content first, by extension where content says nothing."""
-    heads = first_lines(text_records(spark, path))
-    files = _listing(spark, path).withColumn("__k", F.regexp_replace("file", "^file:/+", "/"))
-    h = heads.select(F.regexp_replace("file", "^file:/+", "/").alias("__k"), kind_by_content(F.col("line")).alias("__kind"))
-    return files.join(h, "__k", "left").select("file", F.coalesce("__kind", kind_by_name(F.col("file"))).alias("kind"))
+    """(file, kind), by content first, by extension where content says nothing. Of a file only its first lines are read."""
+    files = listing(spark, path)
+    heads = first_lines(files).select("file", kind_by_content(F.col("line")).alias("__kind"))
+    return files.join(heads, "file", "left").select("file", F.coalesce("__kind", kind_by_name(F.col("file"))).alias("kind"))
 
 
 def gather_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -53,12 +48,14 @@ def gather_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def inspect_inputs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A10: (file, kind, has_sequence, has_annotation, has_embedded_sequence, has_variants)."""
-    kinds = detect_input_kinds(spark, path).withColumn("__k", F.regexp_replace("file", "^file:/+", "/"))
-    marks = text_records(spark, path).where(F.trim("value") == "##FASTA").select(
-        F.regexp_replace("file", "^file:/+", "/").alias("__k"), F.lit(True).alias("__m")).groupBy("__k").agg(F.max("__m").alias("__m"))
+    """A10: (file, kind, has_sequence, has_annotation, has_embedded_sequence, has_variants).
+
+    Only GFF3 files are read beyond their first lines, in splits, for the line that begins embedded sequence.
+    """
+    kinds = detect_input_kinds(spark, path)
+    marks = fasta_marks(splits(kinds.where("kind = 'gff3'").join(listing(spark, path), "file"))).select("file", F.lit(True).alias("__m"))
     embedded = (F.col("kind") == "gff3") & F.coalesce("__m", F.lit(False))
-    return kinds.join(marks, "__k", "left").select(
+    return kinds.join(marks, "file", "left").select(
         "file", "kind", (F.col("kind").isin("fasta", "flatfile") | embedded).alias("has_sequence"),
         (F.col("kind") == "gff3").alias("has_annotation"), embedded.alias("has_embedded_sequence"),
         (F.col("kind") == "vcf").alias("has_variants"))

@@ -4,57 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlake.functions.annotation import parse_location, parse_qualifier
 from strandlake.operators.catalog import resolve_contigs, same_sequence_set, unmatched_contigs
-from strandlake.operators.prefix import prefix_sums
+from strandlake.sources.chunked import EMBL, GENBANK, SEQ_CHUNK, flat_chunks, named_chunks, read_fasta_chunks, read_gff3_chunks, whole
 from strandlake.sources.detect import inspect_inputs
-from strandlake.sources.lines import ordered_lines, text_records
+from strandlake.sources.lines import text_records
+from strandlake.sources.splits import listing, splits
 
 FEATURE_COLUMNS = ("chrom", "source", "type", "start_bp", "end_bp", "strand", "phase", "attributes")
 
 
-def _clean_sequence(text: Column) -> Column:
-    return F.upper(F.regexp_replace(text, r"[^\p{L}*\-]", ""))
-
-
-def _require_rows(df: DataFrame, strict: bool, message: str) -> DataFrame:
-    if strict and df.isEmpty():
-        raise ValueError(message)
-    return df
-
-
 def read_fasta(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> DataFrame:
-    """A1: (file, chrom, length, seq).
+    """A1: (file, chrom, length, seq), for contigs that fit into a row; ``read_fasta_chunks`` takes any.
 
-    One record per contig through a custom separator, so a contig is assembled by the
-    reader and nothing is shuffled. Sequence before the first header is an error; of
-    equal names in a file the last stays; no sequence at all is an error when strict.
+    Sequence before the first header is an error when strict; of equal names in a file the last stays; no sequence at all is an
+    error when strict.
     """
-    recs = text_records(spark, path, "\n>")
-    # The first record of a file keeps its '>', unless blank lines come before it.
-    head = F.regexp_extract("value", r"^﻿?\s*(\S)", 1)  # the first letter, however far in
-    firsts = recs.groupBy("file").agg(F.min(F.struct("block", "id", head.alias("head"))).alias("f"))
-    bad = firsts.where(~F.col("f.head").isin("", ">"))
-    if strict:
-        wrong = bad.limit(1).collect()
-        if wrong:
-            raise ValueError(f"FASTA sequence before header in {wrong[0]['file']}")
-    body = F.regexp_replace(F.regexp_replace("value", "^﻿?\\s*>", ""), "\r", "")
-    cut = recs.select("file", "block", "id", body.alias("v")).where(F.col("v").rlike(r"\S"))
-    name = F.regexp_extract("v", r"^[^\S\n]*(\S+)", 1)
-    named = cut.select(
-        "file", "block", "id", F.when(name == "", F.raise_error(F.lit("invalid FASTA header"))).otherwise(name).alias("chrom"),
-        _clean_sequence(F.when(F.instr("v", "\n") > 0, F.regexp_replace("v", r"^[^\n]*\n", "")).otherwise("")).alias("seq"))
-    # Names alone decide which duplicates go; sequences stay where they were read.
-    at = F.struct("block", "id")
-    names = named.select("file", "block", "id", "chrom")
-    last = names.groupBy("file", "chrom").agg(F.max(at).alias("keep"), F.count("*").alias("n")).where("n > 1")
-    stale = names.join(last, ["file", "chrom"]).where(at != F.col("keep")).select("file", "block", "id")
-    out = named.join(stale, ["file", "block", "id"], "left_anti").select(
-        "file", "chrom", F.length("seq").cast("int").alias("length"), "seq")
-    return _require_rows(out, strict, f"no sequences found in {path}")
+    return whole(read_fasta_chunks(spark, path, strict=strict), "file", "chrom")
 
 
 def read_gff3(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -72,77 +40,45 @@ def read_gff3(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_gff3_sequences(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> DataFrame:
-    """A3: contigs after ``##FASTA`` in GFF3 files: (file, chrom, length, seq).
+    """A3: contigs after ``##FASTA`` in GFF3 files: (file, chrom, length, seq), put together from ``read_gff3_chunks``.
 
-    Lines are numbered along the file and headers counted in two levels, so the annotation
-    part never becomes one row; only a contig's own lines are put together. A header
-    without sequence is an error.
+    A header without sequence is an error when strict.
     """
-    lines = ordered_lines(spark, path).withColumn("v", F.trim("value"))
-    at = lines.where("v = '##FASTA'").groupBy("file").agg(F.min("pos").alias("at"))
-    inside = lines.join(at, "file").where("pos > at and v <> ''").select("file", "pos", "v")
-    head = F.col("v").startswith(">")
-    no = prefix_sums(inside, ["file"], "pos", {"no": head.cast("bigint")}, step=1 << 20)
-    contig = no.groupBy("file", "no").agg(
-        F.max(F.when(head, F.regexp_extract("v", r"^>\s*(\S*)", 1))).alias("chrom"),
-        F.array_sort(F.collect_list(F.when(~head, F.struct("pos", _clean_sequence(F.col("v")).alias("s"))))).alias("ls"))
-    seq = F.array_join(F.transform("ls", lambda x: x["s"]), "")
-    out = contig.select("file", "no", "chrom", seq.alias("seq"))
-    if strict:
-        fault = F.when(F.coalesce("chrom", F.lit("")) == "", F.raise_error(F.lit("sequence before FASTA header"))).when(
-            F.col("seq") == "", F.raise_error(F.lit("empty FASTA sequence"))).otherwise(F.col("seq"))
-        out = out.withColumn("seq", fault)
-    return out.select("file", "chrom", F.length("seq").cast("int").alias("length"), "seq")
-
-
-def _flat_records(spark: SparkSession, path: str | list[str], head: str) -> DataFrame:
-    """One row per record (contig) of a flat file; ``//`` or the next head line ends it."""
-    recs = text_records(spark, path, "\n//")
-    text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^﻿", "")
-    parts = F.split(text, rf"\n(?={head})")
-    rows = recs.select("file", F.explode(parts).alias("rec"))
-    return rows.where(F.col("rec").rlike(rf"(^|\n){head}")).withColumn("rec", F.regexp_replace("rec", rf"^\s*(?={head})", ""))
-
-
-def _flat_contigs(records: DataFrame, origin: str) -> DataFrame:
-    tail = F.regexp_extract("rec", rf"(?s)\n\s*{origin}[^\n]*\n(.*)$", 1)
-    seq = F.upper(F.regexp_replace(tail, r"[^\p{L}]", ""))
-    return records.select("file", "chrom", seq.alias("seq")).where("seq <> ''").select(
-        "file", "chrom", F.length("seq").cast("int").alias("length"), "seq")
-
-
-def _flat_features(records: DataFrame, table: str, item: str, prefix: str) -> DataFrame:
-    """``table`` cuts the feature table out of a record, ``item`` splits it, ``prefix`` is a line's margin."""
-    part = F.regexp_extract("rec", table, 1)
-    chunks = records.select("file", "chrom", F.explode(F.split(F.concat(F.lit("\n"), part), item)).alias("ch"))
-    first = F.substring_index("ch", "\n", 1)
-    d = chunks.select(
-        "file", "chrom", F.regexp_extract(first, rf"^{prefix}(\S+)\s+\S", 1).alias("type"),
-        F.trim(F.regexp_extract(first, rf"^{prefix}\S+\s+(\S.*)$", 1)).alias("loc"),
-        F.filter(F.transform(F.split("ch", "\n"), parse_qualifier), lambda q: q.isNotNull()).alias("quals"))
+    return whole(read_gff3_chunks(spark, path, strict=strict), "file", "chrom")
+
+
+def _flat(spark: SparkSession, path: str | list[str], form: dict, chunk: int, split: int | None) -> tuple[DataFrame, DataFrame]:
+    contigs, chunks, found = flat_chunks(splits(listing(spark, path), *([split] if split else [])), form, chunk=chunk)
     lo, hi = parse_location("loc")
-    out = d.where("type <> '' and not startswith(type, '/')").where(F.col("loc").rlike("^[A-Za-z(<>0-9]")).select(
+    attributes = F.array_join(F.filter(F.transform("quals", parse_qualifier), lambda q: q.isNotNull()), ";")
+    features = found.where(F.col("loc").rlike("^[A-Za-z(<>0-9]")).select(
         "file", "chrom", F.lit("flatfile").alias("source"), "type", lo.alias("start_bp"), hi.alias("end_bp"),
         F.when(F.contains("loc", F.lit("complement")), "-").otherwise("+").alias("strand"),
-        F.lit(0).cast("tinyint").alias("phase"), F.array_join("quals", ";").alias("attributes"))
-    return out.where("end_bp > start_bp")
+        F.lit(0).cast("tinyint").alias("phase"), attributes.alias("attributes"))
+    return named_chunks(contigs.where("length > 0"), chunks), features.where("end_bp > start_bp")
+
+
+def read_genbank_chunks(spark: SparkSession, path: str | list[str], *, chunk: int = SEQ_CHUNK, split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A4 for records of any length: (chunks, features) of GenBank files, read line by line in every split."""
+    return _flat(spark, path, GENBANK, chunk, split)
+
+
+def read_embl_chunks(spark: SparkSession, path: str | list[str], *, chunk: int = SEQ_CHUNK, split: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A5 for records of any length: (chunks, features) of EMBL files."""
+    return _flat(spark, path, EMBL, chunk, split)
 
 
 def read_genbank(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """A4: (contigs, features) of GenBank files. A record is one row; its features are exploded from it."""
-    recs = _flat_records(spark, path, "LOCUS").withColumn("chrom", F.regexp_extract("rec", r"^LOCUS\s+(\S+)", 1))
-    recs = recs.where("chrom <> ''")
-    table = r"(?s)(?:^|\n)\s*FEATURES[^\n]*\n(.*?)(?:\n\s*ORIGIN|$)"
-    return _flat_contigs(recs, "ORIGIN"), _flat_features(recs, table, r"\n(?=\s{5}\S)", r"\s{5}")
+    """A4: (contigs, features) of GenBank files, for records whose sequence fits into a row. Records without sequence have
+    features only; of equal names in a file the last with sequence stays."""
+    chunks, features = read_genbank_chunks(spark, path)
+    return whole(chunks, "file", "chrom"), features
 
 
 def read_embl(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """A5: (contigs, features) of EMBL files."""
-    recs = _flat_records(spark, path, r"ID\s").withColumn(
-        "chrom", F.regexp_replace(F.regexp_extract("rec", r"^ID\s+(\S+)", 1), ";$", ""))
-    recs = recs.where("chrom <> ''")
-    table = r"(?s)(?:^|\n)FH[^\n]*\n(.*?)(?:\nSQ|$)"
-    return _flat_contigs(recs, "SQ"), _flat_features(recs, table, r"\n(?=FT\s{3}\S)", r"FT\s{3}")
+    """A5: (contigs, features) of EMBL files, as ``read_genbank``."""
+    chunks, features = read_embl_chunks(spark, path)
+    return whole(chunks, "file", "chrom"), features
 
 
 def _known_names(features: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandlake.functions.cigar import reference_span
 from strandlake.operators.catalog import resolve_contigs, unmatched_contigs
-from strandlake.sources.lines import text_records
+from strandlake.sources.lines import file_heads, text_records
+from strandlake.sources.splits import listing
 
 
 def _basename(path):
@@ -14,12 +15,12 @@ def _basename(path):
 
 
 def vcf_sample_names(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, sample_names) from the column-name line."""
-    head = text_records(spark, path).where(F.col("value").startswith("#CHROM"))
-    cols = F.split(F.regexp_replace("value", "[\r\n]", ""), "\t")
-    names = head.select("file", F.when(F.size(cols) > 9, F.slice(cols, 10, F.greatest(F.size(cols) - 9, F.lit(1)))).otherwise(
+    """(file, sample_names) from the column-name line. Only the header of a file is read."""
+    head = file_heads(listing(spark, path), lambda line: line.startswith(b"#") or not line.strip(),
+                      lambda line: line if line.startswith(b"#CHROM") else None)
+    cols = F.split(F.regexp_replace("line", "[\r\n]", ""), "\t")
+    return head.select("file", F.when(F.size(cols) > 9, F.slice(cols, 10, F.greatest(F.size(cols) - 9, F.lit(1)))).otherwise(
         F.array().cast("array<string>")).alias("sample_names"))
-    return names.groupBy("file").agg(F.max("sample_names").alias("sample_names"))
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], *, contigs: DataFrame | None = None, strict: bool = True) -> DataFrame:
@@ -42,8 +43,9 @@ def read_vcf(spark: SparkSession, path: str | list[str], *, contigs: DataFrame |
         part(6).alias("filter"), part(7).alias("info"),
         F.when(F.size("c") > 8, F.split(part(8), ":")).otherwise(F.array().cast("array<string>")).alias("format"),
         F.expr("case when size(c) > 9 then slice(c, 10, size(c) - 9) else cast(array() as array<string>) end").alias("__vals"))
-    names = vcf_sample_names(spark, path)
-    out = rows.join(names, "file", "left").withColumn(
+    # Spark's text source and the listing write a local file's address differently.
+    names = vcf_sample_names(spark, path).withColumn("__k", F.regexp_replace("file", "^file:/+", "/")).drop("file")
+    out = rows.withColumn("__k", F.regexp_replace("file", "^file:/+", "/")).join(names, "__k", "left").drop("__k").withColumn(
         "samples", F.transform("__vals", lambda v, i: F.struct(
             F.coalesce(F.try_element_at("sample_names", i + 1), F.lit("")).alias("sample"), v.alias("value")))
     ).drop("__vals", "sample_names")
