@@ -1,4 +1,8 @@
-"""Sequence-table operators (D1-D9). Contigs are cut into chunks; no row holds a whole contig's work."""
+"""Sequence-table operators (D1-D9). Contigs are cut into chunks; no row holds a whole contig's work.
+
+Every operator takes contigs as rows with ``seq``, or as a chunk table (keys, chunk, start_bp, length, bases) such as the
+chunked readers give, in which no row is longer than a chunk.
+"""
 
 from __future__ import annotations
 
@@ -22,11 +26,71 @@ K = 15
 WINDOW = 10
 
 
+#: Bases of a chunk of a stored chunk table.
+SEQ_CHUNK = 1 << 16
+
+
+def is_chunked(contigs: DataFrame) -> bool:
+    return "seq" not in contigs.columns and {"chunk", "start_bp", "length", "bases"} <= set(contigs.columns)
+
+
+def contig_lengths(contigs: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """(keys, length) of contigs in either form."""
+    if is_chunked(contigs):
+        return contigs.where("chunk = 0").select(*keys, "length")
+    return contigs.select(*keys, F.length("seq").cast("int").alias("length"))
+
+
+def chunk_size(chunks: DataFrame) -> int:
+    """Bases of a full chunk, read off any second chunk; without one all contigs are a chunk each."""
+    second = chunks.where("chunk = 1").select("start_bp").limit(1).collect()
+    return second[0][0] if second else SEQ_CHUNK
+
+
+def with_margins(chunks: DataFrame, keys: tuple[str, ...], *, before: int = 0, after: int = 0) -> tuple[DataFrame, int]:
+    """A chunk table with up to ``before`` bases of what comes before a chunk and ``after`` of what follows in its ``bases``;
+    ``first`` is the place of the first base. Also the size of a chunk.
+
+    Margins travel by (keys, chunk), so only they and the chunks beside them meet.
+    """
+    size = chunk_size(chunks)
+    own = chunks.where("length > 0").select(*keys, "chunk", "start_bp", "length", "bases")
+    out = own.withColumn("__n", F.length("bases"))
+    for name, margin, sign in (("__after", after, -1), ("__before", before, 1)):
+        if not margin:
+            out = out.withColumn(name, F.lit(b""))
+            continue
+        part = F.substring("bases", 1, margin) if sign < 0 else F.expr(f"substring(bases, greatest(length(bases) - {margin}, 0) + 1, {margin})")
+        reach = -(-margin // size)
+        parts = own.select(*keys, "chunk", part.alias("p")).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+        parts = parts.select(*keys, (F.col("chunk") + sign * F.col("j")).alias("chunk"), "j", "p").where("chunk >= 0")
+        if reach == 1:
+            parts = parts.select(*keys, "chunk", F.col("p").alias(name))
+        else:  # several chunks beside this one; no more bytes than the margin and a chunk
+            order = F.struct((-sign * F.col("j")).alias("o"), F.hex("p").alias("h"))
+            every = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["h"]), "")
+            parts = parts.groupBy(*keys, "chunk").agg(every.alias("__all")).select(
+                *keys, "chunk", F.unhex(F.expr(f"{'left' if sign < 0 else 'right'}(__all, {2 * margin})")).alias(name))
+        out = out.join(parts, [*keys, "chunk"], "left").withColumn(name, F.coalesce(name, F.lit(b"")))
+    return out.select(*keys, "chunk", "start_bp", "length", (F.col("start_bp") - F.length("__before")).alias("first"), F.col("__n").alias("own"),
+                      F.concat("__before", "bases", "__after").alias("bases")), size
+
+
 def seq_chunks(contigs: DataFrame, *, step: int = CHUNK, overlap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """(keys, chunk, start_bp, length, bases): ``step`` own bases plus ``overlap`` of what follows.
 
     ``bases`` is BINARY: a binary substring costs its own length, a string one its offset.
     """
+    if is_chunked(contigs):
+        size = chunk_size(contigs)
+        rows, _ = with_margins(contigs, keys, after=overlap if size % step == 0 else overlap + step - 1)
+        # A cut belongs to the chunk that it begins in.
+        cut = rows.withColumn("__c", F.explode(F.expr(
+            f"filter(sequence((start_bp + {step - 1}) div {step}, greatest((start_bp + own - 1) div {step}, (start_bp + {step - 1}) div {step})), "
+            f"c -> c * {step} < start_bp + own)")))
+        return cut.select(
+            *keys, F.col("__c").cast("int").alias("chunk"), (F.col("__c") * step).cast("int").alias("start_bp"), "length",
+            F.expr(f"substring(bases, cast(__c * {step} - start_bp as int) + 1, {step + overlap})").alias("bases"))
     raw = contigs.select(*keys, F.encode("seq", "UTF-8").alias("__b"), F.length("seq").cast("int").alias("length"))
     cut = raw.where("length > 0").withColumn("chunk", F.explode(F.expr(f"sequence(0, (length - 1) div {step})")))
     return cut.select(
@@ -34,6 +98,13 @@ def seq_chunks(contigs: DataFrame, *, step: int = CHUNK, overlap: int = 0, keys:
         F.expr(f"substring(__b, chunk * {step} + 1, {step + overlap})").alias("bases"))
 
 
+def assemble(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks from their parts (keys, chunk, start_bp, bases, whole): whole ones stay where they are."""
+    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_bp", F.hex("bases").alias("h")))), lambda x: x["h"]), ""))
+    broken = parts.where("not whole").groupBy(*keys, "chunk").agg(F.min("start_bp").alias("start_bp"), joined.alias("bases"))
+    return parts.where("whole").select(*keys, "chunk", "start_bp", "bases").unionByName(broken)
+
+
 def text(binary: Column) -> Column:
     return F.decode(binary, "UTF-8")
 
@@ -67,15 +138,16 @@ def salted_join(asked: DataFrame, table: DataFrame, on: list[str], ids: list[str
     return left.join(right, [*on, "__salt"]).drop("__salt")
 
 
-def reference_slices(
+def slice_pieces(
     contigs: DataFrame, regions: DataFrame, *, id_cols: tuple[str, ...], step: int = CHUNK, pile: int = PILE,
-    keys: tuple[str, ...] = ("chrom",), start: str = "start_bp", end: str = "end_bp", out: str = "seq",
+    keys: tuple[str, ...] = ("chrom",), start: str = "start_bp", end: str = "end_bp",
 ) -> DataFrame:
-    """Bases of [start, end) clamped to the contig, '' beyond it.
+    """D1 for regions of any length: (ids, keys, piece_no, at, bases), at most ``step`` bases a row.
 
-    Regions meet chunks by (keys, chunk), so only the chunks under a region move. A chunk asked for by
-    more than ``pile`` regions is repeated over as many salts as it takes. ``id_cols``
-    must identify a region; a region with end < start is an error.
+    ``at`` is the place of the piece on the contig; pieces in order of ``piece_no`` are the bases of [start, end) clamped to the contig.
+    A region with no base on its contig has no piece. Regions meet chunks by (keys, chunk), so only the chunks under a region move. A
+    chunk asked for by more than ``pile`` regions is repeated over as many salts as it takes. ``id_cols`` must identify a region; a
+    region with end < start is an error.
     """
     ids = list(dict.fromkeys([*id_cols, *keys]))
     ask = regions.withColumn(
@@ -87,11 +159,23 @@ def reference_slices(
     parts = parts.withColumn("chunk", F.col("chunk").cast("int"))
     base = seq_chunks(contigs, step=step, keys=keys).select(*keys, "chunk", F.col("start_bp").alias("__c0"), "bases")
     got = salted_join(parts.select(*ids, "chunk", "__lo", "__hi"), base, [*keys, "chunk"], ids, pile=pile)
-    piece = text(F.expr(
-        "substring(bases, greatest(__lo - __c0, 0) + 1, cast(greatest(least(__hi, __c0 + length(bases)) - greatest(__lo, __c0), 0) as int))"))
-    joined = got.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))).alias("__ps"))
+    lo_in = F.greatest(F.col("__lo"), F.col("__c0"))
+    n = F.greatest(F.least(F.col("__hi"), F.col("__c0") + F.length("bases")) - lo_in, F.lit(0)).cast("int")
+    return got.withColumns({"at": lo_in.cast("int"), "__n": n}).where("__n > 0").select(
+        *ids, (F.col("chunk") - F.expr(f"cast(__lo div {step} as int)")).alias("piece_no"), "at",
+        F.expr("substring(bases, cast(at - __c0 as int) + 1, __n)").alias("bases"))
+
+
+def reference_slices(
+    contigs: DataFrame, regions: DataFrame, *, id_cols: tuple[str, ...], step: int = CHUNK, pile: int = PILE,
+    keys: tuple[str, ...] = ("chrom",), start: str = "start_bp", end: str = "end_bp", out: str = "seq",
+) -> DataFrame:
+    """Bases of [start, end) clamped to the contig in one row, '' beyond it; ``slice_pieces`` for regions that are too long for a row."""
+    ids = list(dict.fromkeys([*id_cols, *keys]))
+    got = slice_pieces(contigs, regions, id_cols=id_cols, step=step, pile=pile, keys=keys, start=start, end=end)
+    joined = got.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("piece_no", text(F.col("bases")).alias("p")))).alias("__ps"))
     seqs = joined.select(*ids, F.array_join(F.transform("__ps", lambda p: p["p"]), "").alias(out))
-    return ask.drop("__ok").join(seqs, ids, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    return regions.join(seqs, ids, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
 GC_STEP = 256
@@ -124,7 +208,7 @@ def gc_plot(contigs: DataFrame, *, zoom: int = 0, window: int = 200, bins: int =
     """D3: GC fraction in a window centred on each bin, -1 where it holds no ACGT."""
     if window < 1:
         raise ValueError("window must be positive")
-    lengths = contigs.select(*keys, F.length("seq").cast("int").alias("length"))
+    lengths = contig_lengths(contigs, keys)
     grid = contig_tiles(lengths, zoom, keys=keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     centre = F.col("tile_start") + F.floor(
         (F.col("bin") + 0.5) * (F.col("tile_end") - F.col("tile_start")) / F.lit(float(bins))).cast("int")
@@ -281,8 +365,15 @@ def minimizers(contigs: DataFrame, *, k: int = K, w: int = WINDOW, reverse: bool
     Rolling k-mers are array arithmetic per chunk: row-wise expressions would build one
     string per base.
     """
+    types = {f.name: f.dataType.simpleString() for f in contigs.schema.fields}
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "length int", "pos int", "key bigint"])
+    if is_chunked(contigs):
+        chunks, step = with_margins(contigs, keys, before=w - 1, after=k + w - 2)
+        chunks = chunks.where(f"length >= {k + w - 1}").select(*keys, "length", "start_bp", "first", "bases")
     if step + 2 * w + k >= 1 << 17:
         raise ValueError("step too large")
+    if is_chunked(contigs):
+        return chunks.mapInPandas(_minimizer_kernel(tuple(keys), k, w, reverse, step), schema)
     raw = contigs.select(*keys, F.encode("seq", "UTF-8").alias("__b"), F.length("seq").cast("int").alias("length"))
     cut = raw.where(f"length >= {k + w - 1}").withColumn(
         "start_bp", F.explode(F.expr(f"sequence(0, length - 1, {step})")))
@@ -290,13 +381,26 @@ def minimizers(contigs: DataFrame, *, k: int = K, w: int = WINDOW, reverse: bool
     size = F.col("start_bp") - first + step + (k + w - 2)
     chunks = cut.select(*keys, "length", "start_bp", first.alias("first"),
                         F.substring("__b", first + 1, size).alias("bases"))
-    types = {f.name: f.dataType.simpleString() for f in contigs.schema.fields}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "length int", "pos int", "key bigint"])
     return chunks.mapInPandas(_minimizer_kernel(tuple(keys), k, w, reverse, step), schema)
 
 
 def apply_orientation_sequence(contigs: DataFrame, orientation: DataFrame, *, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """Reverse-complement the contigs marked ``reversed``."""
+    """Reverse-complement the contigs marked ``reversed``. In a chunk table the chunks of such a contig change places and are cut
+    along its grid again."""
     marks = orientation.select(*keys, "reversed")
+    if is_chunked(contigs):
+        size = chunk_size(contigs)
+        turn = F.coalesce("reversed", F.lit(False))
+        rows = contigs.join(marks, list(keys), "left").withColumns({
+            "__rev": turn, "bases": F.when(turn, F.encode(revcomp(text(F.col("bases"))), "UTF-8")).otherwise(F.col("bases")),
+            "__s": F.when(turn, F.col("length") - F.col("start_bp") - F.length("bases")).otherwise(F.col("start_bp"))})
+        kept = rows.where("not __rev or length = 0").select(*keys, "chunk", "start_bp", "bases", "length", F.lit(True).alias("whole"))
+        cells = rows.where("__rev and length > 0").withColumn("__c", F.explode(F.expr(f"sequence(__s div {size}, (__s + length(bases) - 1) div {size})")))
+        lo = F.greatest(F.col("__s"), F.col("__c") * size)
+        hi = F.least(F.col("__s") + F.length("bases"), (F.col("__c") + 1) * size)
+        parts = cells.withColumns({"__lo": lo.cast("int"), "__hi": hi.cast("int")}).select(
+            *keys, F.col("__c").cast("int").alias("chunk"), F.col("__lo").alias("start_bp"),
+            F.expr("substring(bases, cast(__lo - __s as int) + 1, __hi - __lo)").alias("bases"), "length", F.lit(False).alias("whole"))
+        return assemble(kept.unionByName(parts), [*keys, "length"]).select(*keys, "chunk", "start_bp", "length", "bases")
     return contigs.join(marks, list(keys), "left").withColumn(
         "seq", F.when(F.coalesce("reversed", F.lit(False)), revcomp("seq")).otherwise(F.col("seq"))).drop("reversed")

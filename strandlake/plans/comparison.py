@@ -118,7 +118,7 @@ def _(fx):
 @query("align_gaps")
 def _(fx):
     lengths = fx.cmp_contigs.select("genome", "chrom", F.length("seq").cast("int").alias("length"))
-    gaps = pieces(fx).where("kind = 'G' and greatest(g_q1 - g_q0, g_t1 - g_t0) <= 8192")
+    gaps = pieces(fx).where("kind = 'G'")
     key = [*cp.MERGED, "block_no", "piece"]
     rows = cp.oriented_slices(gaps, fx.cmp_contigs, lengths, key)
     return cp.align_gaps(rows).select(*key, "g_q0", "g_q1", "g_t0", "g_t1", "ops")

@@ -14,13 +14,17 @@ FEATURE = "chrom, source, type, start_bp, end_bp, strand, phase, attributes"
 
 
 def write_text(fx, name: str, frames) -> str:
-    """Write one-column string frames under one folder, one sub-folder each, once per session."""
+    """Write frames of a column ``value`` under one folder, one sub-folder each, once per session."""
     keep = _PATHS.setdefault((fx.spark.sparkContext.applicationId, fx.sf_dir, name), None)
     if keep:
         return keep
     path = scratch_path(fx.spark, name)
     for sub, df in frames.items():
-        df.write.text(f"{path}/{sub}")
+        if "slice" in df.columns:  # a file of its own for each slice, its lines in their order
+            many = df.repartition(fx.spark.sparkContext.defaultParallelism, "slice")
+            many.sortWithinPartitions("slice", *[c for c in ("o", "at") if c in df.columns]).select("slice", "value").write.partitionBy("slice").text(f"{path}/{sub}")
+        else:
+            df.write.text(f"{path}/{sub}")
     _PATHS[(fx.spark.sparkContext.applicationId, fx.sf_dir, name)] = path
     return path
 
@@ -43,20 +47,23 @@ def gff_lines(fx):
     return fx.features.select(line.alias("value"))
 
 
+#: Documents and events of a file in folders of many files.
+DOCS_A_FILE, EVENTS_A_FILE = 250, 1000
+
+
+def doc_slice():
+    return F.expr(f"cast(doc_id div {DOCS_A_FILE} as int)").alias("slice")
+
+
 def gff_with_fasta(fx):
-    """One annotation line and the sequence per contig, as one file with an embedded FASTA part."""
+    """Files of some contigs each: an annotation line for each, then their sequence as the embedded FASTA part."""
     c = fx.contigs.where("length(seq) > 0")
     ann = F.concat_ws("\t", "chrom", F.lit("ref"), F.lit("region"), F.lit("1"), F.length("seq").cast("string"), F.lit("."),
                       F.lit("+"), F.lit("."), F.concat(F.lit("ID="), F.col("chrom")))
-    rows = c.select(F.lit(1).alias("o"), "chrom", ann.alias("value")).unionByName(
-        c.select(F.lit(3).alias("o"), "chrom", F.concat(F.lit(">"), F.col("chrom"), F.lit("\n"), wrapped()).alias("value")))
-    rows = rows.unionByName(fx.spark.range(1).select(
-        F.lit(2).alias("o"), F.lit("").alias("chrom"), F.lit("##FASTA").alias("value")))
-    # One output file needs one writing task; the fixture is a single GFF3 file by its nature.
-    return rows.repartition(1).sortWithinPartitions("o", "chrom").select("value")
-
-
-FLAT_WHERE = "length(seq) >= 60"
+    rows = c.select(doc_slice(), F.lit(1).alias("o"), F.col("doc_id").alias("at"), ann.alias("value")).unionByName(
+        c.select(doc_slice(), F.lit(3).alias("o"), F.col("doc_id").alias("at"), F.concat(F.lit(">"), F.col("chrom"), F.lit("\n"), wrapped()).alias("value")))
+    return rows.unionByName(c.select(doc_slice()).distinct().select(
+        "slice", F.lit(2).alias("o"), F.lit(0).cast("bigint").alias("at"), F.lit("##FASTA").alias("value")))
 
 
 def genbank_lines(fx):
@@ -67,7 +74,7 @@ def genbank_lines(fx):
         F.lit('\n                     /organism="none"\n     gene            complement(11..50)\n                     /gene="g'),
         F.col("doc_id").cast("string"), F.lit('"\n                     /pseudo\n     CDS             join(<5..10,20..>30)\n'),
         F.lit("ORIGIN\n        1 "), wrapped(), F.lit("//"))
-    return fx.contigs.where(FLAT_WHERE).select(rec.alias("value"))
+    return fx.contigs.select(doc_slice(), rec.alias("value"))
 
 
 def embl_lines(fx):
@@ -77,19 +84,17 @@ def embl_lines(fx):
         n, F.lit('\nFT                   /organism="none"\nFT   gene            complement(11..50)\nFT                   /gene="g'),
         F.col("doc_id").cast("string"), F.lit('"\nFT                   /pseudo\nFT   CDS             join(<5..10,20..>30)\nXX\nSQ   Sequence\n     '),
         wrapped(), F.lit("//"))
-    return fx.contigs.where(FLAT_WHERE).select(rec.alias("value"))
+    return fx.contigs.select(doc_slice(), rec.alias("value"))
 
 
 def vcf_lines(fx):
-    head = fx.spark.range(1).select(F.lit(
-        "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2").alias("value"), F.lit(0).alias("o"),
-        F.lit(0).cast("bigint").alias("event_id"))
-    v = fx.vcf.withColumn("event_id", F.expr("cast(substring(id, 2) as bigint)"))
+    v = fx.vcf.withColumn("at", F.expr("cast(substring(id, 2) as bigint)")).withColumn("slice", F.expr(f"cast(at div {EVENTS_A_FILE} as int)"))
+    head = v.select("slice").distinct().select("slice", F.lit(0).alias("o"), F.lit(0).cast("bigint").alias("at"), F.lit(
+        "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2").alias("value"))
     line = F.concat_ws("\t", "chrom", (F.col("start_bp") + 1).cast("string"), "id", "ref", "alt", F.round("qual", 2).cast("string"),
                        "filter", F.concat(F.lit("T="), F.col("info")), F.array_join("format", ":"),
                        F.array_join(F.transform("samples", lambda s: s["value"]), "\t"))
-    rows = head.unionByName(v.select(line.alias("value"), F.lit(1).alias("o"), "event_id"))
-    return rows.repartition(1).sortWithinPartitions("o", "event_id").select("value")
+    return head.unionByName(v.select("slice", F.lit(1).alias("o"), "at", line.alias("value")))
 
 
 def sam_lines(fx):
@@ -101,12 +106,27 @@ def sam_lines(fx):
     return a.select(line.alias("value"))
 
 
+CHUNK_SQL = """select chrom, length, c as chunk, c * 4096 as start_bp, md5(substr(seq, c * 4096 + 1, 4096)) as digest
+  from (select chrom, seq, length(seq) as length, unnest(generate_series(0, (length(seq) - 1) // 4096)) as c from contigs where length(seq) > 0)"""
+
+
+def _chunk_digests(chunks):
+    return chunks.select("chrom", "length", "chunk", "start_bp", F.md5("bases").alias("digest"))
+
+
 @query("read_fasta", "contigs", "select chrom, length(seq) as length, md5(seq) as digest from contigs where length(seq) > 0")
 def _(fx):
     p = write_text(fx, "fasta", {"a": fasta_lines(fx)})
     return src.read_fasta(fx.spark, p).select("chrom", "length", F.md5("seq").alias("digest"))
 
 
+@query("read_fasta_chunks", "contigs", CHUNK_SQL)
+def _(fx):
+    """The table's contigs again, read in splits of 64 KB: lines, headers and chunks over borders."""
+    p = write_text(fx, "fasta", {"a": fasta_lines(fx)})
+    return _chunk_digests(src.read_fasta_chunks(fx.spark, p, chunk=4096, split=1 << 16))
+
+
 @query("read_gff3", "features", f"select {FEATURE} from features")
 def _(fx):
     p = write_text(fx, "gff3", {"a": gff_lines(fx)})
@@ -119,14 +139,20 @@ def _(fx):
     return src.read_gff3_sequences(fx.spark, p).select("chrom", "length", F.md5("seq").alias("digest"))
 
 
-FLAT_SQL = """with f as (select chrom, length(seq) as n, md5(seq) as digest, doc_id from contigs where length(seq) >= 60)
-  select chrom, 'source' as type, 0 as start_bp, n as end_bp, '+' as strand, 'organism=none' as attributes, digest from f
+@query("read_gff3_chunks", "contigs", CHUNK_SQL)
+def _(fx):
+    p = write_text(fx, "gff3seq", {"a": gff_with_fasta(fx)})
+    return _chunk_digests(src.read_gff3_chunks(fx.spark, p, chunk=4096, split=1 << 16))
+
+
+FLAT_SQL = """with f as (select chrom, length(seq) as n, case when length(seq) > 0 then md5(seq) end as digest, doc_id from contigs)
+  select chrom, 'source' as type, 0 as start_bp, n as end_bp, '+' as strand, 'organism=none' as attributes, digest from f where n > 0
   union all select chrom, 'gene', 10, 50, '-', 'gene=g' || doc_id || ';pseudo', digest from f
   union all select chrom, 'CDS', 4, 30, '+', '', digest from f"""
 
 
 def _flat(contigs, features):
-    return features.join(contigs.select("chrom", F.md5("seq").alias("digest")), "chrom").select(
+    return features.join(contigs.select("chrom", F.md5("seq").alias("digest")), "chrom", "left").select(
         "chrom", "type", "start_bp", "end_bp", "strand", "attributes", "digest")
 
 
@@ -151,10 +177,10 @@ def _(fx):
         "chrom", "start_bp", "end_bp", "id", "ref", "alt", "filter", "info", "qual", "s.sample", "s.value")
 
 
-@query("vcf_sample_names", "variants", "select unnest(['s0', 's1', 's2']) as sample where exists (select 1 from variants)")
+@query("vcf_sample_names", "genotypes", f"select distinct event_id // {EVENTS_A_FILE} as slice, sample from genotypes")
 def _(fx):
     return src.vcf_sample_names(fx.spark, write_text(fx, "vcf", {"a": vcf_lines(fx)})).select(
-        F.explode("sample_names").alias("sample"))
+        F.regexp_extract("file", r"slice=(\d+)/", 1).cast("bigint").alias("slice"), F.explode("sample_names").alias("sample"))
 
 
 @query("read_alignments", "alignments",
@@ -165,38 +191,45 @@ def _(fx):
 
 
 def _mixed(fx):
+    contigs = fx.contigs.where("length(seq) > 0")
     return write_text(fx, "mixed", {
-        "reference.fasta": fasta_lines(fx).repartition(1), "notes.txt": fx.documents.select(F.lit("plain text").alias("value")).repartition(1),
-        "annotation.gff3": gff_lines(fx).repartition(1), "embedded.gff3": gff_with_fasta(fx), "calls.vcf": vcf_lines(fx),
-        "records.gb": genbank_lines(fx).repartition(1)})
+        "reference.fasta": contigs.select(doc_slice(), F.concat(F.lit(">"), F.col("chrom"), F.lit("\n"), wrapped()).alias("value")),
+        "notes.txt": fx.documents.select(doc_slice(), F.lit("plain text").alias("value")),
+        "annotation.gff3": gff_lines(fx).select(F.expr("cast(substring(split(value, '\t')[0], 4) as int)").alias("slice"), "value"),
+        "embedded.gff3": gff_with_fasta(fx), "calls.vcf": vcf_lines(fx), "records.gb": genbank_lines(fx)})
 
 
 def _folder(c="file"):
-    return F.regexp_extract(c, r"/([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(c, r"/([^/]+)/slice=\d+/[^/]+$", 1)
+
+
+#: (folder, files) of the mixed input, counted from the tables.
+MIXED = f"""with f as (select 'reference.fasta' as folder, 'fasta' as kind, doc_id // {DOCS_A_FILE} as slice from contigs where length(seq) > 0
+  union select 'embedded.gff3', 'gff3', doc_id // {DOCS_A_FILE} from contigs where length(seq) > 0
+  union select 'notes.txt', 'unknown', doc_id // {DOCS_A_FILE} from documents
+  union select 'records.gb', 'flatfile', doc_id // {DOCS_A_FILE} from contigs
+  union select 'annotation.gff3', 'gff3', cast(substr(chrom, 4) as bigint) from features
+  union select 'calls.vcf', 'vcf', event_id // {EVENTS_A_FILE} from variants)"""
 
 
-@query("detect_input_kinds", "contigs",
-       """select * from (values ('reference.fasta', 'fasta'), ('annotation.gff3', 'gff3'), ('embedded.gff3', 'gff3'),
-            ('calls.vcf', 'vcf'), ('records.gb', 'flatfile'), ('notes.txt', 'unknown')) t(folder, kind)
-          where exists (select 1 from contigs)""")
+@query("detect_input_kinds", "contigs features variants", MIXED + " select folder, kind, count(*) as files from f group by 1, 2")
 def _(fx):
-    return src.detect_input_kinds(fx.spark, _mixed(fx)).select(_folder().alias("folder"), "kind")
+    kinds = src.detect_input_kinds(fx.spark, _mixed(fx))
+    return kinds.groupBy(_folder().alias("folder"), "kind").agg(F.count("*").alias("files"))
 
 
-@query("inspect_inputs", "contigs",
-       """select * from (values ('reference.fasta', true, false, false, false), ('annotation.gff3', false, true, false, false),
-            ('embedded.gff3', true, true, true, false), ('calls.vcf', false, false, false, true),
-            ('records.gb', true, false, false, false), ('notes.txt', false, false, false, false))
-            t(folder, has_sequence, has_annotation, has_embedded_sequence, has_variants) where exists (select 1 from contigs)""")
+@query("inspect_inputs", "contigs features variants",
+       MIXED + """ select folder, kind in ('fasta', 'flatfile') or folder like 'embedded%' as has_sequence, kind = 'gff3' as has_annotation,
+         folder like 'embedded%' as has_embedded_sequence, kind = 'vcf' as has_variants, count(*) as files from f group by all""")
 def _(fx):
-    return src.inspect_inputs(fx.spark, _mixed(fx)).withColumn("folder", _folder()).drop("file", "kind")
+    flags = ["has_sequence", "has_annotation", "has_embedded_sequence", "has_variants"]
+    return src.inspect_inputs(fx.spark, _mixed(fx)).groupBy(_folder().alias("folder"), *flags).agg(F.count("*").alias("files"))
 
 
-@query("gather_inputs", "contigs",
-       """select * from (values ('reference.fasta'), ('annotation.gff3'), ('embedded.gff3'), ('calls.vcf'), ('records.gb'))
-            t(folder) where exists (select 1 from contigs)""")
+@query("gather_inputs", "contigs features variants", MIXED + " select folder, slice from f where kind <> 'unknown'")
 def _(fx):
-    return src.gather_inputs(fx.spark, _mixed(fx)).select(_folder().alias("folder"))
+    return src.gather_inputs(fx.spark, _mixed(fx)).select(
+        _folder().alias("folder"), F.regexp_extract("file", r"slice=(\d+)/", 1).cast("bigint").alias("slice"))
 
 
 @query("load_genome", "contigs",

@@ -93,16 +93,21 @@ FIXTURES: dict[str, tuple[str, str]] = {
           case (v.sel + v.k) % 7 when 0 then '0/0' when 1 then '0/1' when 2 then '1/1' when 3 then '1/2'
             when 4 then './.' when 5 then '0|1' else '2' end as gt
         from (select *, EACH(0, 2) as k from {variants}) v"""),
-    "placed": ("li contigs", """
+    # Documents of 400 bases and more, numbered inside their thousand; every line item is dealt to one of them.
+    "long_contigs": ("contigs", """
+        select chrom, seq, IDIV(doc_id, 1000) as bk, row_number() over (partition by IDIV(doc_id, 1000) order by doc_id) - 1 as rk,
+          count(*) over (partition by IDIV(doc_id, 1000)) as cnt
+        from {contigs} where length(seq) >= 400"""),
+    "placed": ("li long_contigs", """
         select l.l_orderkey as okey, l.rn, c.chrom, l.l_returnflag as rflag, l.l_partkey as pkey,
           50 + cast(l.l_quantity as int) as n,
           cast((l.l_orderkey * 7919 + l.rn * 311 + l.l_partkey * 31) % (length(c.seq) - 300) as int) as start_bp,
           c.seq
-        from {li} l join {contigs} c
-          on c.doc_id = case when l.l_orderkey % 11 = 0
-            then (l.l_orderkey + l.rn) % (select count(*) from {contigs})
-            else l.l_orderkey % (select count(*) from {contigs}) end
-        where length(c.seq) >= 400"""),
+        from (select *, case when l_orderkey % 11 = 0 then l_orderkey + rn else l_orderkey end as deal from {li}) l
+        join (select bk, max(cnt) as cnt, row_number() over (order by bk) - 1 as no, count(*) over () as n_bk from {long_contigs} group by bk) b
+          on b.no = l.deal % b.n_bk
+        join {long_contigs} c
+          on c.bk = b.bk and c.rk = cast((l.deal - l.deal % b.n_bk) / b.n_bk as bigint) % b.cnt"""),
     "shaped": ("placed", """
         select *, substr(seq, start_bp + 1, 7) as h0, substr(seq, start_bp + 8, 1) as rb,
           translate(substr(seq, start_bp + 8, 1), 'ACGTN', 'CGTAA') as ab,

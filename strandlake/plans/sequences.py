@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import sequence as sq
-from strandlake.plans.registry import query
+from strandlake.plans.registry import CTES, FUNCTIONS, query
 from strandlake.plans.scalar import AA_CASE
 
 
@@ -139,3 +139,64 @@ def _(fx):
 def _(fx):
     o = fx.doc_lengths.select("chrom", F.expr("doc_id % 3 = 1").alias("reversed"))
     return sq.apply_orientation_sequence(fx.contigs, o).select("chrom", F.md5("seq").alias("digest"))
+
+
+# The same operators on chunk tables, as the chunked FASTA reader gives them.
+CHUNKED_BY = 4096
+
+
+class Chunked:
+    """Fixtures whose contigs are chunk tables, read from FASTA files of all contigs."""
+
+    def __init__(self, fx):
+        self.fx = fx
+
+    def __getattr__(self, name):
+        return getattr(self.fx, name)
+
+    @property
+    def contigs(self):
+        from strandlake.plans.files import fasta_lines, write_text
+        from strandlake.sources import read_fasta_chunks
+
+        return self.fx.stored("contig_chunks", lambda: read_fasta_chunks(
+            self.fx.spark, write_text(self.fx, "fasta", {"a": fasta_lines(self.fx)}), chunk=CHUNKED_BY).drop("file"))
+
+    @property
+    def cmp_contigs(self):
+        from strandlake.plans.files import wrapped, write_text
+        from strandlake.sources import read_fasta_chunks
+
+        def make():
+            both = self.fx.cmp_contigs.where("length(seq) > 0").select(
+                F.concat(F.lit(">"), F.col("genome"), F.lit("|"), F.col("chrom"), F.lit("\n"), wrapped()).alias("value"))
+            rows = read_fasta_chunks(self.fx.spark, write_text(self.fx, "cmp_fasta", {"a": both}), chunk=CHUNKED_BY).drop("file")
+            part = F.split("chrom", "[|]")
+            return rows.withColumns({"genome": part[0], "chrom": part[1]})
+
+        return self.fx.stored("cmp_contig_chunks", make)
+
+
+for _name in ("reference_slices", "gc_prefix", "gc_plot", "stop_codon_bins", "six_frame_translation", "dna_search", "dna_search_genomes", "minimizers"):
+    query(f"{_name}_chunks", *CTES[_name])(lambda fx, fn=FUNCTIONS[_name]: fn(Chunked(fx)))
+
+
+@query("slice_pieces", "alignments contigs",
+       """select okey, rn, k - lo // 512 as piece_no, greatest(lo, k * 512) as at, md5(substr(seq, greatest(lo, k * 512) + 1,
+            least(hi, k * 512 + 512) - greatest(lo, k * 512))) as bases
+          from (select *, unnest(generate_series(lo // 512, (hi - 1) // 512)) as k from (select a.okey, a.rn, c.seq,
+            greatest(a.start_bp - 200, 0) as lo, least(a.end_bp + 2000, length(c.seq)) as hi
+            from alignments a join contigs c on c.chrom = a.chrom))""")
+def _(fx):
+    regions = fx.alignments.select("okey", "rn", "chrom", (F.col("start_bp") - 200).alias("start_bp"), (F.col("end_bp") + 2000).alias("end_bp"))
+    return sq.slice_pieces(Chunked(fx).contigs, regions, id_cols=("okey", "rn"), step=512).select("okey", "rn", "piece_no", "at", F.md5("bases").alias("bases"))
+
+
+@query("apply_orientation_sequence_chunks", "contigs",
+       f"""select chrom, c as chunk, length, md5(substr(s, c * {CHUNKED_BY} + 1, {CHUNKED_BY})) as digest
+          from (select *, unnest(generate_series(0, (length - 1) // {CHUNKED_BY})) as c from (select chrom, length(seq) as length,
+            case when doc_id % 3 = 1 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as s from contigs where length(seq) > 0))""")
+def _(fx):
+    o = fx.doc_lengths.select("chrom", F.expr("doc_id % 3 = 1").alias("reversed"))
+    turned = sq.apply_orientation_sequence(Chunked(fx).contigs, o)
+    return turned.select("chrom", "chunk", "length", F.md5("bases").alias("digest"))

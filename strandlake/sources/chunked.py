@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from strandlake.sources.splits import LONGEST, Pieces, listing, parsed, splits
+from strandlake.operators.sequence import SEQ_CHUNK, assemble
 from strandlake.session import materialize
+from strandlake.sources.splits import LONGEST, Pieces, listing, parsed, splits
 
-#: Bases of a chunk.
-SEQ_CHUNK = 1 << 16
 _BOM = "﻿".encode()
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _UPPER = bytes.maketrans(bytes(range(97, 123)), bytes(range(65, 91)))
@@ -58,13 +57,6 @@ class Cutter:
             self.held, self.size, self.from_grid = [], 0, self.at % self.chunk == 0
 
 
-def assemble(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks from their parts (keys, chunk, start_bp, bases, whole): whole ones stay where they are."""
-    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_bp", F.hex("bases").alias("h")))), lambda x: x["h"]), ""))
-    broken = parts.where("not whole").groupBy(*keys, "chunk").agg(F.min("start_bp").alias("start_bp"), joined.alias("bases"))
-    return parts.where("whole").select(*keys, "chunk", "start_bp", "bases").unionByName(broken)
-
-
 # FASTA
 
 _PARTS = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("chrom", pa.string()), ("chunk", pa.int32()), ("start_bp", pa.int32()),
