@@ -232,3 +232,36 @@ def test_heads_read_no_more_than_the_first_lines(monkeypatch):
     Counted.n = 0
     assert _first(sp.Plain(Counted(data)), lambda x: True, lambda x: x.strip() or None, sp.LONGEST) == b">c1 x"
     assert Counted.n <= sp.STEP
+
+
+def test_sequence_operators_give_the_same_on_chunks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandlake.operators import sequence as sq
+
+    rng = random.Random(8)
+    seqs = {f"c{n}": "".join(rng.choices("ACGTN", (30, 30, 30, 30, 1), k=n)) for n in (1, 24, 63, 64, 65, 200, 1000)}
+    (tmp_path / "a.fa").write_text("".join(f">{c}\n{s}\n" for c, s in seqs.items()))
+    chunks = read_fasta_chunks(spark, str(tmp_path / "a.fa"), chunk=64, split=300).drop("file")
+    rows = spark.createDataFrame([(c, s) for c, s in seqs.items()], "chrom string, seq string")
+    flip = spark.createDataFrame([(c, i % 2 == 0) for i, c in enumerate(seqs)], "chrom string, reversed boolean")
+    words = spark.createDataFrame([("ACG",), ("GGA",), (seqs["c1000"][30:250],), (seqs["c200"][60:68],)], "pattern string")
+    regions = spark.createDataFrame([(i, c, a, a + n) for i, (c, a, n) in enumerate((c, a, n) for c in seqs for a in (-5, 0, 63, 500) for n in (0, 1, 200))],
+                                    "id int, chrom string, start_bp int, end_bp int")
+    same = {
+        "cuts": lambda t: sq.seq_chunks(t, step=50, overlap=150),
+        "cuts of a part": lambda t: sq.seq_chunks(t, step=16, overlap=3),
+        "search": lambda t: sq.dna_search(t, words, step=16),
+        "minimizers": lambda t: sq.minimizers(t, k=5, w=4, step=64),
+        "reverse minimizers": lambda t: sq.minimizers(t, k=5, w=4, reverse=True, step=64),
+        "gc": lambda t: sq.gc_plot(t, window=30, bins=32, step=32),
+        "slices": lambda t: sq.reference_slices(t, regions, id_cols=("id",), step=16),
+        "frames": lambda t: sq.six_frame_translation(t, piece=7),
+    }
+    for name, run in same.items():
+        a, b = ([tuple(r) for r in run(t).collect()] for t in (rows, chunks))
+        assert sorted(map(str, a)) == sorted(map(str, b)) and a, name
+    turned = sq.apply_orientation_sequence(chunks, flip)
+    want = {r.chrom: r.seq for r in sq.apply_orientation_sequence(rows, flip).collect()}
+    assert contigs_of(turned) == want
+    assert turned.where(F.length("bases") > 64).count() == 0

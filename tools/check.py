@@ -54,7 +54,7 @@ def main() -> int:
     for t in DRIVER_TABLES:
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     bad = 0
-    for name, fn in QUERIES.items():
+    for name, fn in list(QUERIES.items()):
         if (a.names and name not in a.names) or (a.module and MODULE_OF[name] != a.module):
             continue
         t0 = time.time()
