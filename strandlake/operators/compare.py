@@ -330,10 +330,10 @@ def oriented_slices(regions: DataFrame, contigs: DataFrame, lengths: DataFrame,
 
 def _align_rows(wide: bool):
     def run(batches):
-        from strandlake.operators.align import align, band_for
+        from strandlake.operators.align import align_many
 
         for pdf in batches:
-            ops = [align(q, t, band_for(len(q), len(t), wide)) for q, t in zip(pdf["q_seq"], pdf["t_seq"])]
+            ops = align_many(pdf["q_seq"].tolist(), pdf["t_seq"].tolist(), wide)
             yield pdf.drop(columns=["q_seq", "t_seq"]).assign(ops=ops)
 
     return run
@@ -342,8 +342,8 @@ def _align_rows(wide: bool):
 def align_gaps(gaps: DataFrame, *, wide: bool = False, tasks: int | None = None) -> DataFrame:
     """H7: rows with q_seq and t_seq to ``ops``, run-length M X I D text (NULL when no path).
 
-    Empty and equal sides are settled by expressions; the rest is one small dynamic
-    programme per row, spread over tasks by hash so that neighbours do not pile up.
+    Empty and equal sides are settled by expressions; the rest is spread over tasks by hash so that neighbours do not pile up, and
+    gaps of like size are aligned as one array.
     """
     nq, nt = F.length("q_seq"), F.length("t_seq")
     easy = (

@@ -72,12 +72,16 @@ def found(fx):
     return fx.stored("cmp_found", lambda: run()["b"]), fx.stored("cmp_found_ops", lambda: cp.numbered_runs(run()["o"]))
 
 
-@query("seed_join", "cmp_contigs", "with " + ANCHORS + f" select {PAIR}, q_pos, t_pos, t_trans from anchors")
+@query("seed_join", "cmp_contigs", "with " + ANCHORS + f""" select {PAIR}, count(*) as n, cast(sum(q_pos) as bigint) as q_sum, cast(sum(t_pos) as bigint) as t_sum,
+         cast(sum((q_pos * 40503::bigint + t_pos * 69621::bigint + t_trans * 9973::bigint) % 1000003) as bigint) as digest from anchors group by {PAIR}""")
 def _(fx):
+    """All anchors, counted and digested for each contig pair."""
     gk = ("genome", "chrom")
     fwd = minimizers(fx.cmp_contigs, keys=gk)
     rev = minimizers(fx.cmp_contigs, keys=gk, reverse=True)
-    return cp.seed_join(fwd, fwd, rev, pairs(fx))
+    mixed = F.expr("(q_pos * 40503L + t_pos * 69621L + t_trans * 9973L) % 1000003")
+    return cp.seed_join(fwd, fwd, rev, pairs(fx)).groupBy(*cp.PAIR).agg(
+        F.count("*").alias("n"), F.sum("q_pos").alias("q_sum"), F.sum("t_pos").alias("t_sum"), F.sum(mixed).alias("digest"))
 
 
 @query("bucket_anchors", "cmp_contigs",

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from strandlake.operators import compare as cp
-from strandlake.operators.align import align, band_for, runs, select_monotonic
+from strandlake.operators import align as al
+from strandlake.operators.align import align, align_many, band_for, run_texts, select_monotonic
 from strandlake.operators.sequence import minimizers
 
 
@@ -161,12 +164,26 @@ def test_align_is_optimal_and_keeps_tie_rules():
         a = dna(rng, rng.randint(0, 40))
         b = mutate(rng, a, 0.15, 0.1) if rng.random() < 0.7 else dna(rng, rng.randint(0, 40))
         wide = rng.random() < 0.5
-        assert expand(align(a, b, band_for(len(a), len(b), wide))) == brute.align(a, b, band_for(len(a), len(b), wide))
+        assert expand(align(a, b, wide)) == brute.align(a, b, band_for(len(a), len(b), wide))
     a = dna(rng, 300)
     b = mutate(rng, a, 0.1, 0.05)
-    got = expand(align(a, b, band_for(len(a), len(b), False)))
+    got = expand(align(a, b))
     assert brute.score(got) == brute.score(brute.align(a, b, band_for(len(a), len(b), False)))
-    assert runs("MMXIID") == "2M1X2I1D"
+    assert run_texts(np.array([0, 0, 1, 2, 2, 3, 3]), np.array([6, 0, 1])) == ["2M1X2I1D", "", "1D"]
+
+
+def test_batches_of_gaps_equal_single_ones(monkeypatch):
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(120):
+        a = dna(rng, rng.choice([0, 1, 3, 20, 24, 150]))
+        pairs.append((a, rng.choice([a, mutate(rng, a, 0.2, 0.1), dna(rng, rng.choice([0, 1, 20, 160, 320]))])))
+    want = [brute.align(a, b, band_for(len(a), len(b), False)) for a, b in pairs]
+    # Rows kept now and then, traces between them made again.
+    for cells in (al.CELLS, 600):
+        monkeypatch.setattr(al, "CELLS", cells)
+        got = align_many(*zip(*pairs))
+        assert [g if g is None else expand(g) for g in got] == want
 
 
 def test_select_monotonic():
