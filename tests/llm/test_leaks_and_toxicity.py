@@ -9,8 +9,7 @@ DOCS = "doc_id long, text string, seed long, words string, toxic int"
 
 
 def brute_leaks(docs, items, overlap=13, share=0.8):
-    """All (doc_id, item_id) with a common seed, and on its diagonal a stretch that starts and ends equal and is long and
-    equal enough; an item shorter than the masks has to be there whole."""
+    """All (doc_id, item_id) with a stretch on a diagonal that starts and ends equal and is long and equal enough."""
     norm = lambda t: [w.lower().strip(S._EDGE) for w in (t or "").split()]
     found = {}
     for d, text in docs:
@@ -21,9 +20,6 @@ def brute_leaks(docs, items, overlap=13, share=0.8):
             for shift in range(-len(b) + 1, len(a)):
                 lo, hi = max(0, shift), min(len(a), shift + len(b))
                 e = [a[x] == b[x - shift] for x in range(lo, hi)]
-                masks = S.MASKS if len(b) >= 9 else ["1" * len(b)]
-                if not any(all(e[x + k] for k, bit in enumerate(m) if bit == "1") for m in masks for x in range(len(e) - len(m) + 1)):
-                    continue
                 for x in range(len(e)):
                     for y in range(x + need, len(e) + 1):
                         if e[x] and e[y - 1] and sum(e[x:y]) >= share * (y - x) - 1e-9:
@@ -34,7 +30,7 @@ def brute_leaks(docs, items, overlap=13, share=0.8):
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(4000)]
-    items = [(i, " ".join(rng.sample(vocabulary, rng.choice([3, 7, 9, 20, 30])))) for i in range(25)] + [(90, None), (91, "")]
+    items = [(i, " ".join(rng.sample(vocabulary, rng.choice([1, 3, 4, 5, 6, 7, 8, 9, 20, 30])))) for i in range(25)] + [(90, None), (91, "")]
     docs = []
     for i in range(90):
         words = rng.sample(vocabulary, rng.randrange(0, 80))

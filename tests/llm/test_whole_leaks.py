@@ -37,3 +37,42 @@ def test_changed_copies_of_items_of_nine_words_and_more_are_found(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
     got = {r.doc_id: (r.item_id, r.length) for r in S.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
     assert got == want
+
+
+def test_items_of_less_than_nine_words_with_a_word_changed_are_found(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = [(n, rng.sample(vocabulary, n)) for n in range(1, 9)]
+    docs, want = [], {}
+    for n, item in items:
+        for gone in range(n):
+            need = math.ceil(0.8 * n - 1e-9)
+            cut = item[1:] if gone == 0 else item[:-1] if gone == n - 1 else None  # the first or last word changed: a shorter overlap
+            if cut is not None and len(cut) >= need and cut:
+                want[len(docs)] = n, len(cut)
+            if cut is None and n - 1 >= math.ceil(0.8 * n - 1e-9):
+                want[len(docs)] = n, n
+            docs.append((len(docs), " ".join(["x", *("changed" if k == gone else w for k, w in enumerate(item)), "y"])))
+        want[len(docs)] = n, n
+        docs.append((len(docs), " ".join(item)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.length) for r in S.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == want
+
+
+def test_every_short_overlap_that_counts_holds_a_hit():
+    for n in range(1, 9):
+        masks = S.short_masks(n)
+        for length in range(math.ceil(0.8 * n - 1e-9), n + 1):
+            for gone in itertools.combinations(range(1, length - 1), length - math.ceil(0.8 * length - 1e-9)):
+                bits = [i not in gone for i in range(length)]
+                assert any(all(bits[x + k] for k, b in enumerate(m) if b == "1") for m in masks for x in range(len(bits) - len(m) + 1))
+
+
+def test_items_of_very_many_words(spark):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    docs = [(0, " ".join(words)), (1, " ".join(["x"] * 50 + words[60_000:60_020] + ["y"] * 50)), (2, " ".join(words[::2])), (3, None)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:10_000]))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.length for r in S.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert got == {(0, 1): 100_000, (0, 2): 10_000, (1, 1): 20}
