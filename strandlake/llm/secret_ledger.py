@@ -87,16 +87,20 @@ def masked(text: str, spans: list[dict]) -> str:
 
 
 def redact(docs: DataFrame, ledger_path: str) -> DataFrame:
-    """``docs`` (the columns of documents) with all secrets masked and n_chars set anew; no row is lost.
+    """``docs`` with all secrets in ``text`` masked, and ``n_chars``, where there is such a column, set anew; no row is lost.
 
-    Only texts with findings are handed to Python; a null text stays null.
+    Only texts with findings are handed to Python. A null text stays null, an empty one empty; repeated rows all get the mask. Other
+    columns stay, whatever their names. An empty table gives no rows.
     """
     found = ledger.extend(docs, ledger_path, SCHEMA, RULE_VERSION, scan_batches).filter(F.size("spans") > 0)
-    found = found.select(F.col("digest").alias("_blob"), F.col("spans").alias("_blob_spans"))
     hide = F.udf(lambda text, spans: None if text is None else masked(text, spans), "string", useArrow=True)
-    joined = docs.join(found, ledger.digest(docs["text"]) == found["_blob"], "left")
-    dirty = F.col("_blob_spans").isNotNull()
-    text = F.coalesce(hide(F.when(dirty, F.col("text")), F.col("_blob_spans")), F.col("text"))
-    return (joined.withColumn("text", text)
-            .withColumn("n_chars", F.when(dirty, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-            .select(*docs.columns))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), ledger.digest(docs["text"]).alias("digest"))
+    joined = rows.join(found.select("digest", "spans"), "digest", "left")
+    dirty = F.col("spans").isNotNull()
+    text = F.coalesce(hide(F.when(dirty, F.col("row")["text"]), F.col("spans")), F.col("row")["text"])
+    done = joined.select("row", dirty.alias("dirty"), text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("dirty"), F.length("text")).otherwise(F.col("row")["n_chars"])
+        new["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return done.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -37,3 +37,15 @@ def test_redact_leaves_no_key(spark, tmp_path):
     text = "\n".join(["before", BEGIN, *LINES, END, "after"])
     docs = spark.createDataFrame([(1, text, 2), (2, "\n".join([BEGIN, *LINES]), 2)], "doc_id long, text string, n_chars int")
     assert sorted(r.text for r in S.redact(docs, f"{tmp_path}/ledger").collect()) == sorted([f"before\n{S.MASK}\nafter", S.MASK])
+
+
+def test_redact_takes_any_columns(spark, tmp_path):
+    text = "a password=abcd1234efgh b"
+    names = ["_blob", "_blob_spans", "digest", "spans", "row", "dirty", "version"]
+    docs = spark.createDataFrame([(1, text, *names), (None, None, *names), (2, "", *names), (1, text, *names)],
+                                 "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = S.redact(docs, f"{tmp_path}/clash")
+    assert out.columns == docs.columns and out.count() == 4
+    rows = out.collect()
+    assert sorted(r.text is None for r in rows) == [False] * 3 + [True] and sum(S.MASK in (r.text or "") for r in rows) == 2
+    assert all("abcd1234" not in (r.text or "") and [r[c] for c in names] == names for r in rows)
