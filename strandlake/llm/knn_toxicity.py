@@ -1,16 +1,16 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over terms (words and the first four or five letters of words) whose presence goes with the
-label in a bounded sample of labelled rows; document frequencies are counted over all documents. The nearest examples by
-exact cosine come from an inverted index cut into blocks of examples: the largest weight of each term in each block
-bounds what the block's examples can reach, and blocks that cannot reach the k-th best are skipped. Neighbours vote by
-similarity; votes become scores by a monotone table fitted on the examples, each voted on by the others.
+Texts are TF-IDF vectors over all terms (words and the first four or five letters of words) of a bounded sample of
+labelled rows; document frequencies are counted over all documents, and each weight is scaled by how far the term's
+presence goes with the label beyond chance, without ever becoming zero. The nearest examples by exact cosine come from
+an inverted index cut into blocks of examples: the largest weight of each term in each block bounds what the block's
+examples can reach, and blocks that cannot reach the k-th best are skipped. Terms of many examples are dense rows, whose
+part of a similarity is summed for a batch of texts at once. Neighbours vote by similarity; votes become scores by a
+monotone table fitted on the examples, each voted on by the others.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,14 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandlake.llm.batches import by_bytes, one, split_words, strings
+from strandlake.llm.batches import by_bytes, one, slices, split_words, strings
 from strandlake.session import materialize
 
-#: Bounds of what is fitted: labelled rows drawn by hash, and terms kept. Both are collected to the driver.
-EXAMPLES, TERMS = 8000, 1024
-LEAST_ROWS, LEAST_CHI2, NEIGHBOURS, BLOCK, THRESHOLD = 8, 50.0, 15, 64, 0.7
+#: Labelled rows that are learnt from, drawn by hash: the one bound of what is fitted and held in memory.
+EXAMPLES = 4000
+NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
+#: Share of its TF-IDF weight that a term without any relation to the label keeps.
+UNRELATED = 0.003
+#: A term of more than one in so many examples is a dense row of the index.
+DENSE = 8
+#: Blocks read for a first k-th best similarity.
+FIRST_BLOCKS = 6
+#: Texts scored at once, and their bytes unless one alone has more.
+BATCH_TEXTS, BATCH_BYTES = 256, 2 << 20
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-VECTORS = "doc_id long, terms array<int>, counts array<int>"
 
 
 def held_out(doc_id):
@@ -45,125 +52,205 @@ def draw(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
 
 
-def choose_terms(docs: DataFrame, drawn: DataFrame, terms: int = TERMS) -> list[str]:
-    """The terms that most go with the label, by chi-square over the distinct texts of the drawn rows."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_bytes(batches):
-            toxic = t.column("toxic").to_pylist()
-            seen: Counter = Counter()
-            codes, names, offsets = split_words(strings(t.column("text")))
-            made = [terms_of(x) for x in names]
-            for y, a, b in zip(toxic, offsets, offsets[1:]):
-                seen.update((x, y) for x in {x for c in set(codes[a:b].tolist()) for x in made[c]})
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()),
-                                              pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
-
-    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d")).agg(
-        F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = materialize(rows.select("text", "toxic"), "examples")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
-    bad, n = float(total.bad or 0), float(total.n)
-    if not 0 < bad < n:
-        return []
-    each = rows.mapInArrow(count, "term string, toxic int, n long").groupBy("term").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("hits"))
-    share, seen = bad / n, F.col("rows").cast("double")
-    chi2 = F.pow(F.col("hits") - seen * share, F.lit(2)) * n / (seen * share * (1 - share) * F.greatest(n - seen, F.lit(1.0)))
-    best = each.filter(F.col("rows") >= LEAST_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    return [r.term for r in best.orderBy(F.desc("chi2"), "term").limit(terms).collect()]
+@dataclass
+class Vectors:
+    """Term counts of texts, one text after the other; the terms of each ascend."""
+
+    offsets: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    def of(self, d: int) -> slice:
+        return slice(self.offsets[d], self.offsets[d + 1])
 
 
 class Terms:
-    """Counts of the chosen terms in texts; what each word gives is kept for the words seen last."""
+    """Counts of known terms in texts; what each word gives is kept for the words seen last."""
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.words: dict[str, tuple[int, ...]] = {}
+    def __init__(self, names: list[str], grow: bool = False):
+        self.number = {t: i for i, t in enumerate(names)}
+        self.grow, self.words = grow, {}
 
-    def of(self, word: str) -> tuple[int, ...]:
-        if len(self.words) > 100_000:
-            self.words.clear()
+    def ids(self, word: str) -> list[int]:
         got = self.words.get(word)
         if got is None:
-            got = self.words[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+            if len(self.words) > 200_000:
+                self.words.clear()
+            if self.grow:
+                got = [self.number.setdefault(t, len(self.number)) for t in terms_of(word)]
+            else:
+                got = [self.number[t] for t in terms_of(word) if t in self.number]
+            self.words[word] = got
         return got
 
-    def vectors(self, texts: pa.Array) -> list[Counter]:
+    def vectors(self, texts: pa.Array) -> Vectors:
         codes, names, offsets = split_words(texts)
-        made = [self.of(x) for x in names]
-        useful = np.fromiter((bool(x) for x in made), bool, len(made))
-        at = np.flatnonzero(useful[codes]) if len(codes) else np.empty(0, np.int64)
-        out = [Counter() for _ in range(len(texts))]
-        for d, c in zip(np.searchsorted(offsets[1:], at, side="right").tolist(), codes[at].tolist()):
-            out[d].update(made[c])
-        return out
-
-
-@dataclass
-class Model:
-    terms: list[str]
-    idf: np.ndarray
-    index: BlockIndex
-    base: float  # share of label 1 among examples that have none of the terms
-    knots: tuple[np.ndarray, np.ndarray]  # votes and their scores, both ascending
-
-    def weights(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return unit(np.array(terms, np.int64), np.array(counts, np.float64), self.idf)
-
-    def score(self, terms: list[int], counts: list[int], k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        """The score, the ids of the nearest examples, and their similarities."""
-        if not terms:
-            return self.base, [], []
-        near, sims = self.index.nearest(*self.weights(terms, counts), k)
-        vote = cast(sims, self.index.toxic[near], self.base)
-        return float(np.interp(vote, *self.knots)), self.index.doc_id[near].tolist(), sims.tolist()
+        made = [self.ids(x) for x in names]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter((t for x in made for t in x), np.int64, int(size.sum()))
+        n = size[codes]
+        terms = flat[slices((np.cumsum(size) - size)[codes], n)]
+        text = np.repeat(np.repeat(np.arange(len(texts)), np.diff(offsets)), n)
+        width = max(1, len(self.number))
+        keys, counts = np.unique(text * width + terms, return_counts=True)
+        return Vectors(np.searchsorted(keys, np.arange(len(texts) + 1) * width), keys % width, counts)
+
+
+def gather(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[list[str], list[tuple[str, int, float]], Vectors]:
+    """The terms of the drawn rows; digest, least doc_id and mean label of each distinct text, by digest; and its vector."""
+    drawn = materialize(draw(labels, examples), "drawn")
+    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(
+        F.first("text").alias("text"), F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_bytes(batches):
+            counter = Terms([], grow=True)
+            v = counter.vectors(strings(t.column("text")))
+            names = pa.array(list(counter.number), pa.string())
+            lists = [pa.ListArray.from_arrays(pa.array(v.offsets, pa.int32()), x)
+                     for x in (names.take(pa.array(v.terms)), pa.array(v.counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([one(t.column(c)) for c in ("digest", "doc_id", "toxic")] + lists,
+                                             names=["digest", "doc_id", "toxic", "terms", "counts"])
+
+    made = materialize(rows.mapInArrow(run, "digest string, doc_id long, toxic double, terms array<string>, counts array<int>"), "examples")
+    held = made.orderBy("digest").toArrow()
+    known = list(zip(*(held.column(c).to_pylist() for c in ("digest", "doc_id", "toxic"))))
+    lists = one(held.column("terms"))
+    sizes = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+    coded = lists.flatten().dictionary_encode()
+    text, terms = np.repeat(np.arange(len(sizes)), sizes), coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((terms, text))
+    counts = one(held.column("counts")).flatten().to_numpy()[order]
+    return coded.dictionary.to_pylist(), known, Vectors(np.concatenate([[0], np.cumsum(sizes)]), terms[order], counts)
+
+
+def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
+    """In how many rows each term stands, and the number of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
-def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = (1 + np.log(counts)) * idf[terms]
-    return terms, w / np.sqrt((w * w).sum())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Terms(shared.value)
+        df, rows = np.zeros(len(counter.number) + 1, np.int64), 0
+        for t in by_bytes(batches):
+            v = counter.vectors(strings(t.column("text")))
+            df += np.bincount(v.terms, minlength=len(df))
+            rows += t.num_rows
+        df[-1] = rows
+        at = np.flatnonzero(df)
+        for lo in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo:lo + (1 << 16)]), pa.array(df[at[lo:lo + (1 << 16)]])], names=["term", "n"])
+
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1, np.int64)
+    df[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return df[:-1], int(df[-1])
+
+
+def relation(v: Vectors, toxic: np.ndarray, terms: int) -> np.ndarray:
+    """How far each term's presence goes with the label: its correlation beyond what the best of as many terms has by chance."""
+    n, share = len(toxic), float(toxic.mean()) if len(toxic) else 0.0
+    if not 0 < share < 1:
+        return np.full(terms, UNRELATED)
+    rows = np.bincount(v.terms, minlength=terms).astype(np.float64)
+    hits = np.bincount(v.terms, np.repeat(toxic, np.diff(v.offsets)), terms)
+    off = np.maximum(0, np.abs(hits - rows * share) - 0.5)
+    chi2 = off * off * n / np.maximum(rows * share * (1 - share) * np.maximum(n - rows, 1), 1e-9)
+    return UNRELATED + np.sqrt(np.maximum(0, chi2 - 2 * np.log(max(terms, 2))) / n)
 
 
-def cast(sims: np.ndarray, toxic: np.ndarray, base: float) -> float:
-    """Votes weighted by similarity; one weak vote of the base share stands in for what no neighbour says."""
-    return float(((sims * toxic).sum() + 0.05 * base) / (sims.sum() + 0.05))
+class BlockIndex:
+    """Postings of the examples by term, cut into blocks of ``BLOCK`` examples, with each block's largest weight of a term.
 
+    ``weights`` are those of unit vectors. Examples are put in the order of their strongest term, so that blocks differ.
+    """
 
-class BlockIndex:
-    """Postings of the examples by term, cut into blocks of ``BLOCK`` examples, with each block's largest weights."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, doc_id: np.ndarray, terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(doc_id[i])))
-        self.toxic, self.doc_id = toxic[order], doc_id[order]
-        example = np.concatenate([np.full(len(vectors[i][0]), n) for n, i in enumerate(order)] or [np.empty(0, np.int64)])
-        term = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        self.blocks = -(-len(order) // BLOCK)
-        slot = term[by_term] * self.blocks + self.example // BLOCK
-        self.starts = np.searchsorted(slot, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(terms, max(1, self.blocks)) if self.blocks else np.zeros((terms, 0))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples with a similarity above 0 (ties: the earlier in the index), without ``leave``."""
-        bound = weights @ self.most[terms]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            sims = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                sims[self.example[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            at = np.flatnonzero(sims > 0)
-            at = at[at + b * BLOCK != leave]
-            best_at, best = np.concatenate([best_at, at + b * BLOCK]), np.concatenate([best, sims[at]])
-            keep = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
+    def __init__(self, v: Vectors, weights: np.ndarray, terms: int, dense: int = DENSE):
+        self.n = len(v.offsets) - 1
+        self.blocks = -(-self.n // BLOCK)
+        strongest = [int(v.terms[s][weights[s].argmax()]) if s.stop > s.start else -1 for s in map(v.of, range(self.n))]
+        self.order = np.array(sorted(range(self.n), key=lambda i: (strongest[i], i)), np.int64)
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        example = np.repeat(place, np.diff(v.offsets))
+        rows = np.bincount(v.terms, minlength=terms)
+        wide = np.flatnonzero(rows * dense > self.n)
+        self.row = np.full(terms, -1, np.int64)
+        self.row[wide] = np.arange(len(wide))
+        many = self.row[v.terms] >= 0
+        self.dense = np.zeros((len(wide), self.blocks * BLOCK))
+        self.dense[self.row[v.terms[many]], example[many]] = weights[many]
+        by = np.lexsort((example[~many], v.terms[~many]))
+        self.example, self.weight = example[~many][by].astype(np.int32), weights[~many][by]
+        term = v.terms[~many][by]
+        slot = term * max(1, self.blocks) + self.example // BLOCK
+        heads = np.flatnonzero(np.diff(slot, prepend=-1))
+        self.block = (slot[heads] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
+        self.post = np.append(heads, len(term))  # where the postings of each term and block begin
+        self.starts = np.searchsorted(term[heads], np.arange(terms + 1))
+        self.spread = np.diff(self.starts)
+
+    def batch(self, v: Vectors, weights: np.ndarray, k: int, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the examples, as given to the index, whose similarity is above 0 and among the ``k`` largest, and these.
+
+        Examples as similar as the k-th all belong. ``leave`` is an example for each text that is not considered.
+        """
+        text = np.repeat(np.arange(len(v.offsets) - 1), np.diff(v.offsets))
+        wide = self.row[v.terms] >= 0
+        asked = np.zeros((len(v.offsets) - 1, len(self.dense)))
+        asked[text[wide], self.row[v.terms[wide]]] = weights[wide]
+        return [self.nearest(v.terms[s][~wide[s]], weights[s][~wide[s]], sums, k, -1 if leave is None else int(leave[d]))
+                for d, (s, sums) in enumerate(zip(map(v.of, range(len(v.offsets) - 1)), asked @ self.dense))]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
+        """``sums`` are the parts of all similarities that dense rows give, ``terms`` and ``weights`` the others."""
+        n = self.spread[terms]
+        at = slices(self.starts[terms], n)
+        bound = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(self.block[at], np.repeat(weights, n) * self.most[at], self.blocks)
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        first &= bound > 0
+        sims = np.zeros(self.blocks * BLOCK)
+
+        def add(now: np.ndarray) -> None:
+            some = now[self.block[at]]
+            lo, w = at[some], np.repeat(weights, n)[some]
+            size = self.post[lo + 1] - self.post[lo]
+            p = slices(self.post[lo], size)
+            np.add(sims, np.bincount(self.example[p], np.repeat(w, size) * self.weight[p], len(sims)), out=sims)
+            cells = np.repeat(now, BLOCK)
+            sims[cells] += sums[cells]
+
+        def best() -> tuple[np.ndarray, float]:
+            seen = np.flatnonzero(sims > 1e-12)
+            seen = seen[self.order[seen] != leave]
+            return seen, float(np.partition(sims[seen], -k)[-k]) if len(seen) >= k else 0.0
+
+        if not first.any():
+            return np.empty(0, np.int64), np.empty(0)
+        add(first)
+        seen, floor = best()
+        rest = ~first & (bound > 0) & (bound >= floor - 1e-9)  # no other block can reach the k-th best
+        if rest.any():
+            add(rest)
+            seen, floor = best()
+        near = seen[sims[seen] >= floor - 1e-9]
+        near = near[np.lexsort((near, -np.round(sims[near], 9)))]
+        return self.order[near], sims[near]
+
+
+def cast(sims: np.ndarray, toxic: np.ndarray, base: float, k: int = NEIGHBOURS) -> float:
+    """Votes weighted by similarity; one weak vote of the base share stands in for what no neighbour says.
+
+    Examples tied at the k-th place share the places left there, so their order does not matter.
+    """
+    share = np.ones(len(sims))
+    if len(sims) > k:
+        tied = sims <= sims[k - 1] + 1e-9
+        tied &= sims >= sims[k - 1] - 1e-9
+        share[tied] = (k - np.flatnonzero(tied)[0]) / tied.sum()
+    w = sims * share
+    return float(((w * toxic).sum() + 0.05 * base) / (w.sum() + 0.05))
 
 
 def monotone(votes: np.ndarray, toxic: np.ndarray, base: float, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -184,86 +271,106 @@ def monotone(votes: np.ndarray, toxic: np.ndarray, base: float, bins: int = 20)
     return np.array([g[0] / g[2] for g in pooled]), np.array([g[1] / g[3] for g in pooled])
 
 
-def count_terms(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts) of every row, from its whole text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Terms(terms)
-        for t in by_bytes(batches):
-            found = [sorted(c.items()) for c in counter.vectors(strings(t.column("text")))]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([one(t.column("doc_id")), pa.array([[k for k, _ in x] for x in found], ints),
-                                              pa.array([[v for _, v in x] for x in found], ints)], names=["doc_id", "terms", "counts"])
+@dataclass
+class Model:
+    names: list[str]
+    scale: np.ndarray  # of each term: inverse document frequency times relation to the label
+    index: BlockIndex
+    toxic: np.ndarray
+    doc_id: np.ndarray
+    base: float  # share of label 1 among the examples
+    knots: tuple[np.ndarray, np.ndarray]  # votes and their scores, both ascending
 
-    return docs.mapInArrow(run, VECTORS)
+    def score(self, v: Vectors, k: int = NEIGHBOURS) -> list[tuple[float, list[int], list[float]]]:
+        """The score of each text, the ids of its ``k`` nearest examples, and their similarities."""
+        out = []
+        for near, sims in self.index.batch(v, unit(v, self.scale), k):
+            vote = cast(sims, self.toxic[near], self.base, k)
+            out.append((float(np.interp(vote, *self.knots)), self.doc_id[near[:k]].tolist(), sims[:k].tolist()))
+        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> tuple[Model, DataFrame]:
-    """The model and the term counts of all rows (stored). Without labels of both kinds every score is the base share."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    drawn = materialize(draw(labels, examples), "drawn")
-    chosen = choose_terms(docs, drawn, terms)
-    vectors = materialize(count_terms(docs, chosen), "term-counts")
-    total = vectors.count()
-    df = {r.term: r.n for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log(1 + total / (1 + df.get(i, 0))) for i in range(len(chosen))])
-    rows = vectors.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(examples).collect()
-    toxic = np.array([r.toxic for r in rows], np.float64)
-    empty = np.array([not r.terms for r in rows], bool)
-    base = float((toxic[empty].sum() + 0.5) / (empty.sum() + 1)) if len(rows) else 0.5
-    full = [r for r in rows if r.terms]
-    made = [unit(np.array(r.terms, np.int64), np.array(r.counts, np.float64), idf) for r in full]
-    index = BlockIndex(made, toxic[~empty] if len(rows) else np.empty(0), np.array([r.doc_id for r in full], np.int64), len(chosen))
-    place = {d: i for i, d in enumerate(index.doc_id.tolist())}
-    votes = []
-    for r, v in zip(full, made):
-        near, sims = index.nearest(*v, NEIGHBOURS, leave=place[r.doc_id])
-        votes.append(cast(sims, index.toxic[near], base))
-    knots = monotone(np.array(votes), np.array([float(r.toxic) for r in full]), base)
-    return Model(chosen, idf, index, base, knots), vectors
-
-
-def score_vectors(vectors: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, near, similarity) of every row of term counts."""
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+def unit(v: Vectors, scale: np.ndarray) -> np.ndarray:
+    """Weights of the counts of all texts, those of each text of length 1."""
+    w = (1 + np.log(v.counts)) * scale[v.terms]
+    text = np.repeat(np.arange(len(v.offsets) - 1), np.diff(v.offsets))
+    return w / np.sqrt(np.bincount(text, w * w, len(v.offsets) - 1))[text]
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """The model. Without labels of both kinds every score is the base share, without any label 0.5."""
+    names, known, v = gather(docs, labels, examples)
+    df, total = document_frequencies(docs, names)
+    toxic = np.array([x[2] for x in known], np.float64)
+    scale = np.log(1 + total / (1 + df)) * relation(v, toxic, len(names))
+    base = float((toxic.sum() + 0.5) / (len(toxic) + 1))
+    weights = unit(v, scale)
+    index = BlockIndex(v, weights, len(names))
+    votes = np.empty(len(known))
+    for lo in range(0, len(known), BATCH_TEXTS):
+        hi = min(lo + BATCH_TEXTS, len(known))
+        s = slice(v.offsets[lo], v.offsets[hi])
+        part = Vectors(v.offsets[lo:hi + 1] - v.offsets[lo], v.terms[s], v.counts[s])
+        for d, (near, sims) in enumerate(index.batch(part, weights[s], NEIGHBOURS, leave=np.arange(lo, hi))):
+            votes[lo + d] = cast(sims, toxic[near], base)
+    knots = monotone(votes, toxic, base)
+    return Model(names, scale, index, toxic, np.array([x[1] for x in known], np.int64), base, knots)
+
+
+def batch_scores(m: Model, counter: Terms, known: dict, texts: pa.Array) -> list[tuple[float, list[int], list[float]]]:
+    """The scores of a batch of texts; those of texts seen last are kept by their words' digests."""
+    from hashlib import blake2b
+
+    keys = [blake2b(x.as_buffer(), digest_size=16).digest() for x in texts]
+    if len(known) > 20_000:
+        known.clear()
+    new = {k: i for i, k in enumerate(keys) if k not in known}
+    at = list(new.values())
+    for lo in range(0, len(at), BATCH_TEXTS):
+        part = at[lo:lo + BATCH_TEXTS]
+        known.update(zip((keys[i] for i in part), m.score(counter.vectors(texts.take(pa.array(part))))))
+    return [known[k] for k in keys]
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """(doc_id, score, near, similarity) of every row: near are the doc_ids of the nearest labelled examples.
+
+    A null text is an empty one; a text that shares no term with an example gets the score of the examples' share of
+    label 1. Null doc_ids and repeated rows keep their rows; of examples with equal texts the least doc_id stands for all
+    and their labels are averaged. Labels that are null or neither 0 nor 1 are not used, of repeated ones the larger is.
+    Other columns are not read. An empty table gives no rows; without usable labels every score is 0.5.
+    """
+    rows = plain(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, examples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
-        for b in batches:
-            out = []
-            for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
-                key = (tuple(t), tuple(c))
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = m.score(t, c)
-                out.append(known[key])
+        counter = Terms(m.names)
+        for t in by_bytes(batches, limit=BATCH_BYTES):
+            out = batch_scores(m, counter, known, strings(t.column("text")))
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())),
+                one(t.column("doc_id")), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())),
                 pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["doc_id", "score", "near", "similarity"])
 
-    return vectors.mapInArrow(run, "doc_id long, score double, near array<long>, similarity array<double>")
+    return rows.mapInArrow(run, "doc_id long, score double, near array<long>, similarity array<double>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
-    """(doc_id, score, near, similarity) of every row: near are the doc_ids of the nearest labelled examples.
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches ``threshold``; no row is shuffled.
 
-    A null text is an empty one; it has none of the terms, as most clean texts, and gets the base share. Null doc_ids and
-    repeated rows keep their rows. Labels that are null or neither 0 nor 1 are not used, of repeated ones the larger is.
-    Other columns are not read. An empty table gives no rows; without usable labels every score is 0.5.
+    All columns are carried along. Null texts, repeated rows, empty tables and labels are taken as in ``toxicity``.
     """
-    model, vectors = fit(docs, labels, examples, terms)
-    return score_vectors(vectors, model)
-
-
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``; no row is shuffled."""
-    model, _ = fit(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(plain(docs), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, counter = shared.value, Terms(shared.value.terms)
-        for t in by_bytes(batches):
-            scores = [m.score(*map(list, zip(*sorted(c.items()))))[0] if c else m.base for c in counter.vectors(strings(t.column("text")))]
+        m, known = shared.value, {}
+        counter = Terms(m.names)
+        for t in by_bytes(batches, limit=BATCH_BYTES):
+            scores = [x[0] for x in batch_scores(m, counter, known, strings(t.column("text")))]
             yield from t.filter(pa.array([s < threshold for s in scores], pa.bool_())).to_batches()
 
     return docs.mapInArrow(run, docs.schema)

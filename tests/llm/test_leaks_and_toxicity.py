@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from strandlake.llm import knn_toxicity as K, spaced_seeds as S
 
@@ -63,23 +64,80 @@ def test_no_items_or_no_documents(spark):
     assert S.decontaminate(some, bench).count() == 1
 
 
-def test_block_index_equals_brute_force():
+def some_vectors(rng, rows, terms, most):
+    made = [np.sort(rng.choice(terms, rng.integers(0, most), replace=False)) for _ in range(rows)]
+    flat = np.concatenate(made)
+    return K.Vectors(np.concatenate([[0], np.cumsum([len(x) for x in made])]), flat, rng.integers(1, 4, len(flat)))
+
+
+def dense(v, weights, terms):
+    out = np.zeros((len(v.offsets) - 1, terms))
+    for d in range(len(out)):
+        out[d, v.terms[v.of(d)]] = weights[v.of(d)]
+    return out
+
+
+@pytest.mark.parametrize("share", [0, 8, 10 ** 9])  # no dense rows, some, all
+def test_block_index_equals_brute_force(share):
     rng = np.random.default_rng(2)
-    terms = 40
-    vectors = []
-    for _ in range(500):
-        t = np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t)) + 0.1
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    toxic = (rng.random(500) < 0.3).astype(float)
-    index = K.BlockIndex(vectors, toxic, np.arange(500), terms)
-    dense = np.zeros((500, terms))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for i in range(0, 500, 7):
-        near, sims = index.nearest(*vectors[i], 15)
-        assert np.allclose(sims, np.sort(dense @ dense[i])[::-1][:len(sims)])
-        assert np.allclose((dense @ dense[i])[index.doc_id[near]], sims)
+    terms, k = 40, 15
+    v, asked = some_vectors(rng, 500, terms, 8), some_vectors(rng, 60, terms, 8)
+    scale = rng.random(terms) + 0.01
+    index = K.BlockIndex(v, K.unit(v, scale), terms, share)
+    sims = dense(asked, K.unit(asked, scale), terms) @ dense(v, K.unit(v, scale), terms).T
+    leave = rng.integers(0, 500, 60)
+    for d, (near, got) in enumerate(index.batch(asked, K.unit(asked, scale), k, leave)):
+        want = sims[d].copy()
+        want[leave[d]] = 0
+        floor = max(np.sort(want)[-k] - 1e-9, 1e-12)
+        assert sorted(near.tolist()) == np.flatnonzero(want >= floor).tolist()  # with all that tie at the last place
+        assert np.allclose(got, want[near]) and (np.diff(got) <= 1e-9).all()
+
+
+def test_ties_do_not_depend_on_their_order():
+    sims, toxic = np.array([0.9, 0.5, 0.5, 0.5]), np.array([1.0, 0, 1, 1])
+    votes = {round(K.cast(sims, toxic[[0, *p]], 0.1, 2), 12) for p in ((1, 2, 3), (2, 1, 3), (3, 2, 1))}
+    assert len(votes) == 1
+    assert votes.pop() == pytest.approx((0.9 + 0.5 * 2 / 3 + 0.005) / (0.9 + 0.5 + 0.05))
+
+
+@pytest.mark.parametrize("rows", [12, 150])
+def test_neighbours_equal_plain_cosine_over_all_terms_of_the_examples(spark, rows):
+    """Whole texts in, neighbours out, against dictionaries: also with few labels, where no term goes with the label."""
+    rng = random.Random(rows)
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "gamma", "deltas", "epsilon", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(1, 30)))
+             for i in range(rows)}
+    texts[3] = texts[0]
+    y = {i: int(rng.random() < 0.3) for i in texts if i % 3}
+    docs = spark.createDataFrame([(i, x, 1, "x", 0) for i, x in texts.items()] + [(rows, "zzz", 1, "x", 0)], DOCS)
+    marks = spark.createDataFrame([(i, 1, t) for i, t in y.items()], "doc_id long, quality int, toxic int")
+    m = K.fit(K.plain(docs), marks)
+    learnt = {}
+    for i in sorted(y):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            learnt.setdefault(texts[i], i)
+
+    def vector(text):
+        tf = {}
+        for w in text.split():
+            for t in K.terms_of(w):
+                if t in known:
+                    tf[t] = tf.get(t, 0) + 1
+        w = {t: (1 + np.log(n)) * known[t] for t, n in tf.items()}
+        length = sum(x * x for x in w.values()) ** 0.5
+        return {t: x / length for t, x in w.items()}
+
+    known = dict(zip(m.names, m.scale))
+    assert set(known) == {t for x in learnt for w in x.split() for t in K.terms_of(w)}  # no term of an example is left out
+    df = {t: sum(any(t in K.terms_of(w) for w in x.split()) for x in texts.values()) for t in known}
+    idf = np.array([np.log(1 + (rows + 1) / (1 + df[t])) for t in m.names])
+    assert (m.scale >= K.UNRELATED * idf - 1e-12).all()
+    vectors = {i: vector(x) for x, i in learnt.items()}
+    for r in K.toxicity(docs, marks).collect():
+        v = vector(texts.get(r.doc_id, "zzz"))
+        want = sorted((s for s in (sum(x * u.get(t, 0) for t, x in v.items()) for u in vectors.values()) if s > 1e-12), reverse=True)
+        assert np.allclose(r.similarity, want[:K.NEIGHBOURS])
+        assert all(abs(sum(x * vectors[i].get(t, 0) for t, x in v.items()) - s) < 1e-9 for i, s in zip(r.near, r.similarity))
 
 
 def test_toxic_documents_are_found_and_clean_ones_kept(spark):
