@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, context: int = CONT
             held.clear()
             return out
 
-        for table in by_bytes(batches, limit=3 << 20):
+        for table in by_bytes(batches, limit=6 << 20):
             ids, counts = enc.encode(strings(table.column("text")))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end_id).astype(np.uint32)

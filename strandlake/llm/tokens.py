@@ -21,7 +21,9 @@ UNEVEN_SPACE = f" [{_SPACES}]|[{_SPACES}] |\x01"
 #: A line end between two other characters; the mark stands for it at the head of a word.
 LINE_END, LINE_MARK = f"([^{_SPACES}])\n([^{_SPACES}])", "\x01"
 #: Words kept by a worker; later words are encoded each time they come.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
+#: Words put into one text for the library, and such words checked at once.
+RUN_WORDS, CHECK_WORDS = 16, 2048
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -72,11 +74,12 @@ class WordEncoder:
         ids, counts = [], []
         lengths = pc.binary_length(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
         lengths += np.fromiter((w[:1] != LINE_MARK for w in words), np.int64, len(words))
-        for at in range(0, len(words), 2048):
-            part = words[at:at + 2048]
-            text = (" " + " ".join(part)).replace(" " + LINE_MARK, "\n")
-            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(lengths[at:at + 2048])
+        for at in range(0, len(words), CHECK_WORDS):
+            part = words[at:at + CHECK_WORDS]
+            runs = [(" " + " ".join(part[i:i + RUN_WORDS])).replace(" " + LINE_MARK, "\n") for i in range(0, len(part), RUN_WORDS)]
+            coded = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+            got = np.fromiter((i for e in coded for i in e.ids), np.uint32)
+            ends = np.cumsum(lengths[at:at + CHECK_WORDS])
             reach = np.cumsum(self.token_bytes[got])
             cuts = np.searchsorted(reach, ends) + 1
             if len(got) and cuts[-1] == len(got) and np.array_equal(reach[cuts - 1], ends):
