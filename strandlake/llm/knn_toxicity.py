@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from strandlake.llm.batches import by_bytes, one, slices, split_words, strings
+from strandlake.llm.batches import by_bytes, one, slices, strings
 from strandlake.session import materialize
 
 #: Labelled rows that are learnt from, drawn by hash: the one bound of what is fitted and held in memory.
@@ -27,11 +28,13 @@ NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
 #: Share of its TF-IDF weight that a term without any relation to the label keeps.
 UNRELATED = 0.003
 #: A term of more than one in so many examples is a dense row of the index.
-DENSE = 8
+DENSE = 16
+#: Cells of all dense rows (8 bytes each); terms of fewer examples beyond them stay postings.
+DENSE_CELLS = 12 << 20
 #: Blocks read for a first k-th best similarity.
 FIRST_BLOCKS = 6
 #: Texts scored at once, and their bytes unless one alone has more.
-BATCH_TEXTS, BATCH_BYTES = 256, 2 << 20
+BATCH_TEXTS, BATCH_BYTES = 64, 2 << 20
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -63,35 +66,53 @@ class Vectors:
     def of(self, d: int) -> slice:
         return slice(self.offsets[d], self.offsets[d + 1])
 
+    def part(self, lo: int, hi: int) -> Vectors:
+        s = slice(self.offsets[lo], self.offsets[hi])
+        return Vectors(self.offsets[lo:hi + 1] - s.start, self.terms[s], self.counts[s])
+
+
+def word_terms(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all words and the number of the word of each: what ``terms_of`` gives, ASCII words as whole arrays."""
+    plain = pc.string_is_ascii(words)
+    low = pc.ascii_trim(pc.ascii_lower(words), _EDGE)
+    size = pc.binary_length(low)
+    terms, owner = [], []
+    for k in (0, 4, 5):
+        at = np.flatnonzero(pc.and_(plain, pc.greater(size, k)).to_numpy(zero_copy_only=False))
+        part = low.take(pa.array(at))
+        terms.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(part, 0, k), "*", "") if k else part)
+        owner.append(at)
+    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    made = [terms_of(w) for w in words.take(pa.array(other)).to_pylist()]
+    terms.append(pa.array([t for x in made for t in x], pa.string()))
+    owner.append(np.repeat(other, [len(x) for x in made]))
+    return pa.concat_arrays(terms), np.concatenate(owner)
+
 
 class Terms:
-    """Counts of known terms in texts; what each word gives is kept for the words seen last."""
-
-    def __init__(self, names: list[str], grow: bool = False):
-        self.number = {t: i for i, t in enumerate(names)}
-        self.grow, self.words = grow, {}
-
-    def ids(self, word: str) -> list[int]:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            if self.grow:
-                got = [self.number.setdefault(t, len(self.number)) for t in terms_of(word)]
-            else:
-                got = [self.number[t] for t in terms_of(word) if t in self.number]
-            self.words[word] = got
-        return got
+    """Counts of known terms in texts; without names, of all their terms, which become the names."""
+
+    def __init__(self, names: list[str] | pa.Array | None = None):
+        self.names = None if names is None else pa.array(names, pa.string())
 
     def vectors(self, texts: pa.Array) -> Vectors:
-        codes, names, offsets = split_words(texts)
-        made = [self.ids(x) for x in names]
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((t for x in made for t in x), np.int64, int(size.sum()))
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        terms, owner = word_terms(words.dictionary)
+        if self.names is None:
+            coded = terms.dictionary_encode()
+            self.names, number = coded.dictionary, coded.indices
+        else:
+            number = pc.fill_null(pc.index_in(terms, value_set=self.names), -1)
+        number = number.to_numpy().astype(np.int64)
+        by = np.argsort(owner, kind="stable")
+        by = by[number[by] >= 0]
+        number, size = number[by], np.bincount(owner[by], minlength=len(words.dictionary))
+        codes, offsets = words.indices.to_numpy(), lists.offsets.to_numpy()
         n = size[codes]
-        terms = flat[slices((np.cumsum(size) - size)[codes], n)]
+        terms = number[slices((np.cumsum(size) - size)[codes], n)]
         text = np.repeat(np.repeat(np.arange(len(texts)), np.diff(offsets)), n)
-        width = max(1, len(self.number))
+        width = max(1, len(self.names))
         keys, counts = np.unique(text * width + terms, return_counts=True)
         return Vectors(np.searchsorted(keys, np.arange(len(texts) + 1) * width), keys % width, counts)
 
@@ -104,11 +125,10 @@ def gather(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_bytes(batches):
-            counter = Terms([], grow=True)
+            counter = Terms()
             v = counter.vectors(strings(t.column("text")))
-            names = pa.array(list(counter.number), pa.string())
             lists = [pa.ListArray.from_arrays(pa.array(v.offsets, pa.int32()), x)
-                     for x in (names.take(pa.array(v.terms)), pa.array(v.counts, pa.int32()))]
+                     for x in (counter.names.take(pa.array(v.terms)), pa.array(v.counts, pa.int32()))]
             yield pa.RecordBatch.from_arrays([one(t.column(c)) for c in ("digest", "doc_id", "toxic")] + lists,
                                              names=["digest", "doc_id", "toxic", "terms", "counts"])
 
@@ -130,7 +150,7 @@ def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Terms(shared.value)
-        df, rows = np.zeros(len(counter.number) + 1, np.int64), 0
+        df, rows = np.zeros(len(names) + 1, np.int64), 0
         for t in by_bytes(batches):
             v = counter.vectors(strings(t.column("text")))
             df += np.bincount(v.terms, minlength=len(df))
@@ -169,22 +189,23 @@ class BlockIndex:
         self.blocks = -(-self.n // BLOCK)
         strongest = [int(v.terms[s][weights[s].argmax()]) if s.stop > s.start else -1 for s in map(v.of, range(self.n))]
         self.order = np.array(sorted(range(self.n), key=lambda i: (strongest[i], i)), np.int64)
-        place = np.empty(self.n, np.int64)
-        place[self.order] = np.arange(self.n)
-        example = np.repeat(place, np.diff(v.offsets))
+        self.place = np.empty(self.n, np.int64)
+        self.place[self.order] = np.arange(self.n)
+        example = np.repeat(self.place, np.diff(v.offsets))
         rows = np.bincount(v.terms, minlength=terms)
-        wide = np.flatnonzero(rows * dense > self.n)
+        most = DENSE_CELLS // max(1, self.blocks * BLOCK)
+        wide = np.sort(np.argsort(-rows, kind="stable")[:min(most, int((rows * dense > self.n).sum()))])
         self.row = np.full(terms, -1, np.int64)
         self.row[wide] = np.arange(len(wide))
         many = self.row[v.terms] >= 0
         self.dense = np.zeros((len(wide), self.blocks * BLOCK))
         self.dense[self.row[v.terms[many]], example[many]] = weights[many]
         by = np.lexsort((example[~many], v.terms[~many]))
-        self.example, self.weight = example[~many][by].astype(np.int32), weights[~many][by]
+        self.example, self.weight = example[~many][by], weights[~many][by]
         term = v.terms[~many][by]
         slot = term * max(1, self.blocks) + self.example // BLOCK
         heads = np.flatnonzero(np.diff(slot, prepend=-1))
-        self.block = (slot[heads] % max(1, self.blocks)).astype(np.int32)
+        self.block = slot[heads] % max(1, self.blocks)
         self.most = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
         self.post = np.append(heads, len(term))  # where the postings of each term and block begin
         self.starts = np.searchsorted(term[heads], np.arange(terms + 1))
@@ -195,48 +216,56 @@ class BlockIndex:
 
         Examples as similar as the k-th all belong. ``leave`` is an example for each text that is not considered.
         """
-        text = np.repeat(np.arange(len(v.offsets) - 1), np.diff(v.offsets))
-        wide = self.row[v.terms] >= 0
-        asked = np.zeros((len(v.offsets) - 1, len(self.dense)))
-        asked[text[wide], self.row[v.terms[wide]]] = weights[wide]
-        return [self.nearest(v.terms[s][~wide[s]], weights[s][~wide[s]], sums, k, -1 if leave is None else int(leave[d]))
-                for d, (s, sums) in enumerate(zip(map(v.of, range(len(v.offsets) - 1)), asked @ self.dense))]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
-        """``sums`` are the parts of all similarities that dense rows give, ``terms`` and ``weights`` the others."""
+        texts, cells = len(v.offsets) - 1, self.blocks * BLOCK
+        if not texts or not cells:
+            return [(np.empty(0, np.int64), np.empty(0))] * texts
+        text = np.repeat(np.arange(texts), np.diff(v.offsets))
+        row = self.row[v.terms]
+        wide = row >= 0
+        asked = np.zeros((texts, len(self.dense)))
+        asked[text[wide], row[wide]] = weights[wide]
+        sums = asked @ self.dense  # the parts of all similarities that dense rows give
+        terms, text, weights = v.terms[~wide], text[~wide], weights[~wide]
         n = self.spread[terms]
         at = slices(self.starts[terms], n)
-        bound = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(self.block[at], np.repeat(weights, n) * self.most[at], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        first &= bound > 0
-        sims = np.zeros(self.blocks * BLOCK)
+        spot, weights = np.repeat(text * self.blocks, n) + self.block[at], np.repeat(weights, n)
+        bound = sums.reshape(texts, self.blocks, BLOCK).max(axis=2)
+        bound += np.bincount(spot, weights * self.most[at], texts * self.blocks).reshape(texts, self.blocks)
+        sims = np.zeros((texts, cells))
 
         def add(now: np.ndarray) -> None:
-            some = now[self.block[at]]
-            lo, w = at[some], np.repeat(weights, n)[some]
+            some = np.flatnonzero(now.reshape(-1)[spot])
+            lo = at[some]
             size = self.post[lo + 1] - self.post[lo]
             p = slices(self.post[lo], size)
-            np.add(sims, np.bincount(self.example[p], np.repeat(w, size) * self.weight[p], len(sims)), out=sims)
-            cells = np.repeat(now, BLOCK)
-            sims[cells] += sums[cells]
+            place = np.repeat(spot[some] // self.blocks * cells, size) + self.example[p]
+            part = np.bincount(place, np.repeat(weights[some], size) * self.weight[p], texts * cells).reshape(texts, cells)
+            np.add(sims, part + sums, out=sims, where=np.repeat(now, BLOCK, axis=1))
 
-        def best() -> tuple[np.ndarray, float]:
-            seen = np.flatnonzero(sims > 1e-12)
-            seen = seen[self.order[seen] != leave]
-            return seen, float(np.partition(sims[seen], -k)[-k]) if len(seen) >= k else 0.0
+        def floors(seen: np.ndarray) -> np.ndarray:
+            return np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.zeros(texts)
 
-        if not first.any():
-            return np.empty(0, np.int64), np.empty(0)
+        def drop() -> None:
+            if leave is not None:
+                sims[np.arange(texts), self.place[leave]] = 0
+
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, best, True, axis=1)
+        first &= bound > 0
         add(first)
-        seen, floor = best()
-        rest = ~first & (bound > 0) & (bound >= floor - 1e-9)  # no other block can reach the k-th best
+        drop()
+        floor = floors(np.take_along_axis(sims.reshape(texts, self.blocks, BLOCK), best[:, :, None], axis=1).reshape(texts, -1))
+        rest = ~first & (bound > 0) & (bound >= floor[:, None] - 1e-9)  # no other block can reach the k-th best
         if rest.any():
             add(rest)
-            seen, floor = best()
-        near = seen[sims[seen] >= floor - 1e-9]
-        near = near[np.lexsort((near, -np.round(sims[near], 9)))]
-        return self.order[near], sims[near]
+            drop()
+            floor = floors(sims)
+        d, near = np.nonzero((sims > 1e-12) & (sims >= floor[:, None] - 1e-9))
+        got = sims[d, near]
+        by = np.lexsort((near, -np.round(got, 9), d))
+        cuts = np.searchsorted(d, np.arange(1, texts))
+        return list(zip(np.split(self.order[near[by]], cuts), np.split(got[by], cuts)))
 
 
 def cast(sims: np.ndarray, toxic: np.ndarray, base: float, k: int = NEIGHBOURS) -> float:
@@ -309,9 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     votes = np.empty(len(known))
     for lo in range(0, len(known), BATCH_TEXTS):
         hi = min(lo + BATCH_TEXTS, len(known))
-        s = slice(v.offsets[lo], v.offsets[hi])
-        part = Vectors(v.offsets[lo:hi + 1] - v.offsets[lo], v.terms[s], v.counts[s])
-        for d, (near, sims) in enumerate(index.batch(part, weights[s], NEIGHBOURS, leave=np.arange(lo, hi))):
+        some = weights[v.offsets[lo]:v.offsets[hi]]
+        for d, (near, sims) in enumerate(index.batch(v.part(lo, hi), some, NEIGHBOURS, leave=np.arange(lo, hi))):
             votes[lo + d] = cast(sims, toxic[near], base)
     knots = monotone(votes, toxic, base)
     return Model(names, scale, index, toxic, np.array([x[1] for x in known], np.int64), base, knots)
@@ -325,10 +353,10 @@ def batch_scores(m: Model, counter: Terms, known: dict, texts: pa.Array) -> list
     if len(known) > 20_000:
         known.clear()
     new = {k: i for i, k in enumerate(keys) if k not in known}
-    at = list(new.values())
-    for lo in range(0, len(at), BATCH_TEXTS):
-        part = at[lo:lo + BATCH_TEXTS]
-        known.update(zip((keys[i] for i in part), m.score(counter.vectors(texts.take(pa.array(part))))))
+    if new:
+        v = counter.vectors(texts.take(pa.array(new.values(), pa.int64())))
+        made = (x for lo in range(0, len(new), BATCH_TEXTS) for x in m.score(v.part(lo, min(lo + BATCH_TEXTS, len(new)))))
+        known.update(zip(new, made))
     return [known[k] for k in keys]
 
 
