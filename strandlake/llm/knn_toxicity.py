@@ -43,11 +43,6 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def terms_of(word: str) -> list[str]:
-    w = word.lower().strip(_EDGE)
-    return [w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)] if w else []
-
-
 def draw(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, toxic) of at most ``examples`` labelled rows that may be learnt from, by the least hashes of their ids."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
@@ -72,20 +67,19 @@ class Vectors:
 
 
 def word_terms(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The terms of all words and the number of the word of each: what ``terms_of`` gives, ASCII words as whole arrays."""
-    plain = pc.string_is_ascii(words)
-    low = pc.ascii_trim(pc.ascii_lower(words), _EDGE)
-    size = pc.binary_length(low)
+    """The terms of all words and the number of the word of each.
+
+    A word in lower case without the marks at its edges is a term, and so are its first four and five letters, with a ``*``,
+    if it has more; a word of marks alone has none.
+    """
+    low = pc.ascii_trim(pc.utf8_lower(words), _EDGE)
+    size = pc.utf8_length(low).to_numpy(zero_copy_only=False)
     terms, owner = [], []
     for k in (0, 4, 5):
-        at = np.flatnonzero(pc.and_(plain, pc.greater(size, k)).to_numpy(zero_copy_only=False))
+        at = np.flatnonzero(size > k)
         part = low.take(pa.array(at))
         terms.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(part, 0, k), "*", "") if k else part)
         owner.append(at)
-    other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-    made = [terms_of(w) for w in words.take(pa.array(other)).to_pylist()]
-    terms.append(pa.array([t for x in made for t in x], pa.string()))
-    owner.append(np.repeat(other, [len(x) for x in made]))
     return pa.concat_arrays(terms), np.concatenate(owner)
 
 

@@ -101,6 +101,23 @@ def test_ties_do_not_depend_on_their_order():
     assert votes.pop() == pytest.approx((0.9 + 0.5 * 2 / 3 + 0.005) / (0.9 + 0.5 + 0.05))
 
 
+def terms_of(word):
+    w = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    return [w, *(w[:k] + "*" for k in (4, 5) if len(w) > k)] if w else []
+
+
+def test_terms_of_words_in_any_script():
+    import pyarrow as pa
+
+    words = ["", "a", "Word", "WORDS,", "--longer!", "***", "don't", "Über-Größe", "ÉTÉS", "«Вечером»", "東京都庁舎", "e\u0301tude", "ab" * 5000]
+    terms, owner = K.word_terms(pa.array(words))
+    got = {i: [] for i in range(len(words))}
+    for t, i in zip(terms.to_pylist(), owner.tolist()):
+        got[i].append(t)
+    assert [got[i] for i in range(len(words))] == [terms_of(w) for w in words]
+    assert K.Terms(["a"]).vectors(pa.array(["", " ", "b"])).offsets.tolist() == [0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("rows", [12, 150])
 def test_neighbours_equal_plain_cosine_over_all_terms_of_the_examples(spark, rows):
     """Whole texts in, neighbours out, against dictionaries: also with few labels, where no term goes with the label."""
@@ -120,7 +137,7 @@ def test_neighbours_equal_plain_cosine_over_all_terms_of_the_examples(spark, row
     def vector(text):
         tf = {}
         for w in text.split():
-            for t in K.terms_of(w):
+            for t in terms_of(w):
                 if t in known:
                     tf[t] = tf.get(t, 0) + 1
         w = {t: (1 + np.log(n)) * known[t] for t, n in tf.items()}
@@ -128,8 +145,8 @@ def test_neighbours_equal_plain_cosine_over_all_terms_of_the_examples(spark, row
         return {t: x / length for t, x in w.items()}
 
     known = dict(zip(m.names, m.scale))
-    assert set(known) == {t for x in learnt for w in x.split() for t in K.terms_of(w)}  # no term of an example is left out
-    df = {t: sum(any(t in K.terms_of(w) for w in x.split()) for x in texts.values()) for t in known}
+    assert set(known) == {t for x in learnt for w in x.split() for t in terms_of(w)}  # no term of an example is left out
+    df = {t: sum(any(t in terms_of(w) for w in x.split()) for x in texts.values()) for t in known}
     idf = np.array([np.log(1 + (rows + 1) / (1 + df[t])) for t in m.names])
     assert (m.scale >= K.UNRELATED * idf - 1e-12).all()
     vectors = {i: vector(x) for x, i in learnt.items()}
