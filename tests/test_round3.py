@@ -42,3 +42,19 @@ def _same_as_sql(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", ["read_embl", "read_genbank", "concat_windows_to_contigs"])
 def test_documents_without_text_or_letters(spark, tmp_path, name):
     _same_as_sql(spark, _odd_documents(tmp_path), str(tmp_path), name)
+
+
+def test_search_at_a_contig_end_and_over_chunks(spark):
+    from strandlake.operators import sequence as sq
+
+    words = spark.createDataFrame([("GGGCCC",), ("ACGTACGTAC",), ("TT",)], "pattern string")
+    seqs = {"end": "AAGGGCCC", "long": "ACGTACGTAC" * 3 + "TTT", "none": "", "short": "T"}
+    contigs = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    want = []
+    for chrom, s in seqs.items():
+        for p, rc in (("GGGCCC", None), ("ACGTACGTAC", "GTACGTACGT"), ("TT", "AA")):
+            for strand, w in (("+", p), ("-", rc)):
+                want += [(chrom, p, strand, i) for i in range(len(s)) if w and s.startswith(w, i)]
+    for step in (3, 8, 1 << 16):
+        got = sq.dna_search(contigs, words, step=step)
+        assert sorted((r.chrom, r.pattern, r.strand, r.start_bp) for r in got.collect()) == sorted(want)
