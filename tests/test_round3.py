@@ -58,3 +58,45 @@ def test_search_at_a_contig_end_and_over_chunks(spark):
     for step in (3, 8, 1 << 16):
         got = sq.dna_search(contigs, words, step=step)
         assert sorted((r.chrom, r.pattern, r.strand, r.start_bp) for r in got.collect()) == sorted(want)
+
+
+def _anchors(spark):
+    """Anchors with copies, ties, gaps and two strands; contig y is longer than x."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for chrom, size in (("x", 900), ("y", 4000)):
+        for same in (True, False):
+            q = t = 0
+            while q < size:
+                q, t = q + rng.choice((0, 5, 40, 25000 if rng.random() < 0.01 else 9)), t + rng.choice((0, 5, 40, 300))
+                rows += [("a", "b", chrom, "z", same, q, t + 7, t)] * rng.choice((1, 1, 2))
+    return spark.createDataFrame(rows, "q_genome string, t_genome string, q_chrom string, t_chrom string, same_strand boolean, "
+                                       "q_pos int, t_pos int, t_trans int")
+
+
+def test_chains_of_short_and_long_contigs_agree(spark, monkeypatch):
+    from strandlake.operators import compare as cp
+
+    a = cp.bucket_anchors(_anchors(spark))
+    cols = [*cp.CHAIN, "q_pos", "t_pos", "t_trans", "prev_q", "prev_t"]
+    rows = lambda df: sorted(tuple(str(v) for v in r) for r in df.select(*cols).collect())
+    short = cp.chain_anchors(a)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = rows(cp._long_chains(a, cp.K))
+    assert rows(short) == want and want
+    monkeypatch.setattr(cp, "STEP", 2000)  # y is long, x is not
+    assert rows(cp.chain_anchors(a)) == want
+
+
+def test_seeds_meet_without_salts_unless_a_key_is_hot(spark):
+    from strandlake.operators import sequence as sq
+
+    asked = spark.range(2000).selectExpr("id % 50 as k", "id")
+    table = spark.range(50).selectExpr("id as k", "id * 2 as v")
+    hint = table.hint("merge")
+    cold = sq.salted_join(asked, hint, ["k"], ["id"])
+    assert cold._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert sorted(map(tuple, cold.collect())) == [(i % 50, i, i % 50 * 2) for i in sorted(range(2000), key=lambda i: (i % 50, i))]
+    assert sq.salted_join(asked, hint, ["k"], ["id"], pile=10).count() == 2000
