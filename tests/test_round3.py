@@ -100,3 +100,30 @@ def test_seeds_meet_without_salts_unless_a_key_is_hot(spark):
     assert cold._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
     assert sorted(map(tuple, cold.collect())) == [(i % 50, i, i % 50 * 2) for i in sorted(range(2000), key=lambda i: (i % 50, i))]
     assert sq.salted_join(asked, hint, ["k"], ["id"], pile=10).count() == 2000
+
+
+def test_groups_over_batches_are_folded_once():
+    import numpy as np
+    import pandas as pd
+
+    from strandlake.operators.compare import _each_group
+
+    rows = pd.DataFrame({"k": ["a"] * 3 + ["b"] + ["c"] * 5 + ["d"] * 2, "j": [0] * 4 + [0, 0, 0, 1, 1] + [1] * 2, "v": np.arange(11)})
+    want = rows.groupby(["k", "j"])["v"].sum().reset_index().values.tolist()
+    for size in (1, 2, 3, 4, 11):
+        batches = [rows.iloc[i:i + size].reset_index(drop=True) for i in range(0, 11, size)]
+        got = pd.concat(_each_group(lambda g: {"v": [int(g["v"].sum())]}, ["k", "j"])(iter(batches)))
+        assert got.values.tolist() == want
+
+
+def test_equal_gaps_are_aligned_once(monkeypatch):
+    import pandas as pd
+
+    from strandlake.operators import align, compare as cp
+
+    asked = []
+    real = align.align_many
+    monkeypatch.setattr(align, "align_many", lambda q, t, wide: asked.extend(q) or real(q, t, wide))
+    gaps = pd.DataFrame({"id": [1, 2, 3], "q_seq": ["ACGT", "ACG", "ACGT"], "t_seq": ["ATTTT", "AG", "ATTTT"]})
+    out = next(iter(cp._align_rows(False)([gaps])))
+    assert sorted(asked) == ["ACG", "ACGT"] and out["ops"].tolist() == real(gaps["q_seq"].tolist(), gaps["t_seq"].tolist())
