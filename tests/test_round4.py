@@ -2,7 +2,9 @@
 
 import re
 
+from strandlake.operators import reads as rd
 from strandlake.plans.fixtures import Fixtures
+from strandlake.sources import splits as sp
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +33,18 @@ def test_mates_are_those_of_the_pairs(spark):
     alone = a.where("flags & 8 <> 0")
     assert alone.where("mate_chrom is not null or mate_pos <> -1 or tlen <> 0").count() == 0
     assert both.where("m_chrom <> chrom").count() > 0 and alone.count() > 0
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    lines = [f"line {i} {'x' * (i % 50)}" for i in range(2000)]
+    (tmp_path / "some.txt").write_text("\n".join(lines))
+    got = sp.split_lines(spark, sp.listing(spark, str(tmp_path)), split=128)
+    assert got.rdd.getNumPartitions() <= sp.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert [r.value for r in got.orderBy("id").collect()] == lines
+
+
+def test_tasks_follow_the_bytes_of_splits(spark):
+    at = spark.range(3000).selectExpr("id * 67108864 as start", "(id + 1) * 67108864 as stop")
+    assert sp.tasks_for(at) == 3000
+    assert sp.tasks_for(spark.range(100).selectExpr("0L as start", "cast(null as bigint) as stop")) == 100
+    assert sp.tasks_for(at.limit(0)) == 1
