@@ -48,3 +48,16 @@ def test_tasks_follow_the_bytes_of_splits(spark):
     assert sp.tasks_for(at) == 3000
     assert sp.tasks_for(spark.range(100).selectExpr("0L as start", "cast(null as bigint) as stop")) == 100
     assert sp.tasks_for(at.limit(0)) == 1
+
+
+def test_plain_and_mixed_places_of_a_pileup(spark):
+    """Two reads on a contig of which one names a mismatch and lacks two bases; a lower-case base counts, N and gaps in cover do not."""
+    contigs = spark.createDataFrame([("c", "ACGTaNCCGGTT")], "chrom string, seq string")
+    reads_ = spark.createDataFrame([(1, "c", 0, 8, 0, "8M", "TCGTAACC", "0A7"), (2, "c", 2, 8, 16, "2M2D2M", "GTCC", "2^AN2")],
+                                   "rid int, chrom string, start_bp int, end_bp int, flags int, cigar string, read_seq string, md string")
+    got = {(r.pos, r.ord): (r.ref_base, r.base, r.n, r.frac) for r in rd.pileup_counts(reads_, contigs, ["rid"], step=4).collect()}
+    assert got == {(0, 0): ("A", "T", 1, 1.0), (1, 0): ("C", "C", 1, 1.0), (2, 0): ("G", "G", 2, 1.0), (3, 0): ("T", "T", 2, 1.0),
+                   (4, 0): ("A", "A", 1, 0.5), (4, 1): ("A", "D", 1, 0.5), (5, 0): ("N", "D", 1, 1.0), (6, 0): ("C", "C", 2, 1.0),
+                   (7, 0): ("C", "C", 2, 1.0)}
+    # The places of one letter are read from stored runs, apart from those with several.
+    assert any("pileup_runs" in f for f in rd.pileup_counts(reads_, contigs, ["rid"]).inputFiles())
