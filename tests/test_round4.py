@@ -2,7 +2,7 @@
 
 import re
 
-from strandlake.operators import reads as rd
+from strandlake.operators import reads as rd, sequence as sq
 from strandlake.plans.fixtures import Fixtures
 from strandlake.sources import splits as sp
 
@@ -61,3 +61,22 @@ def test_plain_and_mixed_places_of_a_pileup(spark):
                    (7, 0): ("C", "C", 2, 1.0)}
     # The places of one letter are read from stored runs, apart from those with several.
     assert any("pileup_runs" in f for f in rd.pileup_counts(reads_, contigs, ["rid"]).inputFiles())
+
+
+def test_gc_of_narrow_tiles_sends_no_rows(spark):
+    seqs = {"a": "ACGT" * 700 + "N" * 300 + "gcuat" * 90, "n": "N" * 50, "g": "G", "none": ""}
+    contigs = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    got = sq.gc_plot(contigs, window=75, bins=16)
+    assert "Exchange" not in "\n".join(_plan(got))
+    want = {}
+    for c, s in seqs.items():
+        for t in range(0, len(s), 1024):
+            end = min(t + 1024, len(s))
+            for b in range(16):
+                w0 = t + int((b + 0.5) * (end - t) / 16) - 37
+                cut = s[max(w0, 0):min(w0 + 75, len(s))].upper()
+                n = sum(x in "ACGTU" for x in cut)
+                want[c, t // 1024, b] = sum(x in "GC" for x in cut) / n if n else -1.0
+    assert {(r.chrom, r.tile, r.bin): r.gc for r in got.collect()} == want
+    chunked = sq.seq_chunks(contigs, step=512)
+    assert {(r.chrom, r.tile, r.bin): r.gc for r in sq.gc_plot(chunked, window=75, bins=16).collect()} == want
