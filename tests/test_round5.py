@@ -6,6 +6,7 @@ import duckdb
 
 from strandlake.operators import compare as cp, interval as iv
 from strandlake.plans.intervals import COLLAPSE
+from strandlake.sources import load_workspace, save_workspace
 
 
 def rows(df, cols):
@@ -99,3 +100,15 @@ def test_windows_are_ranked_where_features_meet_them(spark):
     wide = asked + [(3000, 40000), (0, 900000), (50000, 51025)]
     assert got(iv.features_in_window(f, table(wide))) == brute(wide)
     assert got(iv.features_in_window(f, table(wide), limit=3)) == brute(wide, 3)
+
+
+def test_workspace_files_do_not_grow_with_genomes(spark, tmp_path):
+    rows = spark.range(600).selectExpr("concat('00', id % 300) as genome", "cast(id as int) as start_bp", "id % 2 = 0 as reversed")
+    save_workspace(str(tmp_path / "w"), segments=rows)
+    assert len(list((tmp_path / "w").rglob("*.parquet"))) <= 20
+    back = load_workspace(spark, str(tmp_path / "w"), "segments")["segments"]
+    assert back.schema["genome"].dataType.simpleString() == "string"
+    assert sorted(back.select(*rows.columns).collect()) == sorted(rows.collect())
+    rows.write.partitionBy("genome").parquet(str(tmp_path / "old" / "segments"))
+    old = load_workspace(spark, str(tmp_path / "old"), "segments")["segments"]
+    assert sorted(old.select(*rows.columns).collect()) == sorted(rows.collect())
