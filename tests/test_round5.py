@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from strandlake.operators import compare as cp, interval as iv
+from strandlake.operators import compare as cp, interval as iv, sequence as sq
 from strandlake.plans.intervals import COLLAPSE
 from strandlake.sources import load_workspace, save_workspace
 
@@ -112,3 +112,20 @@ def test_workspace_files_do_not_grow_with_genomes(spark, tmp_path):
     rows.write.partitionBy("genome").parquet(str(tmp_path / "old" / "segments"))
     old = load_workspace(spark, str(tmp_path / "old"), "segments")["segments"]
     assert sorted(old.select(*rows.columns).collect()) == sorted(rows.collect())
+
+
+def test_short_slices_are_cut_from_one_chunk(spark):
+    rnd = random.Random(9)
+    seqs = {"a": "".join(rnd.choice("ACGT") for _ in range(300)), "b": "ACGTN", "e": ""}
+    contigs = spark.createDataFrame(list(seqs.items()), "chrom string, seq string")
+    asked = [(rnd.choice("abex"), s := rnd.randrange(-20, 320), s + rnd.randrange(0, 17)) for _ in range(200)] + [("a", 16, 32), ("a", 284, 300)]
+    long = [("a", -5, 400), ("a", 10, 100), ("b", 0, 90), ("x", 0, 50)]
+    for spans in (asked, asked + long):
+        regions = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "id int, chrom string, start_bp int, end_bp int")
+        for pile in (20000, 5):  # with hot chunks as well
+            got = sq.reference_slices(contigs, regions, id_cols=("id",), step=16, pile=pile)
+            want = {i: seqs.get(c, "")[max(s, 0):max(e, 0)] for i, (c, s, e) in enumerate(spans)}
+            assert {r.id: r.seq for r in got.collect()} == want and got.count() == len(spans)
+    short = sq.reference_slices(contigs, regions.where(f"id < {len(asked)}"), id_cols=("id",), step=16)
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Join") == 1
