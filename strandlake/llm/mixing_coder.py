@@ -34,6 +34,7 @@ SLOTS = NEAR2 + NEAR1 + 1
 NONE = SLOTS - 1
 CONTEXTS2 = 1 << 16
 STATES2, STATES1 = 9, 8
+MOST_SEEN = 1 << (STATES1 - 2)  # times an order-1 context was seen: more count as this, the highest level
 SLOT_BITS, ORDER0_BITS, WEIGHT_BITS = 12, 16, 10
 FULL, WORD = (1 << 32) - 1, (1 << 16) - 1
 
@@ -53,41 +54,46 @@ class Encoder(Coder):
         self.lanes = lanes
         self.words = np.zeros((most_words, lanes), np.int32)
         self.flat = self.words.reshape(-1)
+        self.next = np.arange(lanes)  # where the next word of each lane goes in ``flat``
 
-    def put(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        part = self.range[at] >> bits
-        low = self.low[at] + part * start
+    def put(self, at: np.ndarray | None, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
+        """Code a value for the lanes ``at``, or for all."""
+        part = (self.range if at is None else self.range.take(at)) >> bits
+        low = (self.low if at is None else self.low.take(at)) + part * start
         width = part * freq
-        lanes = at if isinstance(at, np.ndarray) else None
         carry = np.flatnonzero(low > FULL)
         if len(carry):
-            lane = carry if lanes is None else lanes[carry]
-            self.flat[(self.count[lane] - 1) * self.lanes + lane] += 1
+            lane = carry if at is None else at.take(carry)
+            self.flat[self.next.take(lane) - self.lanes] += 1
             low[carry] &= FULL
         short = np.flatnonzero(width <= WORD)
         if len(short):
-            lane = short if lanes is None else lanes[short]
-            x = low[short]
-            self.flat[self.count[lane] * self.lanes + lane] = x >> 16
-            self.count[lane] += 1
+            lane = short if at is None else at.take(short)
+            x = low.take(short)
+            place = self.next.take(lane)
+            self.flat[place] = x >> 16
+            self.next[lane] = place + self.lanes
             low[short] = (x & WORD) << 16
-            width[short] <<= 16
-        self.low[at] = low
-        self.range[at] = width
+            width[short] = width.take(short) << 16
+        if at is None:
+            self.low, self.range = low, width
+        else:
+            self.low[at] = low
+            self.range[at] = width
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of each lane, and all words lane by lane."""
-        lane = np.arange(self.lanes)
         for x in (self.low >> 16, self.low & WORD):
-            self.flat[self.count * self.lanes + lane] = x
-            self.count += 1
-        for row in range(int(self.count.max()) - 1, 0, -1):  # carries that were left standing
+            self.flat[self.next] = x
+            self.next += self.lanes
+        count = self.next // self.lanes
+        for row in range(int(count.max()) - 1, 0, -1):  # carries that were left standing
             over = self.words[row] >> 16
             if over.any():
                 self.words[row] &= WORD
                 self.words[row - 1] += over
-        used = np.arange(len(self.words))[None, :] < self.count[:, None]
-        return self.count.astype("<u2"), self.words.T[used].astype("<u2")
+        used = np.arange(len(self.words))[None, :] < count[:, None]
+        return count.astype("<u2"), self.words.T[used].astype("<u2")
 
 
 class Decoder(Coder):
@@ -97,21 +103,27 @@ class Decoder(Coder):
         self.next = np.cumsum(counts.astype(np.int64)) - counts + 2
         self.code = (self.words[self.next - 2] << 16) | self.words[self.next - 1]
 
-    def look(self, at: np.ndarray | slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        part = self.range[at] >> bits
-        return part, np.minimum(self.code[at] // part, (1 << bits) - 1)
+    def look(self, at: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        part = (self.range if at is None else self.range.take(at)) >> bits
+        code = self.code if at is None else self.code.take(at)
+        # both are below 2**32 and the quotient is small, so that doubles round down to the same integer, in less time
+        return part, np.minimum((code / part).astype(np.int64), (1 << bits) - 1)
 
-    def take(self, at: np.ndarray | slice, part: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        code = self.code[at] - part * start
+    def take(self, at: np.ndarray | None, part: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        code = (self.code if at is None else self.code.take(at)) - part * start
         width = part * freq
         short = np.flatnonzero(width <= WORD)
         if len(short):
-            lane = short if not isinstance(at, np.ndarray) else at[short]
-            code[short] = (code[short] << 16) | self.words[self.next[lane]]
-            self.next[lane] += 1
-            width[short] <<= 16
-        self.code[at] = code
-        self.range[at] = width
+            lane = short if at is None else at.take(short)
+            place = self.next.take(lane)
+            code[short] = (code.take(short) << 16) | self.words.take(place)
+            self.next[lane] = place + 1
+            width[short] = width.take(short) << 16
+        if at is None:
+            self.code, self.range = code, width
+        else:
+            self.code[at] = code
+            self.range[at] = width
 
 
 def spread(counts: np.ndarray, bits: int) -> np.ndarray:
@@ -124,24 +136,31 @@ def spread(counts: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Model:
-    """What is known before a step; the same in both directions."""
+    """What is known before a step; the same in both directions. Tables are flat: candidate ``k`` of the order-1 context
+    ``c`` is at ``c * NEAR1 + k``."""
 
     def __init__(self, symbols: int, lanes: int):
         self.symbols, self.lanes = symbols, lanes
-        self.near2 = np.full((CONTEXTS2, NEAR2), -1, np.int16)
+        self.last2 = np.full(CONTEXTS2, -1, np.int16)
+        self.older2 = np.full(CONTEXTS2, -1, np.int16)
         self.past2 = np.zeros(CONTEXTS2, np.uint8)  # 0: new; else 8 and whether the first candidate was right the last times
-        self.near1 = np.full((symbols, NEAR1), -1, np.int16)
-        self.hits1 = np.zeros((symbols, NEAR1), np.int16)
-        self.seen1 = np.zeros(symbols, np.int64)
+        self.near1 = np.full(symbols * NEAR1 + 1, -1, np.int16)  # one more, which NONE reads in the last context
+        self.hits1 = np.zeros(symbols * NEAR1, np.int16)
+        self.seen1 = np.zeros(symbols, np.uint8)  # no more than MOST_SEEN
         self.order0 = np.ones(symbols, np.int64)
+        self.new: list[np.ndarray] = []  # ids for order0 since the last refresh
         self.joint = np.zeros(STATES2 * STATES1 * SLOTS, np.int64)
         self.weights = np.full((STATES2, 3), (1 << WEIGHT_BITS) // 3, np.int64)
-        self.level = np.minimum(np.array([x.bit_length() for x in range(1 << STATES1)]), STATES1 - 1)
+        self.level = np.array([min(x.bit_length(), STATES1 - 1) for x in range(MOST_SEEN + 1)])
+        self.past = np.array([max(0, x - 7) * STATES1 for x in range(16)])
         self.prev1 = self.prev2 = np.zeros(lanes, np.int64)
         self.refresh()
 
     def refresh(self) -> None:
         """New chances from the counts so far."""
+        if self.new:
+            self.order0 += 24 * np.bincount(np.concatenate(self.new), minlength=self.symbols)
+            self.new = []
         joint = self.joint.reshape(STATES2, STATES1, SLOTS)
         parts = [spread(c * 32 + 1, SLOT_BITS) for c in (joint.sum(axis=1), joint.sum(axis=0), joint.sum(axis=(0, 1)))]
         by2, by1, by0 = parts[0][:, None, :], parts[1][None, :, :], parts[2][None, None, :]
@@ -152,67 +171,92 @@ class Model:
             self.weights = spread(np.stack(gains, axis=-1) + 1, WEIGHT_BITS)
         w = self.weights[:, None, None, :]
         mix = by2 * w[..., 0] + by1 * w[..., 1] + by0 * w[..., 2]
-        self.freq = spread(mix, SLOT_BITS).reshape(STATES2 * STATES1, SLOTS)
-        self.start = np.cumsum(self.freq, axis=1) - self.freq
+        freq = spread(mix, SLOT_BITS)
+        self.freq, self.start = freq.reshape(-1), (np.cumsum(freq, axis=-1) - freq).reshape(-1)
         self.freq0 = spread(self.order0, ORDER0_BITS)
         self.start0 = np.cumsum(self.freq0) - self.freq0
 
     def tables(self) -> None:
         """For decoding: the slot or symbol at each value."""
-        n = STATES2 * STATES1
-        self.slot_at = np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint8), n), self.freq.reshape(-1)).reshape(n, 1 << SLOT_BITS)
-        self.symbol_at = np.repeat(np.arange(self.symbols, dtype=np.int32), self.freq0)
+        self.slot_at = np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint8), STATES2 * STATES1), self.freq)
+        self.symbol_at = np.repeat(np.arange(self.symbols, dtype=np.int16), self.freq0)
 
     def look(self) -> None:
         """The contexts of this step."""
         mixed = (self.prev2 * self.symbols + self.prev1) * 0x9E3779B1
         self.at2 = (mixed ^ (mixed >> 17)) & (CONTEXTS2 - 1)
-        self.row2 = self.near2[self.at2]
-        past = self.past2[self.at2]
-        self.state = np.where(past == 0, 0, past - 7) * STATES1 + self.level[np.minimum(self.seen1[self.prev1], (1 << STATES1) - 1)]
-
-    def slots(self, ids: np.ndarray) -> np.ndarray:
-        slot = np.where(self.row2[:, 0] == ids, 0, np.where(self.row2[:, 1] == ids, 1, NONE))
-        miss = np.flatnonzero(slot == NONE)
-        same = self.near1[self.prev1[miss]] == ids[miss, None]
-        at = same.argmax(axis=1)
-        slot[miss] = np.where(same[np.arange(len(miss)), at], NEAR2 + at, NONE)
-        return slot
-
-    def learn(self, ids: np.ndarray, slot: np.ndarray) -> None:
-        """Lanes that meet in a context leave what the last of them wrote; both directions do the same."""
-        self.joint += np.bincount(self.state * SLOTS + slot, minlength=len(self.joint))
-        first = slot == 0
-        past = self.past2[self.at2]
-        self.past2[self.at2] = 8 | (past << 1 & 7) | first
+        self.last, self.older = self.last2.take(self.at2), self.older2.take(self.at2)
+        self.was = self.past2.take(self.at2)
+        self.state = self.past.take(self.was) + self.level.take(self.seen1.take(self.prev1))
+
+    def learn(self, ids: np.ndarray, first: np.ndarray, row: np.ndarray, miss: np.ndarray, ctx: np.ndarray, place: np.ndarray) -> tuple:
+        """Lanes that meet in a context leave what the last of them wrote; both directions do the same.
+
+        ids: int16; first: where the first candidate of order 2 was right; row: place of the state and slot in ``joint``;
+        miss: the lanes in which order 2 had no right candidate, their order-1 contexts, and the places there (NEAR1: none).
+        Returns what changed among the candidates of order 1: for the new ones the place in ``miss`` and the candidate's
+        place, for those that moved up the place in ``miss``, the new place and the id that gave way.
+        """
+        self.joint += np.bincount(row, minlength=len(self.joint))
+        self.past2[self.at2] = 8 | (self.was << 1 & 7) | first
         later = np.flatnonzero(~first)
-        at2 = self.at2[later]
-        self.near2[at2, 1] = self.row2[later, 0]
-        self.near2[at2, 0] = ids[later]
-        miss = later[slot[later] != 1]
-        at1, place = self.prev1[miss], slot[miss] - NEAR2
+        at2 = self.at2.take(later)
+        self.older2[at2] = self.last.take(later)
+        self.last2[at2] = ids.take(later)
+        seen = self.seen1.take(ctx)
+        self.seen1[ctx] = np.minimum(seen + 1, MOST_SEEN)
         new = place == NEAR1
-        self.seen1[at1] += 1
         gone = np.flatnonzero(new)
+        free = np.minimum(seen.take(gone), NEAR1 - 1)
         if len(gone):
-            self.order0 += 24 * np.bincount(ids[miss[gone]], minlength=self.symbols)
-            free = np.minimum(self.seen1[at1[gone]] - 1, NEAR1 - 1)
-            self.near1[at1[gone], free] = ids[miss[gone]]
-            self.hits1[at1[gone], free] = 1
+            added = ids.take(miss.take(gone))
+            self.new.append(added)
+            at1 = ctx.take(gone) * NEAR1 + free
+            self.near1[at1] = added
+            self.hits1[at1] = 1
         old = np.flatnonzero(~new)
-        at1, place = at1[old], place[old]
-        hits = self.hits1[at1, place] + 1
-        self.hits1[at1, place] = hits
-        up = np.flatnonzero((place > 0) & (hits > self.hits1[at1, place - 1]))
-        if len(up):
-            at1, place = at1[up], place[up]
-            a, b, c, d = self.near1[at1, place - 1], self.near1[at1, place], self.hits1[at1, place - 1], self.hits1[at1, place]
-            self.near1[at1, place - 1], self.near1[at1, place], self.hits1[at1, place - 1], self.hits1[at1, place] = b, a, d, c
+        place = place.take(old)
+        at1 = ctx.take(old) * NEAR1 + place
+        hits = self.hits1.take(at1) + 1
+        self.hits1[at1] = hits
+        up = np.flatnonzero((place > 0) & (hits > self.hits1.take(at1 - 1)))
+        at1 = at1.take(up)
+        a, b, c, d = self.near1.take(at1 - 1), self.near1.take(at1), self.hits1.take(at1 - 1), self.hits1.take(at1)
+        self.near1[at1 - 1] = b
+        self.near1[at1] = a
+        self.hits1[at1 - 1] = d
+        self.hits1[at1] = c
+        return gone, free, old.take(up), place.take(up) - 1, a
 
     def shift(self, ids: np.ndarray) -> None:
         self.prev2, self.prev1 = self.prev1, ids
 
 
+class Places:
+    """For encoding: where an id is among the candidates of its order-1 context, by a hash of both. An entry that another pair
+    took over, or that lanes which met left wrong, fails the comparison in ``find``; its id then counts as none of them."""
+
+    def __init__(self, ids: int, symbols: int):
+        bits = min(22, max(10, (8 * min(ids, symbols * NEAR1)).bit_length()))
+        self.symbols, self.shift = symbols, 64 - bits
+        self.place = np.zeros(1 << bits, np.uint8)
+
+    def slots(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        key = (ctx * self.symbols + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (key >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, model: Model, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The place of each id, or NEAR1."""
+        self.at = self.slots(ctx, ids)
+        place = self.place.take(self.at)
+        return np.where(model.near1.take(ctx * NEAR1 + place) == ids, place, NEAR1).astype(np.int64)
+
+    def learn(self, ctx: np.ndarray, gone: np.ndarray, free: np.ndarray, up: np.ndarray, place: np.ndarray, below: np.ndarray) -> None:
+        self.place[self.at.take(gone)] = free
+        self.place[self.slots(ctx.take(up), below)] = place + 1
+        self.place[self.at.take(up)] = place
+
+
 def due(step: int) -> bool:
     """Whether chances are renewed after a step: often at first, then every eighth."""
     return step < 8 or step % 8 == 0
@@ -248,21 +292,29 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], counts: np.ndarray)
     n = len(ids)
     lanes = max(1, -(-n // STEPS))
     steps = -(-n // lanes) if n else 0
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int16)
     grid[:n] = symbols
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     coder, model = Encoder(lanes, 2 * steps + 3), Model(max(1, len(alphabet)), lanes)
-    every = slice(None)
+    places = Places(n, model.symbols)
     for t in range(steps):
         now = grid[t]
+        wide = now.astype(np.int64)
         model.look()
-        slot = model.slots(now)
-        coder.put(every, model.start[model.state, slot], model.freq[model.state, slot], SLOT_BITS)
-        lost = np.flatnonzero(slot == NONE)
+        first = model.last == now
+        slot = np.where(first, 0, 1)
+        miss = np.flatnonzero(~first & (model.older != now))
+        ctx = model.prev1.take(miss)
+        place = places.find(model, ctx, now.take(miss))
+        slot[miss] = NEAR2 + place
+        row = model.state * SLOTS + slot
+        coder.put(None, model.start.take(row), model.freq.take(row), SLOT_BITS)
+        lost = miss.take(np.flatnonzero(place == NEAR1))
         if len(lost):
-            coder.put(lost, model.start0[now[lost]], model.freq0[now[lost]], ORDER0_BITS)
-        model.learn(now, slot)
-        model.shift(now)
+            ids0 = now.take(lost)
+            coder.put(lost, model.start0.take(ids0), model.freq0.take(ids0), ORDER0_BITS)
+        places.learn(ctx, *model.learn(now, first, row, miss, ctx, place))
+        model.shift(wide)
         if due(t):
             model.refresh()
     per_lane, words = coder.finish()
@@ -308,24 +360,30 @@ def _decode(data: bytes) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     per_lane = np.frombuffer(data, "<u2", lanes, at)
     words = np.frombuffer(data, "<u2", -1, at + 2 * lanes)
     coder, model = Decoder(per_lane, words), Model(max(1, len(alphabet)), lanes)
-    grid = np.empty((steps, lanes), np.int64)
-    every = slice(None)
+    grid = np.empty((steps, lanes), np.int16)
     model.tables()
     for t in range(steps):
         model.look()
-        part, value = coder.look(every, SLOT_BITS)
-        slot = model.slot_at[model.state, value].astype(np.int64)
-        coder.take(every, part, model.start[model.state, slot], model.freq[model.state, slot])
-        now = np.where(slot == 0, model.row2[:, 0], model.row2[:, 1]).astype(np.int64)
-        middle = np.flatnonzero((slot >= NEAR2) & (slot < NONE))
-        now[middle] = model.near1[model.prev1[middle], slot[middle] - NEAR2]
-        lost = np.flatnonzero(slot == NONE)
-        if len(lost):
+        part, value = coder.look(None, SLOT_BITS)
+        slot = model.slot_at.take((model.state << SLOT_BITS) + value)
+        row = model.state * SLOTS + slot
+        coder.take(None, part, model.start.take(row), model.freq.take(row))
+        first = slot == 0
+        now = np.where(first, model.last, model.older)
+        miss = np.flatnonzero(slot >= NEAR2)
+        ctx = model.prev1.take(miss)
+        place = slot.take(miss).astype(np.int64) - NEAR2
+        found = model.near1.take(ctx * NEAR1 + place)
+        gone = np.flatnonzero(place == NEAR1)
+        if len(gone):
+            lost = miss.take(gone)
             part, value = coder.look(lost, ORDER0_BITS)
-            now[lost] = model.symbol_at[value]
-            coder.take(lost, part, model.start0[now[lost]], model.freq0[now[lost]])
-        model.learn(now, slot)
-        model.shift(now)
+            ids0 = model.symbol_at.take(value)
+            found[gone] = ids0
+            coder.take(lost, part, model.start0.take(ids0), model.freq0.take(ids0))
+        now[miss] = found
+        model.learn(now, first, row, miss, ctx, place)
+        model.shift(now.astype(np.int64))
         grid[t] = now
         if due(t):
             model.refresh()
@@ -364,7 +422,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end
             number += len(made)
             return out
 
-        for t in by_bytes(batches, limit=6 << 20):
+        for t in by_bytes(batches, limit=12 << 20):
             got, n = enc.encode(strings(t.column("text")))
             ids = np.concatenate([ids, np.insert(got, np.cumsum(n), end_id).astype(np.uint32)])
             counts = np.concatenate([counts, n + 1])
