@@ -104,3 +104,26 @@ def test_anchor_sets_are_bounded_and_whole(most):
     assert all_chains[0].keys() and len(all_chains[0]) == len(all_chains[1])
     # Of a chain's first anchor nothing is told of what is before it.
     assert {x[:7] for x in all_chains[0]} == {x[:7] for x in all_chains[1]}
+
+
+def test_six_frames_are_looked_up_in_one_pass(spark):
+    from strandlake.functions.dna import STANDARD_CODE
+    from strandlake.operators.sequence import six_frame_translation
+
+    code = {c: aa for aa, cs in STANDARD_CODE.items() for c in cs.split()}
+    rng = random.Random(4)
+    texts = {"a": "".join(rng.choice("ACGTacgtuUNRx") for _ in range(1000)), "b": "ACGT", "c": "AC", "d": "", "e": dna(rng, 64)}
+    df = spark.createDataFrame(list(texts.items()), "chrom string, seq string")
+    made = six_frame_translation(df, piece=20)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    got = {(r.chrom, r.frame, r.piece): r.aa for r in made.collect()}
+    want = {}
+    for name, s in texts.items():
+        s = "".join(x if x in "ACGT" else "N" for x in s.upper().replace("U", "T"))
+        for f in range(3):
+            codons = [s[i : i + 3] for i in range(f, len(s) - 2, 3)]
+            for up, each in ((0, codons), (3, [c[::-1].translate(str.maketrans("ACGT", "TGCA")) for c in codons])):
+                aa = "".join(code.get(c, "X") for c in each)
+                want |= {(name, f + up, i // 20): aa[i : i + 20] for i in range(0, len(aa), 20)}
+    assert got == want
