@@ -127,3 +127,32 @@ def test_six_frames_are_looked_up_in_one_pass(spark):
                 aa = "".join(code.get(c, "X") for c in each)
                 want |= {(name, f + up, i // 20): aa[i : i + 20] for i in range(0, len(aa), 20)}
     assert got == want
+
+
+def test_mixed_inputs_are_compressed(spark):
+    from pathlib import Path
+
+    import __spark_entry__ as entry
+    from strandlake.plans import files
+    from strandlake.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    folder = Path(files._mixed(fx))
+    names = [p.name for p in folder.rglob("part-*")]
+    assert names and all(n.endswith(".gz") for n in names)
+    kinds = {(r.folder, r.kind) for r in entry.queries()["detect_input_kinds"](spark, fx.sf_dir).collect()}
+    assert kinds == {("reference.fasta", "fasta"), ("notes.txt", "unknown"), ("annotation.gff3", "gff3"), ("embedded.gff3", "gff3"),
+                     ("calls.vcf", "vcf"), ("records.gb", "flatfile")}
+
+
+def test_tasks_that_sort_lines_into_files_grow_with_the_rows(spark, monkeypatch):
+    from pathlib import Path
+
+    from strandlake.plans import files
+    from strandlake.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(files, "DOCS_A_TASK", 5)
+    df = spark.range(200).selectExpr("id div 5 as slice", "cast(id as string) as value")
+    made = [p for p in Path(files.write_text(fx, "grown", {"a": df})).rglob("part-*")]
+    assert len({p.name.split("-")[1] for p in made}) > spark.sparkContext.defaultParallelism
