@@ -29,6 +29,8 @@ HASHES = 3
 BITS_AN_ENTRY, LEAST_WIDTH = 8, 512
 #: A block is closed at so many documents, text bytes or slice bytes; one document may be above.
 BLOCK_DOCS, BLOCK_TEXT, BLOCK_SLICES = 2048, 4 << 20, 4 << 20
+#: Blocks that are written and read together.
+GROUP_BLOCKS = 2
 #: Documents that a task holds in open blocks, in text bytes.
 OPEN_BYTES = 64 << 20
 #: Query terms answered in one pass over the index; more items take further passes.
@@ -151,7 +153,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         give_back()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, BLOCK), "search-index")
+    return materialize(rows.mapInArrow(run, BLOCK), "search-index", group_rows=GROUP_BLOCKS)
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -331,7 +333,6 @@ def search_index(blocks: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame
     df = known.groupBy(F.col("terms").alias("term")).agg(F.sum("dfs").alias("df"))
     asked = materialize(asked.join(df, "term"), "search-terms")
     passes = max(1, -(-asked.count() // TERMS_A_PASS))
-    # Parquet reads a task's share in whole row groups; blocks are a few MB each.
     found = None
     for p in range(passes):
         # Items are dealt to passes by hash, so a pass has about TERMS_A_PASS rows: what the driver takes and sends is bounded.

@@ -156,3 +156,15 @@ def test_tasks_that_sort_lines_into_files_grow_with_the_rows(spark, monkeypatch)
     df = spark.range(200).selectExpr("id div 5 as slice", "cast(id as string) as value")
     made = [p for p in Path(files.write_text(fx, "grown", {"a": df})).rglob("part-*")]
     assert len({p.name.split("-")[1] for p in made}) > spark.sparkContext.defaultParallelism
+
+
+def test_blocks_of_the_search_index_are_written_a_few_at_a_time(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from strandlake.llm import bit_sliced_search as S
+
+    monkeypatch.setattr(S, "BLOCK_DOCS", 2)
+    docs = spark.range(0, 90, 1, 1).selectExpr("id as doc_id", "concat('word', id, ' and more') as text")
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in S.build_index(docs).inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) >= 45 and max(groups) <= S.GROUP_BLOCKS
