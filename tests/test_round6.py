@@ -168,3 +168,31 @@ def test_blocks_of_the_search_index_are_written_a_few_at_a_time(spark, monkeypat
     files = [pq.ParquetFile(f.removeprefix("file:")) for f in S.build_index(docs).inputFiles()]
     groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
     assert sum(groups) >= 45 and max(groups) <= S.GROUP_BLOCKS
+
+
+def test_gaps_are_aligned_in_narrow_bands_with_proof(monkeypatch):
+    from strandlake.operators import align as al
+
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        x = dna(rng, rng.randint(0, 60)) + dna(rng, rng.randint(1, 4)) * rng.randint(1, 9) + dna(rng, rng.randint(1, 200))
+        y = list(x)
+        for _ in range(rng.choice([1, 2, 5, 12, 40])):
+            i = rng.randrange(len(y) + 1)
+            y[i : i + rng.choice([0, 1, 6])] = dna(rng, rng.choice([0, 1, 7]))
+        pairs.append((x, "".join(y)) if rng.random() < 0.5 else ("".join(y), x))
+    rows = []
+    whole = al._Batch.next_row
+    monkeypatch.setattr(al._Batch, "next_row", lambda self, i, *x: rows.append(x[0].size) or whole(self, i, *x))
+    for wide in (False, True):
+        rows.clear()
+        got = al.align_many(*map(list, zip(*pairs)), wide)
+        cells = sum(rows)
+        rows.clear()
+        monkeypatch.setattr(al, "NARROW", ())
+        monkeypatch.setattr(al, "_common_ends", lambda q, t: (0, 0))
+        assert al.align_many(*map(list, zip(*pairs)), wide) == got
+        assert cells * 3 < sum(rows) * 2
+        monkeypatch.undo()
+        monkeypatch.setattr(al._Batch, "next_row", lambda self, i, *x: rows.append(x[0].size) or whole(self, i, *x))
