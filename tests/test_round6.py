@@ -196,3 +196,28 @@ def test_gaps_are_aligned_in_narrow_bands_with_proof(monkeypatch):
         assert cells * 3 < sum(rows) * 2
         monkeypatch.undo()
         monkeypatch.setattr(al._Batch, "next_row", lambda self, i, *x: rows.append(x[0].size) or whole(self, i, *x))
+
+
+def test_mates_and_depth_move_rows_once(spark):
+    from strandlake.operators import interval, reads as rd
+
+    rng = random.Random(6)
+    table = []
+    for i in range(400):
+        s, m = rng.choice([0, 5, 9, 20]), rng.choice([0, 5, 9, 20])
+        table.append((i, rng.choice("xy"), rng.choice(["p", "q", "", None]), s, s + rng.choice([3, 4]), m, m + rng.choice([-1, 3, 4])))
+    df = spark.createDataFrame(table, "id int, chrom string, name string, start_bp int, end_bp int, mate_start int, mate_end int")
+    made = rd.mate_lookup(df, "id")
+    got = {r.id: r.mate_id for r in made.collect()}
+    want = {}
+    for i, c, n, s, e, m, f in table:
+        if f <= m:
+            continue
+        ids = [j for j, d, o, a, b, x, y in table if (d, o, a, b, x, y) == (c, n, m, f, s, e)] if n is not None else []
+        want[i] = max(ids) if ids and max(ids) != i else None
+    assert got == want
+    final = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final(made).count("Exchange hashpartitioning") == 1
+    runs = interval.covered_runs(df, keys=["chrom"])
+    runs.collect()
+    assert "ReusedExchange" in final(runs)
